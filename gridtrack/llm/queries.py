@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, toxicity
+from . import exact_dedup, langid, packing, quality_rules, secrets, toxicity
 from .common import fold, read
 
 
@@ -23,7 +23,26 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), langid.train(docs, p)).select("doc_id", (fold(F.col("doc_id"), p.folds) == p.held_out).alias("held_out"), "ecoc.lang_pred", "ecoc.score", "ecoc.ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id)}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.apply(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+
+
+def pack_params() -> packing.PackParams:
+    import public_tokenizers
+
+    return packing.PackParams(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), pack_params())
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op5_quality_rules, op6_best_fit_packing, op7_secret_scan)}
 
 SQL = {
     "op2_exact_dedup": """
