@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, staged  # noqa: F401
+
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six characters that split words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,24 +33,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, and a temporary one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir(at := tempfile.mkdtemp(prefix="gridtrack-"))
-    return at
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage is cut, and a lost executor costs a read, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most `rows` rows, chosen by a hash of the key: the same ones whatever the partitioning."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)

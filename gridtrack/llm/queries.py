@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality_rules, secrets, toxicity
+from . import exact_dedup, langid, neardup, packing, quality_rules, secrets, toxicity
 from .common import fold, read
 
 
@@ -42,7 +42,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op5_quality_rules, op6_best_fit_packing, op7_secret_scan)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op5_quality_rules, op6_best_fit_packing, op7_secret_scan, op9_minhash_near_dedup)}
 
 SQL = {
     "op2_exact_dedup": """
