@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, neardup, packing, quality_rules, secrets, toxicity
+from . import exact_dedup, langid, line_dedup, neardup, packing, quality_rules, secrets, toxicity
 from .common import fold, read
 
 
@@ -23,6 +23,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), langid.train(docs, p)).select("doc_id", (fold(F.col("doc_id"), p.folds) == p.held_out).alias("held_out"), "ecoc.lang_pred", "ecoc.score", "ecoc.ambiguous")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules.apply(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
@@ -46,9 +51,26 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op5_quality_rules, op6_best_fit_packing, op7_secret_scan, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_secret_scan, op9_minhash_near_dedup)}
 
 SQL = {
+    "op4_line_dedup": r"""
+        with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
+        l as (select doc_id, unnest(range(len(a))) as pos, unnest(a) as raw from split),
+        o as (select doc_id, pos, raw, translate(trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line from l),
+        d as (select line, count(*) as n, min((doc_id, pos)) as first, length(line) as m from o where length(line) >= 20 group by line),
+        t as (select *, [substr(line, 1, m // 3), substr(line, m // 3 + 1, m // 3), substr(line, 2 * (m // 3) + 1)] as s from d),
+        p as (select x.line as a, y.line as b from t x join t y on y.m between x.m and x.m + 2 and x.line <> y.line
+              where (contains(y.line, x.s[1]) or contains(y.line, x.s[2]) or contains(y.line, x.s[3])) and levenshtein(x.line, y.line) <= 2),
+        e as (select a, b from p union select b, a from p),
+        k as (select e.a as line, sum(d.n) as near_n, min(d.first) as near_first from e join d on d.line = e.b group by e.a),
+        v as (select d.line, d.first, case when k.near_first is null or d.first < k.near_first then true else false end as leads
+              from d left join k using (line) where d.n + coalesce(k.near_n, 0) >= 6),
+        j as (select o.doc_id, o.pos, o.raw, v.line is not null and not (v.leads and (o.doc_id, o.pos) = v.first) as dropped from o left join v using (line))
+        select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+               sha256(coalesce(string_agg(raw, chr(10) order by pos) filter (where not dropped), '')) as text_sha256
+        from j group by doc_id
+    """,
     "op2_exact_dedup": """
         with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
