@@ -34,8 +34,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows, chosen by a hash of the key: the same ones whatever the partitioning."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
+    """At most `rows` rows, chosen by a hash of the key: the same ones whatever the partitioning. A threshold on the hash comes first, so that tasks send about `rows` rows in all."""
+    h, n = F.pmod(F.xxhash64(key), F.lit(1 << 31)), df.count()
+    some = df.where(h < int(min(1.0, 1.1 * rows / n) * (1 << 31))) if n > rows else df
+    return some.orderBy(h, key).limit(rows)
 
 
 def in_blocks(texts: Sequence[str | None], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -70,3 +72,43 @@ def gram_hashes(data: np.ndarray, n: int, bits: int) -> np.ndarray:
         h ^= data[k : k + m]
     h *= np.uint32(0x9E3779B1)
     return h >> np.uint32(32 - bits)
+
+
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C55
+_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse mod 2**64, to n."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, b, _U)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
+
+
+def ascii_words(text: str) -> list[bytes]:
+    """The words between blanks, A-Z lowered, in UTF-8."""
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def span_hashes(split: list[list[bytes]], words: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of the bytes of the `words` words that begin at each word (fewer at the end of a text), and the words of each text."""
+    n = np.array([len(w) for w in split], np.int64)
+    data = np.frombuffer(b"\n".join(b" ".join(w) for w in split if w), np.uint8)
+    if not len(data):
+        return np.zeros(0, _U), n
+    power, inverse = _pow(len(data) + 1)
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * power[:-1], out=sums[1:])
+    gap = np.flatnonzero(data <= 32)
+    start, end = np.append(0, gap + 1), np.append(gap, len(data))
+    last = np.minimum(np.arange(len(start)) + words - 1, np.repeat(np.cumsum(n) - 1, n))
+    return mixed((sums[end[last]] - sums[start]) * inverse[start]), n

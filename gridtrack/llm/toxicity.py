@@ -28,8 +28,8 @@ from .common import bounded, fold, gram_hashes, in_blocks, packed_bytes
 @dataclass(frozen=True)
 class NnPuParams:
     #: Bounds of what is collected to fit: confirmed toxic documents and unlabelled ones.
-    max_positive: int = 3000
-    max_unlabelled: int = 6000
+    max_positive: int = 2000
+    max_unlabelled: int = 4000
     features: int = 1024
     bits: int = 20
     sizes: tuple[int, ...] = (5, 7)
