@@ -31,11 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..components import connected_components
-from .common import in_blocks, staged
+from .common import ascii_words, in_blocks, span_hashes, staged
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C55
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
 @dataclass(frozen=True)
@@ -63,38 +61,12 @@ class NearParams:
         return j - 5 * (j * (1 - j) / self.samples) ** 0.5
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse mod 2**64, to n."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, b, _U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, block in in_blocks(texts):
-        split = [t.encode("utf-8", "replace").lower().split() for t in block]
-        data = np.frombuffer(b"\n".join(b" ".join(w) for w in split if w), np.uint8)
-        n = np.array([len(w) for w in split])
-        if not len(data):
-            yield from (np.zeros(0, _U) for _ in split)
-            continue
-        power, inverse = _pow(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * power[:-1], out=sums[1:])
-        gap = np.flatnonzero(data <= 32)
-        start, end = np.append(0, gap + 1), np.append(gap, len(data))
-        last = np.repeat(np.cumsum(n) - 1, n)
-        i = np.arange(len(start))
-        h = (sums[end[np.minimum(i + words - 1, last)]] - sums[start]) * inverse[start]
-        h ^= h >> _U(29)
-        h *= _U(0xBF58476D1CE4E5B9)
-        h ^= h >> _U(32)
+        h, counts = span_hashes([ascii_words(t) for t in block], words)
         at = 0
-        for k in n:
+        for k in counts.tolist():
             yield np.unique(h[at : at + max(k - words + 1, min(k, 1))])
             at += k
 

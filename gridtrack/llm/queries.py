@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, neardup, packing, quality_rules, secrets, toxicity
+from . import exact_dedup, langid, line_dedup, lm_score, neardup, packing, quality_rules, secrets, sp_codec, toxicity
 from .common import fold, read
 
 
@@ -47,11 +47,22 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_secret_scan, op9_minhash_near_dedup)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = sp_codec.encode_documents(read(spark, sf_dir, "documents"), sp_codec.CodecParams(public_tokenizers.path("piece_bpe_32k.model")))
+    return out.select("doc_id", "draw", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language_id, op4_line_dedup, op5_quality_rules, op6_best_fit_packing, op7_secret_scan, op8_lm_score, op9_minhash_near_dedup, op10_sentencepiece)}
 
 SQL = {
     "op4_line_dedup": r"""
