@@ -20,6 +20,7 @@ packed once each. A null doc_id is carried along. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -46,30 +47,67 @@ class PackParams:
     epsilon: float = 0.15
     max_rounds: int = 6000
     #: Bound of the words whose ids a worker remembers.
-    cache: int = 300_000
+    cache: int = 1_200_000
+
+
+#: Latin letters and digits of one byte in Latin-1, after lower-casing, and the tokenizer's word pattern for texts of such characters.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\xff]+")
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 
 
 class WordIds:
-    """Ids of texts, as little-endian bytes. Words between blanks or line ends are encoded once; no rule of a tokenizer that splits at white space reaches over them."""
+    """Ids of texts, as little-endian bytes.
+
+    Words between blanks or line ends are encoded once; no rule of a tokenizer that
+    splits at white space reaches over them. New words are encoded many in a call; the
+    tokens that end a part of a word, counted against the parts that each word has, tell
+    where its ids stop. Where the counts disagree, or a word has characters that the
+    pattern of parts does not know, it is encoded alone.
+    """
 
     def __init__(self, path: str, cache: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if _PLAIN.fullmatch(w) and "<|" not in w]
+        known = set(plain)
+        self._alone([w for w in words if w not in known])
+        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        for at in range(0, len(groups), 40):
+            some = groups[at : at + 40]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                parts = np.cumsum([len(_PARTS.findall(w.lower())) for w in group])
+                if parts[-1] != len(stops) or stops[-1] != len(ids):
+                    self._alone(group)
+                    continue
+                data, cuts = ids.tobytes(), [0, *(4 * stops[parts - 1]).tolist()]
+                self.known.update((w, data[cuts[k] : cuts[k + 1]]) for k, w in enumerate(group))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-                if len(self.known) + len(new) > self.most:
-                    self.known.clear()
-                    new = list(dict.fromkeys(words))
-                for at in range(0, len(new), 10_000):
-                    part = new[at : at + 10_000]
-                    for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                        self.known[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, words))
+        for at in range(0, len(texts), 1000):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 1000]]
+            words = set().union(*split)
+            new = [w for w in words if w not in self.known]
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+                new = list(words)
+            if new:
+                self._learn(new)
+            for one in split:
+                yield b"".join(map(self.known.__getitem__, one))
 
 
 _ids: dict[str, WordIds] = {}
