@@ -1,11 +1,64 @@
-"""The corpus pipeline: stages over `documents`, each reading what the one before it wrote."""
+"""The corpus pipeline: stages over `documents`, each reading what the one before it wrote.
+
+Language identification rejects documents without a letter or near no codeword; line
+deduplication drops lines that many documents share, and documents of which nothing is
+left; near-deduplication keeps one document of each group; secrets are replaced in the
+texts; packing lays the rest out in training sequences.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-#: A model's verdict and tokenizer ids are not SQL; tests/llm compares the run with a brute-force version.
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridtrack.llm import langid, line_dedup, neardup, packing, secrets
+from gridtrack.llm.common import read, staged
+from gridtrack.llm.queries import pack_params
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = langid.predict(docs, langid.train(docs))
+    return out.where((F.col("__ecoc.lang_pred") != "und") & ~F.col("__ecoc.ambiguous")).select(*docs.columns)
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars follows a text that was changed."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    emptied = (F.col("__line_dedup.n_dropped") > 0) & ~F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
+    return _sized(out.where(~emptied).select(*docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep = staged(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(secrets.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, pack_params())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", near_dedup),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack),
+]
+
+#: A model's verdict and tokenizer ids are not SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs

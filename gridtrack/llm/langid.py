@@ -147,7 +147,7 @@ def train(docs: DataFrame, params: EcocParams = EcocParams()) -> EcocModel:
 
 
 def predict(docs: DataFrame, model: EcocModel) -> DataFrame:
-    """docs with lang_pred, score and ambiguous; a struct column `ecoc` holds them, so that no column of docs clashes."""
+    """docs with a struct column `__ecoc` of lang_pred, score and ambiguous, so that no column of docs clashes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits x 2**bits numbers, whatever the input
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -155,4 +155,4 @@ def predict(docs: DataFrame, model: EcocModel) -> DataFrame:
             yield predict_texts(shared.value, texts.tolist())
 
     udf = F.pandas_udf(predicted, "lang_pred string, score double, ambiguous boolean")
-    return docs.withColumn("ecoc", udf("text"))
+    return docs.withColumn("__ecoc", udf("text"))

@@ -85,7 +85,7 @@ def similar_lines(lines: DataFrame, docs: DataFrame, params: LineParams) -> Data
 
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """docs with its text less the dropped lines, and n_lines and n_dropped in a struct column `line_dedup`."""
+    """docs with its text less the dropped lines, and n_lines and n_dropped in a struct column `__line_dedup`."""
     found = _occurrences(docs, params)
     found = found.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "pos", index_entries(F.col("line"), params).alias("index"), probe_entries(F.col("line"), params).alias("probes"))
     place = F.struct("doc_id", "pos")
@@ -111,4 +111,4 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     marks = F.array_sort(F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("d"), x.alias("l"))), F.transform("__dropped", lambda p: F.struct(p.alias("i"), F.lit(0).alias("d"), F.lit("").alias("l")))))
     text = F.when(F.col("__dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.get(F.transform(F.array(marks), kept), F.lit(0)), "\n"))
     counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("__dropped"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
-    return rows.withColumns({"line_dedup": counts, "text": text}).drop("__doc_id", "__dropped")
+    return rows.withColumns({"__line_dedup": counts, "text": text}).drop("__doc_id", "__dropped")

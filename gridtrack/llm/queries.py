@@ -20,12 +20,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, p = read(spark, sf_dir, "documents"), langid.EcocParams()
-    return langid.predict(docs.select("doc_id", "text"), langid.train(docs, p)).select("doc_id", (fold(F.col("doc_id"), p.folds) == p.held_out).alias("held_out"), "ecoc.lang_pred", "ecoc.score", "ecoc.ambiguous")
+    return langid.predict(docs.select("doc_id", "text"), langid.train(docs, p)).select("doc_id", (fold(F.col("doc_id"), p.folds) == p.held_out).alias("held_out"), "__ecoc.lang_pred", "__ecoc.score", "__ecoc.ambiguous")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "__line_dedup.n_lines", "__line_dedup.n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

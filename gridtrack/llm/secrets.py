@@ -74,12 +74,19 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_linked, base_sha256, spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"), *(_spans(F.col("text"), k, p, n).alias(k) for k, p, n, _ in BASE), *(_spans(F.col("text"), k, p, n).alias(f"weak_{k}") for k, p, n, _ in WEAK))
-    rows = staged(rows.withColumn("base", F.array_sort(F.concat(*(k for k, *_ in BASE)))), "secrets")
+def _matches(docs: DataFrame) -> DataFrame:
+    """doc_id, a key of the row's content (k1, k2), the spans of each kind, and those of the three base kinds together."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", *_keys(), *(_spans(F.col("text"), k, p, n).alias(k) for k, p, n, _ in BASE), *(_spans(F.col("text"), k, p, n).alias(f"weak_{k}") for k, p, n, _ in WEAK))
+    return staged(rows.withColumn("base", F.array_sort(F.concat(*(k for k, *_ in BASE)))), "secrets")
+
+
+def _keys() -> tuple[Column, Column]:
+    return F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")
+
+
+def _linked(rows: DataFrame, scope: int) -> DataFrame:
+    """k1, k2 and the weak candidates that complementary parts confirm, as array `linked`."""
     weak = F.filter(F.concat(*(F.col(f"weak_{k}") for k, *_ in WEAK)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     roles = F.array(*(F.lit(part) for *_, part in (*BASE, *WEAK)))
     parts = (
@@ -99,10 +106,38 @@ def find_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
     enough = F.lit(False)
     for own, needs in NEEDS.items():
         enough = enough | ((F.col("own") == own) & (F.size(F.array_intersect("near", F.array(*map(F.lit, needs)))) == len(needs)))
-    linked = linked.where(enough).groupBy("k1", "k2").agg(F.collect_list("s").alias("linked"))
+    return linked.where(enough).groupBy("k1", "k2").agg(F.collect_list("s").alias("linked"))
+
+
+def find_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_linked, base_sha256, spans."""
+    rows = _matches(docs)
+    linked = _linked(rows, scope)
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     out = rows.join(linked, ["k1", "k2"], "left").withColumn("linked", F.coalesce("linked", none))
     return out.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE), F.size("linked").cast("long").alias("n_linked"),
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.array_sort(F.concat("base", "linked"))).alias("spans"),
     )
+
+
+def redact(docs: DataFrame, scope: int = 256) -> DataFrame:
+    """docs with every reported span replaced by its kind in brackets; what spans share is replaced once."""
+    rows = _matches(docs)
+    found = rows.join(_linked(rows, scope), ["k1", "k2"], "left")
+    found = found.withColumn("spans", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked")))).where(F.size("spans") > 0)
+    found = staged(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")).dropDuplicates(["__k1", "__k2"]), "spans")
+    kinds = F.array(*map(F.lit, ORDER))
+    text = F.col("text")
+    walked = F.aggregate(
+        "__spans",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.get(kinds, s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    keyed = docs.select("*", *(k.alias(f"__own{i}") for i, k in enumerate((F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.hash(F.coalesce("text", F.lit("")), "doc_id")))))
+    keyed = keyed.join(found, (F.col("__own0") == F.col("__k1")) & (F.col("__own1") == F.col("__k2")), "left")
+    return keyed.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(walked)).select(*docs.columns)
