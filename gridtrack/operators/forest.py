@@ -64,7 +64,8 @@ def break_up(objects: DataFrame, ny: int, nx: int, min_steps: int, limit: float
     both = whole.union(apart)
     ids = both.select("segment", "from_id", "root").distinct()
     ids = ids.withColumn("obj_id", F.row_number().over(Window.partitionBy("segment").orderBy("from_id", "root")).cast("long"))
-    same = both.join(ids, (both["segment"] == ids["segment"]) & (both["from_id"] == ids["from_id"]) & both["root"].eqNullSafe(ids["root"])).select(both["segment"], "obj_id", "t", "iy", "ix")
+    ids = ids.toDF("segment", "from_id", "__root", "obj_id")
+    same = both.join(ids, ["segment", "from_id"]).where(F.col("root").eqNullSafe(F.col("__root"))).select("segment", "obj_id", "t", "iy", "ix")
     return lifetime_filter(same, min_steps)
 
 

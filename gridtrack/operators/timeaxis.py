@@ -65,10 +65,10 @@ def interpolate(field: DataFrame, dt: int, value: str = "v", hour: str = "hour_i
 
 
 def file_gaps(index: DataFrame) -> DataFrame:
-    """path, note: "gap" or "overlap" against the file before, by t0; no row where they meet. index: path, t0, t1, step_h."""
-    w = Window.orderBy("t0", "path")
+    """stream, path, note: "gap" or "overlap" against the stream's file before, by t0; no row where they meet. index: stream, path, t0, t1, step_h."""
+    w = Window.partitionBy("stream").orderBy("t0", "path")
     due = F.lag(F.col("t1") + F.col("step_h")).over(w)
-    return index.select("path", F.when(F.col("t0") > due, "gap").when(F.col("t0") < due, "overlap").alias("note")).where("note is not null")
+    return index.select("stream", "path", F.when(F.col("t0") > due, "gap").when(F.col("t0") < due, "overlap").alias("note")).where("note is not null")
 
 
 def axis_differences(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("segment", "hour_idx")) -> DataFrame:
