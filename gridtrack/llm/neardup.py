@@ -3,15 +3,15 @@
 A document's set is its distinct word shingles, as 64-bit hashes of their bytes.
 Documents of one set form a class. Each class has MinHash samples, cut into bands to
 find candidates, and folded into a parity bitmap (odd sketch): the ones in the XOR of
-two bitmaps estimate high similarities closely, and only pairs whose estimate comes
-within five deviations of the threshold are confirmed, on the full sets.
+two bitmaps estimate high similarities closely.
 
-In every band bucket all members are held against one of them first. Where a bucket
-then still has members of different components, those are compared by their sketches
-in blocks of bounded size, whatever the size of the bucket, and only pairs of
-different components that look similar go on to be confirmed. A link inside one
-component changes nothing, so no link that counts is lost, and no bucket's pairs are
-all written out.
+Members of a band bucket are compared by their sketches, large buckets in pairs of
+blocks, one pair to a task. Whatever comes within five deviations of the threshold is
+joined into a candidate component; a task gives out a spanning forest of what it found,
+not the pairs, so a bucket of n members makes n rows for each block that it meets, at most. All
+linked pairs that share a bucket are inside one candidate component. There the full
+sets meet, again in pairs of blocks: pairs whose sketches are near are confirmed
+exactly, unless they are already joined, and the links of a task's forest go on.
 
 Null and empty texts have the empty set and are linked with nothing. Repeated rows,
 and rows of one doc_id, are linked by their texts like others. A null doc_id never is
@@ -45,8 +45,7 @@ class NearParams:
     rows: int = 5
     sketch_bits: int = 512
     seed: int = 9
-    #: Members that are held against one in a task, and in a block of the second comparison.
-    chunk: int = 64
+    #: Members of a block; a task holds two.
     block: int = 256
     #: A bucket of at most so many members is compared by a join.
     small: int = 12
@@ -115,51 +114,96 @@ def signatures(docs: DataFrame, params: NearParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signed, "doc_id long, n_shingles long, key binary, sketch binary, bands array<long>")
 
 
-def _close(pairs: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs (a, b) of keys whose sketches look similar enough to confirm."""
+class _Forest:
+    """Union-find over a few places."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _near_pairs(sketches: list[bytes], own: np.ndarray, i: int, j: int, params: NearParams) -> Iterator[tuple[int, int]]:
+    """Places whose sketches come near the threshold: inside a block if i = j, else between the two."""
+    bits = np.frombuffer(b"".join(sketches), _U).reshape(len(sketches), -1)
+    right = np.flatnonzero(own == j)
+    for x in np.flatnonzero(own == i).tolist():
+        others = right[right > x] if i == j else right
+        e = estimate(np.bitwise_count(bits[others] ^ bits[x]).sum(1, dtype=np.int64), params)
+        for y in others[e >= params.least_estimate].tolist():
+            yield x, y
+
+
+def _in_blocks(rows: DataFrame, params: NearParams) -> DataFrame:
+    """rows (with key and n, the members of its group) once for each pair of blocks that their own is part of: own, i, j."""
+    sized = rows.withColumn("blocks", F.ceil(F.col("n") / params.block)).withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks", "n")
+
+
+def _candidates(buckets: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
+    """Edges (a, b) whose components hold every pair that shares a bucket and looks similar. buckets: band, key, n."""
     least = params.least_estimate
 
     @F.pandas_udf("double")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=float)
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
+        x, y = (np.frombuffer(b"".join(s), _U).reshape(len(s), -1) for s in (x, y))
         return pd.Series(estimate(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), params))
 
+    few = buckets.where(F.col("n") <= params.small).select("band", "key")
+    pairs = few.toDF("band", "a").join(few.toDF("band", "b"), "band").where("a < b").select("a", "b").distinct()
     side = classes.select("key", "sketch")
-    pairs = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
-    return pairs.where(similar("x", "y") >= least).select("a", "b")
+    pairs = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b").where(similar("x", "y") >= least).select("a", "b")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        forest, names = _Forest(len(rows)), rows["key"].to_numpy(object)
+        found = [(x, y) for x, y in _near_pairs(list(rows["sketch"]), rows["own"].to_numpy(), key[1], key[2], params) if forest.join(x, y)]
+        return pd.DataFrame([(min(names[x], names[y]), max(names[x], names[y])) for x, y in found], columns=["a", "b"])
+
+    many = _in_blocks(buckets.where(F.col("n") > params.small), params).join(side, "key").select("band", "i", "j", "own", "key", "sketch")
+    return pairs.union(many.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough. Texts meet in chunks of at most `chunk` members and their centre a."""
-    pairs = staged(pairs.distinct(), "pairs")
-    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / params.chunk).alias("chunks"))
-    members = pairs.join(n, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("part"), F.col("b").alias("key"))
-    centres = n.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), F.col("a").alias("key"))
-    ids = classes.select("key", F.col("row").alias("row"))
-    roles = staged(members.union(centres).join(ids, "key"), "roles")
+def _confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
+    """Links (a, b), confirmed on full sets, whose components are those of all links. groups: node, label (the candidate component)."""
+    size = groups.groupBy("label").agg(F.count("*").alias("n"))
+    members = groups.join(size, "label").withColumnRenamed("node", "key").join(classes.select("key", "row", "sketch"), "key")
+    members = staged(members, "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), params.words)]
             # A row's id can be shared by another text: only the set that the class has goes on.
-            keep = [i for i, (s, k) in enumerate(zip(found, batch.column("key").to_pylist())) if xxhash.xxh3_128_digest(s) == k]
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("part").take(at), batch.column("key").take(at), pa.array([found[i] for i in keep], pa.binary())], ["a", "part", "key", "shingles"])
+            at = pa.array([i for i, (s, k) in enumerate(zip(found, batch.column("key").to_pylist())) if xxhash.xxh3_128_digest(s) == k], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("label", "key", "n", "sketch")] + [pa.array([found[i] for i in at.to_pylist()], pa.binary())], ["label", "key", "n", "sketch", "shingles"])
 
     def check(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, out = key[0], []
-        own = {k: np.frombuffer(s, _U) for k, s in zip(rows["key"], rows["shingles"])}
-        centre = own.pop(a)
-        for b, s in own.items():
-            both = len(np.intersect1d(centre, s, assume_unique=True))
-            if 100 * both >= params.percent * (len(centre) + len(s) - both):
-                out.append((a, b))
+        rows = rows.drop_duplicates("key")  # rows of one id and text
+        forest, names, out = _Forest(len(rows)), rows["key"].to_numpy(object), []
+        own = [np.frombuffer(s, _U) for s in rows["shingles"]]
+        for x, y in _near_pairs(list(rows["sketch"]), rows["own"].to_numpy(), key[1], key[2], params):
+            a, b = own[x], own[y]
+            if 100 * min(len(a), len(b)) >= params.percent * max(len(a), len(b)) and forest.find(x) != forest.find(y):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= params.percent * (len(a) + len(b) - both):
+                    forest.join(x, y)
+                    out.append((names[x], names[y]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    texts = docs.select(F.xxhash64("doc_id").alias("row"), "text").join(roles, "row").select("a", "part", "key", "text")
-    return texts.mapInArrow(sets, "a binary, part long, key binary, shingles binary").groupBy("a", "part").applyInPandas(check, "a binary, b binary")
+    # Both sides are dealt by the row's id whatever the size of one, so that cost stays in proportion.
+    texts = docs.select(F.xxhash64("doc_id").alias("row"), "text").join(members.hint("merge"), "row").select("label", "key", "n", "sketch", "text")
+    found = _in_blocks(texts.mapInArrow(sets, "label binary, key binary, n long, sketch binary, shingles binary"), params)
+    return found.select("label", "i", "j", "own", "key", "sketch", "shingles").groupBy("label", "i", "j").applyInPandas(check, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -170,22 +214,10 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     classes = some.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = staged(classes.withColumn("row", F.xxhash64("least")), "classes")
     buckets = classes.select("key", F.explode("bands").alias("band"))
-    centres = buckets.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = staged(buckets.join(centres, "band"), "buckets")
-    star = _close(buckets.where("key <> a").select("a", F.col("key").alias("b")).distinct(), classes, params)
-    links = staged(_confirmed(star, classes, docs, params), "links")
-    labels = connected_components(links)
-
-    # Buckets that still have members of different components.
-    marked = buckets.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"), "n")
-    open_bands = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    rest = staged(marked.join(open_bands, "band"), "open")
-    few = rest.where(F.col("n") <= params.small)
-    pairs = few.select("band", F.col("key").alias("a"), F.col("label").alias("la")).join(few.select("band", F.col("key").alias("b"), F.col("label").alias("lb")), "band").where("a < b and la <> lb").select("a", "b").distinct()
-    pairs = _close(pairs, classes, params).union(_between_blocks(rest.where(F.col("n") > params.small), classes, params)).distinct()
-    pairs = pairs.join(links, ["a", "b"], "left_anti")
-    more = staged(_confirmed(pairs, classes, docs, params), "links")
-    labels = connected_components(links.union(more))
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = staged(buckets.join(sizes, "band"), "buckets")
+    groups = connected_components(_candidates(buckets, classes, params))
+    labels = connected_components(_confirmed(groups, classes, docs, params))
 
     named = classes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -193,24 +225,3 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     out = some.select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
     out = out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _between_blocks(rest: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs of different components in large buckets whose sketches look similar; each task holds two blocks."""
-    sized = rest.withColumn("blocks", F.ceil(F.col("n") / params.block)).withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
-    dealt = sized.join(classes.select("key", "sketch"), "key").select("band", "key", "label", "sketch", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "label", "sketch")
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right = (rows[rows["own"] == k] for k in (i, j))
-        out = []
-        if len(left) and len(right):
-            words = np.frombuffer(b"".join(right["sketch"]), _U).reshape(len(right), -1)
-            names, labels = right["key"].to_numpy(object), right["label"].to_numpy(object)
-            for k, label, s in zip(left["key"], left["label"], left["sketch"]):
-                e = estimate(np.bitwise_count(words ^ np.frombuffer(s, _U)).sum(1, dtype=np.int64), params)
-                out += [(min(k, names[x]), max(k, names[x])) for x in np.flatnonzero(e >= params.least_estimate) if labels[x] != label]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return dealt.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary")
