@@ -38,59 +38,88 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+#: Letters whose counts a line carries; an edit changes the sum of their differences by 2 at most.
+LETTERS = "enirtaso"
+
+
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and size of segment i (from 0) of a line; the last ones are longer."""
-    size = F.floor(length / parts)
+    size = F.floor(length / parts).cast("int")
     short = parts - length % parts
     return 1 + i * size + F.greatest(i - short, F.lit(0)), size + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
-def index_entries(line: Column, params: LineParams) -> Column:
-    n, parts = F.length(line), params.distance + 1
-    return F.array(*(F.struct(n.cast("int").alias("size"), F.lit(i).alias("part"), F.xxhash64(F.substring(line, *_segment(n, i, parts))).alias("h")) for i in range(parts)))
+def index_entries(line: Column, length: Column, params: LineParams) -> Column:
+    """Hashes of the line's segments, with their number and the line's length."""
+    parts = params.distance + 1
+    return F.array(*(F.xxhash64(length, F.lit(i), F.substring(line, *_segment(length, i, parts))) for i in range(parts)))
 
 
-def probe_entries(line: Column, params: LineParams) -> Column:
-    """Substrings by which a line can meet an index entry of a line with 0 to `distance` code points less."""
-    m, tau, out = F.length(line), params.distance, []
+def probe_entries(line: Column, length: Column, params: LineParams) -> Column:
+    """Hashes of the substrings by which a line can meet an index entry of a line with 0 to `distance` code points less."""
+    tau, out = params.distance, []
     for less in range(tau + 1):
-        n = m - less
+        n = length - less
         for i in range(tau + 1):
             start, size = _segment(n, i, tau + 1)
             for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
                 at = start + shift
-                fits = (n >= params.least_chars) & (at >= 1) & (at + size - 1 <= m)
-                out.append(F.when(fits, F.struct(n.cast("int").alias("size"), F.lit(i).alias("part"), F.xxhash64(F.substring(line, at, size)).alias("h"))))
+                fits = (n >= params.least_chars) & (at >= 1) & (at + size - 1 <= length)
+                out.append(F.when(fits, F.xxhash64(n, F.lit(i), F.substring(line, at, size))))
     return F.array_compact(F.array(*out))
 
 
+def _letters(line: Column, length: Column) -> Column:
+    """The counts of LETTERS, up to 127 each, in the bytes of one number."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        n = F.least(length - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127))
+        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * k))
+    return out
+
+
+def _letter_distance(a: Column, b: Column) -> Column:
+    out = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        out = out + F.abs(F.shiftright(a, 8 * k).bitwiseAND(127) - F.shiftright(b, 8 * k).bitwiseAND(127))
+    return out
+
+
 def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
+    """doc_id, pos, line, length of all lines that take part."""
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    rows = rows.select("doc_id", "pos", F.trim(F.col("line"), F.lit(SPACES)).alias("line")).where(F.length("line") >= params.least_chars)
-    return rows.select("doc_id", "pos", lower_ascii(F.col("line")).alias("line"))
+    rows = rows.select("doc_id", "pos", F.trim(F.col("line"), F.lit(SPACES)).alias("line"))
+    rows = rows.select("doc_id", "pos", "line", F.length("line").alias("length")).where(F.col("length") >= params.least_chars)
+    return rows.select("doc_id", "pos", lower_ascii(F.col("line")).alias("line"), "length")
 
 
 def similar_lines(lines: DataFrame, docs: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs (a, b) of distinct lines within the distance, each pair once; lines: key, doc_id, pos, index, probes."""
-    index = lines.select(F.col("key").alias("a"), F.explode("index").alias("e")).select("a", "e.*")
-    probes = lines.select(F.col("key").alias("b"), F.explode("probes").alias("e")).select("b", "e.*")
-    pairs = probes.join(index, ["size", "part", "h"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(pairs.distinct(), "line-pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = staged(lines.select("key", "doc_id", "pos").join(need, "key"), "line-places")
-    texts = docs.select("doc_id", "text").join(places.groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")), "doc_id")
-    texts = staged(_occurrences(texts.join(places.select("doc_id").distinct(), "doc_id", "left_semi"), params).join(places, ["doc_id", "pos"]).select("key", "line").dropDuplicates(["key"]), "line-texts")
-    pairs = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    return pairs.where(F.levenshtein("x", "y", params.distance) >= 0).select("a", "b")
+    """Pairs (a, b) of distinct lines within the distance, each pair once; lines: key, doc_id, pos, index, probes, letters.
+
+    Candidates go by a 64-bit number of the line; what has the same number is told apart when texts are compared.
+    """
+    short = F.xxhash64("key")
+    index = lines.select(short.alias("a"), F.explode("index").alias("h"), F.col("letters").alias("la"))
+    probes = lines.select(short.alias("b"), F.explode("probes").alias("h"), F.col("letters").alias("lb"))
+    pairs = probes.join(index, "h").where((F.col("a") != F.col("b")) & (_letter_distance(F.col("la"), F.col("lb")) <= 2 * params.distance))
+    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    places = staged(lines.select(short.alias("id"), "key", "doc_id", "pos").join(need, "id"), "line-places")
+    texts = docs.select("doc_id", "text").join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = _occurrences(texts, params).join(places, ["doc_id", "pos"]).select("id", "key", "line").dropDuplicates(["key"])
+    texts = staged(texts, "line-texts")
+    pairs = pairs.join(texts.toDF("a", "ka", "x"), "a").join(texts.toDF("b", "kb", "y"), "b").where(F.levenshtein("x", "y", params.distance) >= 0)
+    return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """docs with its text less the dropped lines, and n_lines and n_dropped in a struct column `__line_dedup`."""
     found = _occurrences(docs, params)
-    found = found.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "pos", index_entries(F.col("line"), params).alias("index"), probe_entries(F.col("line"), params).alias("probes"))
+    line, length = F.col("line"), F.col("length")
+    found = found.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "pos", index_entries(line, length, params).alias("index"), probe_entries(line, length, params).alias("probes"), _letters(line, length).alias("letters"))
     place = F.struct("doc_id", "pos")
-    lines = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("index").alias("index"), F.first("probes").alias("probes"))
-    lines = staged(lines.select("key", "first", "first.doc_id", "first.pos", "n", "index", "probes"), "lines")
+    lines = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("index", "probes", "letters")))
+    lines = staged(lines.select("key", "first", "first.doc_id", "first.pos", "n", "index", "probes", "letters"), "lines")
     pairs = staged(similar_lines(lines, docs, params), "similar")
     side = lines.select("key", "first", "n")
     near = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
