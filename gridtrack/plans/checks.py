@@ -23,7 +23,7 @@ def stream_report(index: DataFrame, dt: float, precipitation: bool = False, may_
     facts = facts.withColumn("fit", ratio).fillna(0, ["gaps", "overlaps"])
     several = (F.size("calendars") > 1) | (F.size("steps") > 1)
     status = F.when(several | (F.col("fit") == "unsupported"), "unsupported").when((F.col("fit") == "ready") & (F.col("gaps") == 0), "ready").otherwise("prepare")
-    notes = F.array_compact(F.array(F.when(F.size("calendars") > 1, "several calendars"), F.when(F.size("steps") > 1, "several steps"), F.when(F.col("gaps") > 0, F.concat_ws(" ", "gaps", "gaps")), F.when(F.col("overlaps") > 0, F.concat_ws(" ", F.lit("overlaps:"), "overlaps")), F.when(F.col("fit") != "ready", F.col("fit"))))
+    notes = F.array_compact(F.array(F.when(F.size("calendars") > 1, "several calendars"), F.when(F.size("steps") > 1, "several steps"), F.when(F.col("gaps") > 0, F.concat_ws(" ", F.lit("gaps:"), "gaps")), F.when(F.col("overlaps") > 0, F.concat_ws(" ", F.lit("overlaps:"), "overlaps")), F.when(F.col("fit") != "ready", F.col("fit"))))
     return facts.select("stream", "files", "first", "last", status.alias("status"), notes.alias("notes"))
 
 
