@@ -11,7 +11,7 @@ joined into a candidate component; a task gives out a spanning forest of what it
 not the pairs, so a bucket of n members makes n rows for each block that it meets, at most. All
 linked pairs that share a bucket are inside one candidate component. There the full
 sets meet, again in pairs of blocks: pairs whose sketches are near are confirmed
-exactly, unless they are already joined, and the links of a task's forest go on.
+exactly, unless they are already joined, and a task's forest goes on.
 
 Null and empty texts have the empty set and are linked with nothing. Repeated rows,
 and rows of one doc_id, are linked by their texts like others. A null doc_id never is
@@ -130,6 +130,10 @@ class _Forest:
         self.up[max(x, y)] = min(x, y)
         return x != y
 
+    def edges(self, names: np.ndarray) -> pd.DataFrame:
+        """Each place's name with that of the first place of its tree. Names in order make the same edges in many tasks, which distinct then takes for one."""
+        return pd.DataFrame([(names[self.find(x)], names[x]) for x in range(len(names)) if self.find(x) != x], columns=["a", "b"])
+
 
 def _near_pairs(sketches: list[bytes], own: np.ndarray, i: int, j: int, params: NearParams) -> Iterator[tuple[int, int]]:
     """Places whose sketches come near the threshold: inside a block if i = j, else between the two."""
@@ -166,16 +170,17 @@ def _candidates(buckets: DataFrame, classes: DataFrame, params: NearParams) -> D
     pairs = pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b").where(similar("x", "y") >= least).select("a", "b")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        forest, names = _Forest(len(rows)), rows["key"].to_numpy(object)
-        found = [(x, y) for x, y in _near_pairs(list(rows["sketch"]), rows["own"].to_numpy(), key[1], key[2], params) if forest.join(x, y)]
-        return pd.DataFrame([(min(names[x], names[y]), max(names[x], names[y])) for x, y in found], columns=["a", "b"])
+        rows, forest = rows.sort_values("key"), _Forest(len(rows))
+        for x, y in _near_pairs(list(rows["sketch"]), rows["own"].to_numpy(), key[1], key[2], params):
+            forest.join(x, y)
+        return forest.edges(rows["key"].to_numpy(object))
 
     many = _in_blocks(buckets.where(F.col("n") > params.small), params).join(side, "key").select("band", "i", "j", "own", "key", "sketch")
     return pairs.union(many.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary"))
 
 
 def _confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
-    """Links (a, b), confirmed on full sets, whose components are those of all links. groups: node, label (the candidate component)."""
+    """Edges (a, b) whose components are those of all links; links are confirmed on full sets. groups: node, label (the candidate component)."""
     size = groups.groupBy("label").agg(F.count("*").alias("n"))
     members = groups.join(size, "label").withColumnRenamed("node", "key").join(classes.select("key", "row", "sketch"), "key")
     members = staged(members, "members")
@@ -188,8 +193,8 @@ def _confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, params: N
             yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("label", "key", "n", "sketch")] + [pa.array([found[i] for i in at.to_pylist()], pa.binary())], ["label", "key", "n", "sketch", "shingles"])
 
     def check(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("key")  # rows of one id and text
-        forest, names, out = _Forest(len(rows)), rows["key"].to_numpy(object), []
+        rows = rows.drop_duplicates("key").sort_values("key")  # rows of one id and text are there twice
+        forest = _Forest(len(rows))
         own = [np.frombuffer(s, _U) for s in rows["shingles"]]
         for x, y in _near_pairs(list(rows["sketch"]), rows["own"].to_numpy(), key[1], key[2], params):
             a, b = own[x], own[y]
@@ -197,8 +202,7 @@ def _confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, params: N
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * both >= params.percent * (len(a) + len(b) - both):
                     forest.join(x, y)
-                    out.append((names[x], names[y]))
-        return pd.DataFrame(out, columns=["a", "b"])
+        return forest.edges(rows["key"].to_numpy(object))
 
     # Both sides are dealt by the row's id whatever the size of one, so that cost stays in proportion.
     texts = docs.select(F.xxhash64("doc_id").alias("row"), "text").join(members.hint("merge"), "row").select("label", "key", "n", "sketch", "text")
