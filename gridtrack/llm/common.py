@@ -108,7 +108,7 @@ def span_hashes(split: list[list[bytes]], words: int = 1) -> tuple[np.ndarray, n
     power, inverse = _pow(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * power[:-1], out=sums[1:])
-    gap = np.flatnonzero(data <= 32)
+    gap = np.flatnonzero((data == 32) | (data == 10))  # what joins words and texts; a word can hold other control characters
     start, end = np.append(0, gap + 1), np.append(gap, len(data))
     last = np.minimum(np.arange(len(start)) + words - 1, np.repeat(np.cumsum(n) - 1, n))
     return mixed((sums[end[last]] - sums[start]) * inverse[start]), n
