@@ -38,7 +38,7 @@ class CodecParams:
     #: Different segmentations that documents are dealt to.
     draws: int = 4
     #: Bound of the units whose ids a worker remembers.
-    cache: int = 400_000
+    cache: int = 1_000_000
 
 
 class Codec:
@@ -162,8 +162,8 @@ def encode_documents(docs: DataFrame, params: CodecParams) -> DataFrame:
         codec = _codecs.get(params) or _codecs.setdefault(params, Codec(params))
         for batch in batches:
             texts, draws = [t or "" for t in batch.column("text").to_pylist()], batch.column("draw").to_pylist()
-            for at in range(0, len(texts), 500):
-                part = slice(at, at + 500)
+            for at in range(0, len(texts), 2000):
+                part = slice(at, at + 2000)
                 ids = list(codec.encode_all(texts[part], draws[part]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), batch.column("draw").slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "draw", "ids", "decoded"])
 
