@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as e
@@ -25,7 +26,7 @@ def con():
 def canonical(df):
     """Rows in the order of their columns' names, sorted; numbers as floats."""
     cols = sorted(df.columns)
-    number = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iufb" else str(v)
+    number = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iufb" else str(v)
     rows = [tuple(map(number, r)) for r in df[cols].itertuples(index=False)]
     return cols, sorted(rows, key=lambda r: tuple((x is None, round(x, 3) if isinstance(x, float) else 0, str(x) if not isinstance(x, float) else "") for x in r))
 
