@@ -38,8 +38,8 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-#: Letters whose counts a line carries; an edit changes the sum of their differences by 2 at most.
-LETTERS = "enirtaso"
+#: Letters whose counts a line carries, eight to a number; an edit changes the sum of their differences by 2 at most.
+LETTERS = ("enirtaso", "dlcumghp")
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -70,21 +70,32 @@ def probe_entries(line: Column, length: Column, params: LineParams) -> Column:
 
 
 def _letters(line: Column, length: Column) -> Column:
-    """The counts of LETTERS, up to 127 each, in the bytes of one number."""
-    out = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        n = F.least(length - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127))
-        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * k))
-    return out
+    """The counts of each eight LETTERS, up to 127 each, in the low bits of the bytes of one number; two of the first number's high bits hold the length mod 4."""
+    out = []
+    for some in LETTERS:
+        bits = F.lit(0).cast("long")
+        for k, c in enumerate(some):  # letters of one byte: octets count them
+            n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127))
+            bits = bits.bitwiseOR(F.shiftleft(n.cast("long"), 8 * k))
+        out.append(bits)
+    for k in range(2):
+        out[0] = out[0].bitwiseOR(F.shiftleft(F.shiftright(length, k).bitwiseAND(1).cast("long"), 8 * k + 7))
+    return F.struct(*(x.alias(f"l{i}") for i, x in enumerate(out)))
 
 
 def _letter_distance(a: Column, b: Column) -> Column:
     out = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        out = out + F.abs(F.shiftright(a, 8 * k).bitwiseAND(127) - F.shiftright(b, 8 * k).bitwiseAND(127))
+    for i, some in enumerate(LETTERS):
+        for k in range(len(some)):
+            out = out + F.abs(F.shiftright(a[f"l{i}"], 8 * k).bitwiseAND(127) - F.shiftright(b[f"l{i}"], 8 * k).bitwiseAND(127))
     return out
 
 
+def _same_length(a: Column, b: Column) -> Column:
+    """Of lines that met in the index, so that their lengths differ by 3 at most (params.distance is below 4)."""
+    return a["l0"].bitwiseAND(0x8080) == b["l0"].bitwiseAND(0x8080)
+
+
 def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
     """doc_id, pos, line, length of all lines that take part."""
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
@@ -101,7 +112,10 @@ def similar_lines(lines: DataFrame, docs: DataFrame, params: LineParams) -> Data
     short = F.xxhash64("key")
     index = lines.select(short.alias("a"), F.explode("index").alias("h"), F.col("letters").alias("la"))
     probes = lines.select(short.alias("b"), F.explode("probes").alias("h"), F.col("letters").alias("lb"))
-    pairs = probes.join(index, "h").where((F.col("a") != F.col("b")) & (_letter_distance(F.col("la"), F.col("lb")) <= 2 * params.distance))
+    near = _letter_distance(F.col("la"), F.col("lb")) <= 2 * params.distance
+    # Lines of one length probe each other: one of the two ways is enough.
+    once = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~_same_length(F.col("la"), F.col("lb")))
+    pairs = probes.join(index, "h").where(once & near)
     pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     places = staged(lines.select(short.alias("id"), "key", "doc_id", "pos").join(need, "id"), "line-places")
@@ -114,6 +128,8 @@ def similar_lines(lines: DataFrame, docs: DataFrame, params: LineParams) -> Data
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """docs with its text less the dropped lines, and n_lines and n_dropped in a struct column `__line_dedup`."""
+    if params.distance > 3:
+        raise ValueError("distance: 3 at most")
     found = _occurrences(docs, params)
     line, length = F.col("line"), F.col("length")
     found = found.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "pos", index_entries(line, length, params).alias("index"), probe_entries(line, length, params).alias("probes"), _letters(line, length).alias("letters"))
