@@ -26,7 +26,8 @@ def fold(doc_id: Column, k: int) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case, nothing else; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), A_Z, a_z)
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, A_Z, a_z))  # lower() is far faster, and the same where all is ASCII
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
