@@ -38,8 +38,8 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-#: Letters whose counts a line carries, eight to a number; an edit changes the sum of their differences by 2 at most.
-LETTERS = ("enirtaso", "dlcumghp")
+#: Letters whose counts a line carries; an edit changes the sum of their differences by 2 at most.
+LETTERS = "enirtasodlcu"
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -70,30 +70,24 @@ def probe_entries(line: Column, length: Column, params: LineParams) -> Column:
 
 
 def _letters(line: Column, length: Column) -> Column:
-    """The counts of each eight LETTERS, up to 127 each, in the low bits of the bytes of one number; two of the first number's high bits hold the length mod 4."""
-    out = []
-    for some in LETTERS:
-        bits = F.lit(0).cast("long")
-        for k, c in enumerate(some):  # letters of one byte: octets count them
-            n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(127))
-            bits = bits.bitwiseOR(F.shiftleft(n.cast("long"), 8 * k))
-        out.append(bits)
-    for k in range(2):
-        out[0] = out[0].bitwiseOR(F.shiftleft(F.shiftright(length, k).bitwiseAND(1).cast("long"), 8 * k + 7))
-    return F.struct(*(x.alias(f"l{i}") for i, x in enumerate(out)))
+    """The counts of LETTERS, up to 31 each, in five bits of one number, and above them the length mod 4."""
+    out = F.shiftleft(length.bitwiseAND(3).cast("long"), 5 * len(LETTERS))
+    for k, c in enumerate(LETTERS):  # letters of one byte: octets count them
+        n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(31))
+        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 5 * k))
+    return out
 
 
 def _letter_distance(a: Column, b: Column) -> Column:
     out = F.lit(0).cast("long")
-    for i, some in enumerate(LETTERS):
-        for k in range(len(some)):
-            out = out + F.abs(F.shiftright(a[f"l{i}"], 8 * k).bitwiseAND(127) - F.shiftright(b[f"l{i}"], 8 * k).bitwiseAND(127))
+    for k in range(len(LETTERS)):
+        out = out + F.abs(F.shiftright(a, 5 * k).bitwiseAND(31) - F.shiftright(b, 5 * k).bitwiseAND(31))
     return out
 
 
 def _same_length(a: Column, b: Column) -> Column:
     """Of lines that met in the index, so that their lengths differ by 3 at most (params.distance is below 4)."""
-    return a["l0"].bitwiseAND(0x8080) == b["l0"].bitwiseAND(0x8080)
+    return F.shiftright(a, 5 * len(LETTERS)) == F.shiftright(b, 5 * len(LETTERS))
 
 
 def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
