@@ -2,10 +2,14 @@
 
 Merge-type encoding takes, again and again, the best-scored pair of neighbouring
 pieces whose join is a piece, leftmost first. With dropout a candidate merge is skipped
-when a hash keyed by seed, draw, unit and the candidate's ends falls below the rate, so
-the same call always gives the same segmentation and another seed or draw another one.
-A document's draw is a hash of its id. Blanks never stand inside a piece after other
-characters, so a text is encoded unit by unit (blanks, then a word), many units at once.
+when a hash keyed by seed, document, the unit's place in the text and the candidate's
+ends falls below the rate: each occurrence of a word is segmented anew, and the same call
+always gives the same segmentation. A document's draw is a 64-bit hash of its id, or of
+its text where the id is null. Blanks never stand inside a piece after other characters,
+so a text is encoded unit by unit (blanks, then a word), many units at once.
+
+Remembered of a unit are its ids without dropout and the candidates on the way there.
+Where an occurrence skips none of these, they are its ids; all others are merged anew.
 
 Characters without a piece, and the character that stands for a blank in pieces, go by
 bytes; decoding always gives the text back. A null text is an empty one; an empty text
@@ -14,6 +18,7 @@ has no ids. Repeated rows are encoded alike. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_blocks, mixed
+
 BLANK = "▁"
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 _U = np.uint64
@@ -35,12 +42,31 @@ class CodecParams:
     model: str
     dropout: float = 0.1
     seed: int = 10
-    #: Different segmentations that documents are dealt to.
-    draws: int = 4
-    #: Bound of the units whose ids a worker remembers.
+    #: Bound of the units of which a worker remembers the ids without dropout.
     cache: int = 1_000_000
 
 
+class Pool:
+    """Runs of numbers, one after the other."""
+
+    def __init__(self, kind: type):
+        self.data, self.starts, self.sizes, self.used = np.zeros(1 << 12, kind), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.data):
+            self.data = np.append(self.data[: self.used], np.zeros(self.used + 2 * len(flat), self.data.dtype))
+        self.data[self.used : self.used + len(flat)] = flat
+        self.starts = np.append(self.starts, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.used += len(flat)
+
+    def runs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of rows, and the place in rows that each number is of."""
+        n = self.sizes[rows]
+        of = np.repeat(np.arange(len(rows)), n)
+        return self.data[np.arange(len(of)) + (self.starts[rows] - np.cumsum(n) + n)[of]], of
+
+
 class Codec:
     def __init__(self, params: CodecParams):
         import sentencepiece
@@ -64,20 +90,27 @@ class Codec:
         self.keys, self.joined = np.array(keys, np.int64)[order], np.array(joined, np.int64)[order]
         self.scores = np.array([sp.get_score(i) for i in range(n)])
         self.raw = [bytes([int(self.pieces[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else self.pieces[i].replace(BLANK, " ").encode() for i in range(n)]
-        self.n, self.known = n, [{} for _ in range(params.draws)]
-
-    def _merge(self, units: list[str], draw: int) -> list[bytes]:
-        """Ids of each unit as bytes; the units are worked on together, column by column."""
-        p, n, width = self.params, len(units), max(map(len, units))
-        # Codes of characters without a piece are below 0 and join with nothing.
+        self.n, self.below = n, _U(min(int(params.dropout * 2.0**64), 2**64 - 1))
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: number of each unit; of each: ids without dropout, code points as symbols, candidates on the way to the ids."""
+        self.known: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.symbols, self.ends = Pool(np.int32), Pool(_U)
+
+    def _skipped(self, key: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed(key + ends * _U(0x9E3779B97F4A7C15)) < self.below
+
+    def _merge(self, units: np.ndarray, keys: np.ndarray | None) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+        """Ids of each unit as bytes, and without keys (no dropout) the candidates met, by row; the units are worked on together, column by column."""
+        n, size = len(units), self.symbols.sizes[units]
+        width, met = int(size.max()), []
+        # Codes of characters without a piece are below -1 and join with nothing.
         sym = np.full((n, width + 1), -1, np.int64)
-        for r, u in enumerate(units):
-            sym[r, : len(u)] = [self.chars.get(BLANK if c == " " else "" if c == BLANK else c, -2 - ord(c)) for c in u]
-        size = np.array([len(u) for u in units])
-        cuts = np.tile(np.arange(width + 1), (n, 1))
-        cuts = np.minimum(cuts, size[:, None])
-        key = np.array([xxhash.xxh3_64_intdigest(u.encode("utf-8", "replace"), seed=(p.seed << 16) + draw) for u in units], _U)
-        below = _U(min(int(p.dropout * 2.0**64), 2**64 - 1))
+        flat, of = self.symbols.runs(units)
+        sym[of, np.arange(len(of)) - (np.cumsum(size) - size)[of]] = flat
+        cuts = np.minimum(np.arange(width + 1)[None], size[:, None])
 
         def candidates(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Score and joined piece of the pair at each place; no candidate scores minus infinity."""
@@ -85,13 +118,14 @@ class Codec:
             k = np.where((a >= 0) & (b >= 0), a * self.n + b, -1)
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
             ok = self.keys[at] == k
-            if p.dropout > 0:
-                ends = [cuts[rows, cols].astype(_U), cuts[rows, cols + 1].astype(_U), np.where(cols + 2 <= width, cuts[rows, np.minimum(cols + 2, width)], size[rows]).astype(_U)]
-                h = key[rows]
-                for e in ends:
-                    h = (h ^ e) * _U(0x9E3779B97F4A7C15)
-                    h ^= h >> _U(32)
-                ok &= (h * _U(0xBF58476D1CE4E5B9)) >= below
+            if self.below:
+                r, c = rows[ok], cols[ok]
+                third = np.where(c + 2 <= width, cuts[r, np.minimum(c + 2, width)], size[r])
+                ends = cuts[r, c].astype(_U) + (cuts[r, c + 1].astype(_U) << _U(21)) + (third.astype(_U) << _U(42))
+                if keys is None:
+                    met.append((r, ends))
+                else:
+                    ok[ok] = ~self._skipped(keys[r], ends)
             return np.where(ok, self.scores[self.joined[at]], -np.inf), self.joined[at]
 
         best, piece = np.full((n, width), -np.inf), np.zeros((n, width), np.int64)
@@ -115,15 +149,47 @@ class Codec:
             for c, ok in ((at, at + 1 < width), (at - 1, at > 0)):
                 r, c = live[ok], c[ok]
                 best[r, c], piece[r, c] = candidates(r, c)
-        out = []
-        for row in sym.tolist():
-            ids = []
-            for x in row:
-                if x == -1:
-                    break
-                ids += [x] if x >= 0 else [self.bytes[b] for b in chr(-2 - x).encode("utf-8", "replace")]
-            out.append(np.array(ids, "<u4").tobytes())
-        return out
+        mask = sym >= 0
+        flat, to = sym[mask].astype("<u4").tobytes(), np.cumsum(mask.sum(1)) * 4
+        out = [flat[i:j] for i, j in zip([0, *to[:-1].tolist()], to.tolist())]
+        for r in np.flatnonzero((sym < -1).any(1)).tolist():
+            ids = [[x] if x >= 0 else [self.bytes[b] for b in chr(-2 - x).encode("utf-8", "replace")] for x in sym[r].tolist() if x != -1]
+            out[r] = np.array(list(itertools.chain.from_iterable(ids)), "<u4").tobytes()
+        return out, met
+
+    def _together(self, units: np.ndarray) -> Iterator[np.ndarray]:
+        """Places in units, those of like length together."""
+        size = self.symbols.sizes[units]
+        order, at = np.argsort(size, kind="stable"), 0
+        size = size[order]
+        while at < len(order):
+            most = int(np.searchsorted(size, size[at] + 2, "right"))
+            to = min(most, at + max(1, min(4096, 100_000 // (int(size[at]) + 3))))
+            yield order[at:to]
+            at = to
+
+    def _remember(self, units: list[str]) -> None:
+        new = list(set(units) - self.known.keys())
+        if len(self.known) + len(new) > self.params.cache:
+            self._forget()
+            new = list(set(units))
+        if not new:
+            return
+        first = len(self.known)
+        codes = [self.chars.get(BLANK if c == " " else "" if c == BLANK else c, -2 - ord(c)) for u in new for c in u]
+        self.symbols.add(np.array(codes, np.int32), np.array([len(u) for u in new]))
+        self.plain += [b""] * len(new)
+        ends, of = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        number = np.arange(first, first + len(new))
+        for places in self._together(number):
+            ids, met = self._merge(number[places], None)
+            for k, x in zip(places.tolist(), ids):
+                self.plain[first + k] = x
+            for r, e in met:
+                ends.append(e), of.append(places[r])
+        of = np.concatenate(of)
+        self.ends.add(np.concatenate(ends)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(new)))
+        self.known.update(zip(new, number.tolist()))
 
     def encode(self, text: str, draw: int = 0) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -131,22 +197,28 @@ class Codec:
 
     def encode_all(self, texts: list[str], draws: list[int]) -> Iterator[bytes]:
         split = [_UNITS.findall(" " + t) if t else [] for t in texts]
-        for draw in set(draws):
-            known = self.known[draw]
-            new = list({u for units, d in zip(split, draws) if d == draw for u in units} - known.keys())
-            if sum(map(len, self.known)) + len(new) > self.params.cache:
-                known.clear()
-                new = list({u for units, d in zip(split, draws) if d == draw for u in units})
-            new.sort(key=len)
-            at = 0
-            while at < len(new):  # units of like length together
-                to = at + 1
-                while to < len(new) and to - at < 4096 and (to - at + 1) * (len(new[to]) + 1) < 100_000 and len(new[to]) <= len(new[at]) + 2:
-                    to += 1
-                known.update(zip(new[at:to], self._merge(new[at:to], draw)))
-                at = to
-        for units, draw in zip(split, draws):
-            yield b"".join(map(self.known[draw].__getitem__, units))
+        units = list(itertools.chain.from_iterable(split))
+        self._remember(units)
+        number = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        ids = list(map(self.plain.__getitem__, number.tolist()))
+        n = np.array([len(x) for x in split], np.int64)
+        if self.below:
+            draw = np.array([xxhash.xxh3_64_intdigest(d.to_bytes(8, "little", signed=True), seed=self.params.seed) for d in draws], _U)
+            place = np.arange(len(units)) - np.repeat(np.cumsum(n) - n, n)
+            key = mixed(np.repeat(draw, n) + place.astype(_U) * _U(0xD6E8FEB86659FD93))
+            anew = np.zeros(len(units), bool)
+            for at in range(0, len(units), 100_000):
+                ends, of = self.ends.runs(number[at : at + 100_000])
+                anew[at + of[self._skipped(key[at + of], ends)]] = True
+            anew = np.flatnonzero(anew)
+            for places in self._together(number[anew]):
+                rows = anew[places]
+                for r, x in zip(rows.tolist(), self._merge(number[rows], key[rows])[0]):
+                    ids[r] = x
+        at = 0
+        for k in n.tolist():
+            yield b"".join(ids[at : at + k])
+            at += k
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode("utf-8", "replace")
@@ -161,14 +233,13 @@ def encode_documents(docs: DataFrame, params: CodecParams) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codecs.get(params) or _codecs.setdefault(params, Codec(params))
         for batch in batches:
-            texts, draws = [t or "" for t in batch.column("text").to_pylist()], batch.column("draw").to_pylist()
-            for at in range(0, len(texts), 2000):
-                part = slice(at, at + 2000)
-                ids = list(codec.encode_all(texts[part], draws[part]))
+            draws = batch.column("draw").to_pylist()
+            for at, texts in in_blocks(batch.column("text").to_pylist(), 1_000_000):
+                ids = list(codec.encode_all(texts, draws[at : at + len(texts)]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), batch.column("draw").slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "draw", "ids", "decoded"])
 
-    draw = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(params.draws)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), draw.alias("draw"), "text").mapInArrow(encoded, "doc_id long, draw int, ids binary, decoded string")
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), draw.alias("draw"), "text").mapInArrow(encoded, "doc_id long, draw long, ids binary, decoded string")
 
 
 def ids_crc32(ids: bytes) -> int:

@@ -251,6 +251,35 @@ def test_sentencepiece_codec(docs, none):
     assert sp_codec.encode_documents(none, p).count() == 0
 
 
+def test_sentencepiece_draws_every_occurrence(spark):
+    """One word many times in a text, and one text in many documents, are segmented in many ways."""
+    codec = sp_codec.Codec(sp_codec.CodecParams(path := P.path("piece_bpe_32k.model")))
+    word, seen = "international", collections.Counter()
+    for d in range(20):
+        ids = codec.encode(" ".join([word] * 100), d)
+        pieces = [codec.pieces[i] for i in np.frombuffer(ids, "<u4")]
+        seen.update("".join(f"|{x}" for x in pieces).split(f"|{sp_codec.BLANK}"))
+    assert len(seen) > 10
+    one = [codec.encode(word, d) for d in range(400)]
+    assert len(set(one)) > 8
+    # An occurrence that skips a candidate, and one that skips none, come out as without what is remembered.
+    text = " ".join(WORDS[:50]) + " " + word
+    units = sp_codec._UNITS.findall(" " + text)
+    codec._remember(units)
+    key = np.arange(len(units), dtype=np.uint64) * np.uint64(0x1234567890ABCDEF)
+    number = np.array([codec.known[u] for u in units])
+    ends, of = codec.ends.runs(number)
+    hit = np.zeros(len(units), bool)
+    hit[of[codec._skipped(key[of], ends)]] = True
+    assert 0 < hit.sum() < len(units)
+    for k, x in enumerate(codec._merge(number, key)[0]):
+        assert hit[k] or x == codec.plain[number[k]]
+    rate = codec._skipped(np.arange(200_000, dtype=np.uint64), np.full(200_000, 3, np.uint64)).mean()
+    assert abs(rate - 0.1) < 0.005
+    rows = spark.createDataFrame([(i, BASE) for i in range(40)], "doc_id long, text string")
+    assert len({r.ids for r in sp_codec.encode_documents(rows, sp_codec.CodecParams(path)).collect()}) == 40
+
+
 def test_lm_score(docs, none):
     out = {r.doc_id: r for r in lm_score.score(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     tok = {i: [w.encode() for w in words(fold_ascii(t))] + [b"\n"] for i, t in enumerate(TEXTS)}
