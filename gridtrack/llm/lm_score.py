@@ -2,13 +2,13 @@
 
 All n-grams (words and pairs of words) of the training documents are counted by hash.
 A count c is kept as its level 1 + floor(log2 c), by entering the n-gram with each
-level up to its own into a Bloom filter, which goes to all workers. A lookup probes
-level after level until one is missing. A pair's probability is interpolated with its
-word's.
+level up to its own into a Bloom filter. A lookup probes level after level until one is
+missing. A pair's probability is interpolated with its word's.
 
-The filter has at most `max_bits` bits. Words enter from count 1 and pairs from
-`least_pair`; where more n-grams are left than the filter holds at `bits_per_event`,
-the least count of pairs doubles until they fit, which keeps the error rate of a probe.
+Words and pairs enter from count 1, at `bits_per_event` bits for each level entered, so
+the filter grows with the input and its error rate does not. It is cut into segments by
+hash, and no task or driver holds more than a segment: texts go in blocks, a block sends
+its distinct n-grams to the segments, which are built and probed there, and gets the levels back.
 
 The base score needs exact counts of words, of which there is no bound: words with more
 than a `common`th of all tokens, fewer than `common` words, are broadcast; the rest are
@@ -44,11 +44,9 @@ BLOCKS = 256
 class LmParams:
     folds: int = 7
     held_out: int = 2
-    max_bits: int = 1 << 29
     bits_per_event: int = 8
     probes: int = 5
     levels: int = 40
-    least_pair: int = 2
     #: Weight of the pair's probability; the word's has the rest.
     pair_weight: float = 0.1
     common: int = 250_000
@@ -56,12 +54,13 @@ class LmParams:
 
 @dataclass(frozen=True)
 class LogFrequencyFilter:
-    bits: np.ndarray  # packed, BLOCKS parts of equal size
+    bits: np.ndarray  # packed, parts of equal size: BLOCKS, or one
     part: int  # bits of a part
     probes: int
     levels: int
     tokens: int
     types: int
+    parts: int = BLOCKS
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,8 +133,6 @@ def gram_levels(docs: DataFrame, params: LmParams, segments: int) -> DataFrame:
             yield out(words, False)
             yield out(pairs, True)
 
-    least = params.least_pair
-
     def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         segment, pair = key
         h = np.concatenate([np.frombuffer(x, _U) for x in rows["hashes"]])
@@ -144,8 +141,6 @@ def gram_levels(docs: DataFrame, params: LmParams, segments: int) -> DataFrame:
         h, c = h[order], c[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         h, c = h[first], np.add.reduceat(c.astype(np.int64), first)
-        if pair:
-            h, c = h[c >= least], c[c >= least]
         level = (np.log2(c) + 1e-9).astype(np.uint8) + 1
         sizes = np.bincount(level, minlength=params.levels + 1)[: params.levels + 1]
         return pd.DataFrame({"segment": [segment], "pair": [bool(pair)], "hashes": [h.tobytes()], "levels": [level.tobytes()], "sizes": [sizes.tolist()]})
@@ -153,34 +148,48 @@ def gram_levels(docs: DataFrame, params: LmParams, segments: int) -> DataFrame:
     return docs.select("text").mapInArrow(runs, "segment long, pair boolean, hashes binary, counts binary").groupBy("segment", "pair").applyInPandas(summed, "segment long, pair boolean, hashes binary, levels binary, sizes array<long>")
 
 
-def build_filter(grams: DataFrame, params: LmParams, segments: int, tokens: int, types: int) -> LogFrequencyFilter:
-    """The filter's parts are built in tasks; the driver joins them, at most max_bits in all."""
-    rows = grams.select("pair", F.posexplode("sizes").alias("level", "n")).groupBy("pair", "level").agg(F.sum("n").alias("n")).collect()
-    size = {(r.pair, r.level): r.n for r in rows}
-    least = 1
-    while (events := sum(n * k for (pair, k), n in size.items() if not pair or k >= least)) * params.bits_per_event > params.max_bits and least < params.levels:
-        least += 1
-    wanted = min(params.max_bits, max(1 << 16, events * params.bits_per_event))
-    part = 1 << int(np.ceil(np.log2(wanted / BLOCKS)))
-    per_block = segments // BLOCKS
-
-    def built(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(part, np.uint8)
-        for pair, hashes, levels in zip(rows["pair"], rows["hashes"], rows["levels"]):
-            h, top = np.frombuffer(hashes, _U), np.frombuffer(levels, np.uint8)
-            if pair:
-                h, top = h[top >= least], top[top >= least]
-            for k in range(1, int(top.max(initial=0)) + 1):
-                own = h[top >= k]
-                for i in range(params.probes):
-                    bits[_positions(own, k, i, part).astype(np.int64)] = 1
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    parts = grams.select(F.floor(F.col("segment") / per_block).alias("block"), "pair", "hashes", "levels").groupBy("block").applyInPandas(built, "block long, bits binary").collect()
-    bits = np.zeros((BLOCKS, part // 8), np.uint8)
-    for r in parts:
-        bits[r.block] = np.frombuffer(r.bits, np.uint8)
-    return LogFrequencyFilter(bits.reshape(-1), part, params.probes, params.levels, tokens, types)
+def part_bits(grams: DataFrame, params: LmParams, segments: int) -> int:
+    """Bits of a segment of the filter: a power of 2, at least bits_per_event for each level that was counted in all."""
+    sizes = grams.select(F.posexplode("sizes").alias("level", "n"))
+    events = sizes.agg(F.coalesce(F.sum(F.col("level") * F.col("n")), F.lit(0))).first()[0]
+    return 1 << int(np.ceil(np.log2(max(1 << 10, events * params.bits_per_event / segments))))
+
+
+def segment_filter(rows: pd.DataFrame, part: int, params: LmParams, tokens: int, types: int) -> LogFrequencyFilter:
+    bits = np.zeros(part, np.uint8)
+    for hashes, tops in zip(rows["hashes"], rows["levels"]):
+        h, top = np.frombuffer(hashes, _U), np.frombuffer(tops, np.uint8)
+        for k in range(1, int(top.max(initial=0)) + 1):
+            own = h[top >= k]
+            for i in range(params.probes):
+                bits[_positions(own, k, i, part).astype(np.int64)] = 1
+    return LogFrequencyFilter(np.packbits(bits), part, params.probes, params.levels, tokens, types, 1)
+
+
+def gram_answers(rows: DataFrame, grams: DataFrame, params: LmParams, segments: int, tokens: int, types: int) -> DataFrame:
+    """block, hashes, levels: of the n-grams of each block of rows (block, text), packed, each at least once."""
+    shift, part = _U(64 - int(np.log2(segments))), part_bits(grams, params, segments)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, texts = batch.column("block").to_numpy(), batch.column("text").to_pylist()
+            for own in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
+                words, pairs, _ = _grams([texts[i] for i in own])
+                h = np.unique(np.concatenate([words, pairs]))
+                cuts = np.searchsorted(h >> shift, np.arange(segments + 1, dtype=_U))
+                some = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[own[0]]] * len(some), pa.int64()), pa.array([h[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary())], ["segment", "block", "asked"])
+
+    def answered(key: tuple, model: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(wanted):
+            return pd.DataFrame({"block": [], "hashes": [], "levels": []})
+        f = segment_filter(model, part, params, tokens, types)
+        u, own = np.unique(np.frombuffer(b"".join(wanted["asked"]), _U), return_inverse=True)
+        found, ends = levels(f, u).astype(np.uint8)[own], np.cumsum([len(x) // 8 for x in wanted["asked"]])
+        return pd.DataFrame({"block": wanted["block"], "hashes": wanted["asked"], "levels": [x.tobytes() for x in np.split(found, ends[:-1])]})
+
+    wanted = rows.select("block", "text").mapInArrow(asked, "segment long, block long, asked binary")
+    return grams.select("segment", "hashes", "levels").groupBy("segment").cogroup(wanted.groupBy("segment")).applyInPandas(answered, "block long, hashes binary, levels binary")
 
 
 def levels(f: LogFrequencyFilter, h: np.ndarray) -> np.ndarray:
@@ -189,7 +198,7 @@ def levels(f: LogFrequencyFilter, h: np.ndarray) -> np.ndarray:
     for k in range(1, f.levels + 1):
         for i in range(f.probes):
             x = h[live]
-            at = (x >> _U(56)).astype(np.int64) * f.part + _positions(x, k, i, f.part).astype(np.int64)
+            at = (x >> _U(56) if f.parts > 1 else _U(0) * x).astype(np.int64) * f.part + _positions(x, k, i, f.part).astype(np.int64)
             live = live[(f.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
             if not len(live):
                 return out
@@ -197,18 +206,27 @@ def levels(f: LogFrequencyFilter, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_probabilities(f: LogFrequencyFilter, words: np.ndarray, pairs: np.ndarray, weight: float) -> np.ndarray:
-    """log10 probability of each token after the one before it. A level stands for the middle of its counts."""
-    count = np.append(0, 0.75 * 2.0 ** np.arange(1, f.levels + 1))
+def log_probabilities(one: np.ndarray, two: np.ndarray, params: LmParams, tokens: int, types: int) -> np.ndarray:
+    """log10 probability of each token after the one before it, from the levels of tokens and pairs; the last token is an end. A level stands for the middle of its counts."""
+    count = np.append(0, 0.75 * 2.0 ** np.arange(1, params.levels + 1))
     count[1:2] = 1
-    w, own = np.unique(words, return_inverse=True)
-    p, both = np.unique(pairs, return_inverse=True)
-    one, two = count[levels(f, w)][own], count[levels(f, p)][both]
-    before = np.roll(one, 1)
-    if len(before):
-        before[0] = count[levels(f, np.array([_END_HASH]))[0]]
-    word = (one + 1) / (max(f.tokens, one.max(initial=0)) + f.types + 1)
-    return np.log10(np.minimum(1, weight * np.minimum(two, before) / np.maximum(before, 1) + (1 - weight) * word))
+    one, two = count[one], count[two]
+    before = np.roll(one, 1)  # an end stands before the first word, and last
+    word = (one + 1) / (max(tokens, one.max(initial=0)) + types + 1)
+    return np.log10(np.minimum(1, params.pair_weight * np.minimum(two, before) / np.maximum(before, 1) + (1 - params.pair_weight) * word))
+
+
+def block_scores(rows: DataFrame, answers: DataFrame, params: LmParams, tokens: int, types: int) -> DataFrame:
+    """row, score of each of rows (block, row, text)."""
+
+    def scored(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        words, pairs, n = _grams(texts["text"].tolist())
+        h, first = np.unique(np.frombuffer(b"".join(found["hashes"]), _U), return_index=True)
+        level = np.frombuffer(b"".join(found["levels"]), np.uint8)[first]
+        logs = log_probabilities(level[np.searchsorted(h, words)], level[np.searchsorted(h, pairs)], params, tokens, types)
+        return pd.DataFrame({"row": texts["row"], "score": np.add.reduceat(logs, np.append(0, np.cumsum(n)[:-1]))})
+
+    return rows.select("block", "row", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, "row long, score double")
 
 
 def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
@@ -222,21 +240,19 @@ def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     hot = {bytes(r.token): r.c for r in counts.where((F.col("c") * params.common > total) | (F.col("token") == F.lit(END))).collect()}
     segments = max(BLOCKS, 1 << int(np.ceil(np.log2(8 * shuffle_partitions(spark)))))
     grams = staged(gram_levels(train, params, segments), "grams")
-    model = spark.sparkContext.broadcast(build_filter(grams, params, segments, total, types))
     floor = total + types + 1
     known = spark.sparkContext.broadcast({t: float(np.log10((c + 1) / floor)) for t, c in hot.items()} | {END: float(np.log10((hot.get(END, 0) + 1) / floor))})
     end_known = int(END in hot)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, logs = TaskContext.get().partitionId() << 40, known.value
         for batch in batches:
             for at, block in in_blocks(batch.column("text").to_pylist(), 1_000_000):
-                words, pairs, n = _grams(block)
-                lm = np.add.reduceat(log_probabilities(model.value, words, pairs, params.pair_weight), np.append(0, np.cumsum(n)[:-1]))
-                n_known, base, tokens, times, cuts = [], [], [], [], [0]
+                n_tokens, n_known, base, tokens, times, cuts = [], [], [], [], [], [0]
                 for t in block:
-                    s, k = logs[END], end_known
-                    for w, c in Counter(ascii_words(t)).items():
+                    s, k, words = logs[END], end_known, ascii_words(t)
+                    n_tokens.append(len(words) + 1)
+                    for w, c in Counter(words).items():
                         if (x := logs.get(w)) is None:
                             tokens.append(w), times.append(c)
                         else:
@@ -244,16 +260,16 @@ def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
                             k += c
                     n_known.append(k), base.append(s), cuts.append(len(tokens))
                 rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "tf"]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array(np.arange(row, row + len(block))), pa.array(n), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(lm), rare], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array(np.full(len(block), row)), pa.array(np.arange(row, row + len(block))), pa.array(block, pa.string()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare], ["doc_id", "block", "row", "text", "n_tokens", "n_known", "base", "rare"])
                 row += len(block)
 
-    rows = staged(docs.mapInArrow(scored, "doc_id long, row long, n_tokens long, n_known long, base double, score double, rare array<struct<token: binary, tf: long>>"), "scored")
-    model.destroy()  # every row is scored: executors and driver need neither again
-    known.destroy()
+    rows = staged(docs.mapInArrow(based, "doc_id long, block long, row long, text string, n_tokens long, n_known long, base double, rare array<struct<token: binary, tf: long>>"), "scored")
+    known.destroy()  # every row has its base: executors and driver need it no more
+    scores = block_scores(rows, gram_answers(rows, grams, params, segments, total, types), params, total, types)
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.tf")
     seen = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10((seen + 1) / F.lit(float(floor)))).alias("rare_base"), F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    rows = rows.select("doc_id", "row", "n_tokens", "n_known", "base", "score").join(rare, "row", "left")
+    rows = rows.select("doc_id", "row", "n_tokens", "n_known", "base").join(scores, "row").join(rare, "row", "left")
     return rows.select(
         "doc_id", (fold(F.col("doc_id"), params.folds) == params.held_out).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",

@@ -294,6 +294,24 @@ def test_lm_score(docs, none):
     assert lm_score.score(none).count() == 0
 
 
+@pytest.mark.parametrize("repeat", [1, 3])
+def test_lm_score_counts_all_pairs(spark, repeat):
+    """Scores against exact counts: pairs seen once are in the model, and what is in it does not depend on its size."""
+    assert not {"max_bits", "least_pair"} & set(lm_score.LmParams.__dataclass_fields__)
+    r = random.Random(6)
+    items = [(i, text(r.randint(0, 60), r)) for i in range(300)] * repeat
+    tok = [(i, [w.encode() for w in words(fold_ascii(t))] + [b"\n"]) for i, t in items]
+    train = [t for i, t in tok if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for t in train for w in t)
+    both = collections.Counter(p for t in train for p in zip([b"\n", *t], t))
+    n, v = sum(c.values()), len(c)
+    size = lambda x: 0 if not x else 1 if x == 1 else 0.75 * 2.0 ** (int(np.log2(x)) + 1)
+    want = {i: sum(np.log10(min(1, 0.1 * min(size(both[a, w]), size(c[a])) / max(size(c[a]), 1) + 0.9 * (size(c[w]) + 1) / (max(n, size(c[b"\n"])) + v + 1))) for a, w in zip([b"\n", *t], t)) for i, t in tok}
+    got = [(x.doc_id, x.score) for x in lm_score.score(spark.createDataFrame(items, "doc_id long, text string"), lm_score.LmParams(bits_per_event=64)).collect()]
+    assert len(got) == len(items)
+    assert all(abs(s - want[i]) < 1e-6 * abs(want[i]) + 1e-9 for i, s in got)
+
+
 def test_filter_levels():
     r = np.random.default_rng(1)
     h = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
