@@ -27,7 +27,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, line_dedup.LineParams(settled=True))
     emptied = (F.col("__line_dedup.n_dropped") > 0) & ~F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
     return _sized(out.where(~emptied).select(*docs.columns))
 

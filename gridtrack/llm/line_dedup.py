@@ -12,6 +12,10 @@ An occurrence of a line is dropped if the line and its neighbours within the dis
 occur at least `repeats` times, unless it is the first place of its line and no
 neighbour has an earlier one. Places are ordered by doc_id and line number.
 
+With `settled`, only a neighbour that stays counts as the earlier one: lines are settled
+in rounds, in the order of first places, so whatever goes has a line within the distance
+that stays. There are as many rounds as lines in the longest chain of undecided ones.
+
 A null text is an empty one. Lines of rows with a null doc_id are left alone. Repeated
 rows share their places: they keep and lose the same lines, and count each time. Other
 columns pass through, whatever their names.
@@ -32,6 +36,8 @@ class LineParams:
     distance: int = 2
     least_chars: int = 20
     repeats: int = 6
+    #: Lines go for neighbours that stay, not for any earlier ones.
+    settled: bool = False
 
 
 def _lines(text: Column) -> Column:
@@ -120,6 +126,30 @@ def similar_lines(lines: DataFrame, docs: DataFrame, params: LineParams) -> Data
     return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
+def replaced_lines(side: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key of the lines that go for an earlier neighbour that stays; side: key, first, often. Lines that do not occur often stay."""
+    at = F.struct("first", "key").alias("at")
+    edges = pairs.join(side.select(F.col("key").alias("a"), at, "often").toDF("a", "at_a", "often_a"), "a").join(side.select(F.col("key").alias("b"), at, "often").toDF("b", "at_b", "often_b"), "b")
+    ahead = F.col("at_a") < F.col("at_b")
+    side_of = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
+    edges = edges.select(side_of("a", "b").alias("early"), side_of("b", "a").alias("late"), side_of("often_a", "often_b").alias("early_often"), side_of("often_b", "often_a").alias("late_often"))
+    edges = staged(edges.where("late_often"), "line-edges")
+    new = staged(edges.where("not early_often").select("late").distinct(), "line-gone")
+    gone, live = [new], edges.where("early_often").select("early", "late")
+    while True:
+        live = live.join(new, "late", "left_anti").join(new.withColumnRenamed("late", "early"), "early", "left_anti")
+        live = staged(live.select("early", "late"), "line-live")
+        if live.isEmpty():
+            break
+        stay = live.select("early").distinct().join(live.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        new = staged(live.join(stay, "early").select("late").distinct(), "line-gone")
+        gone.append(new)
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.union(more)
+    return out.select(F.col("late").alias("key"))
+
+
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """docs with its text less the dropped lines, and n_lines and n_dropped in a struct column `__line_dedup`."""
     if params.distance > 3:
@@ -136,7 +166,12 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     near = near.join(side.select(F.col("key").alias("b"), "first", "n"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("near_n"), F.min("first").alias("near_first"))
     verdict = side.join(near, "key", "left")
     often = F.col("n") + F.coalesce("near_n", F.lit(0)) >= params.repeats
-    stays = F.when(F.col("near_first").isNull() | (F.col("first") < F.col("near_first")), F.col("first"))
+    if params.settled:
+        gone = replaced_lines(verdict.select("key", "first", often.alias("often")), pairs).withColumn("goes", F.lit(True))
+        verdict = verdict.join(gone, "key", "left")
+        stays = F.when(F.col("goes").isNull(), F.col("first"))
+    else:
+        stays = F.when(F.col("near_first").isNull() | (F.col("first") < F.col("near_first")), F.col("first"))
     verdict = staged(verdict.where(often).select("key", stays.alias("stays")), "verdicts")
     dropped = found.select("key", "doc_id", "pos").join(verdict, "key").where(F.col("stays").isNull() | (place != F.col("stays")))
     dropped = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("__dropped"))

@@ -145,6 +145,19 @@ def test_line_dedup(spark, tau):
     assert sum(x["__line_dedup"].n_dropped for x in out.collect()) > 5
 
 
+def test_settled_lines_leave_a_neighbour(spark):
+    """A~B~C, A and C apart: C stays, as B, its only earlier neighbour, goes for A."""
+    a, b, c = "invoice number one aa bb cc", "invoice number one xx bb cc", "invoice number one xx yy cc"
+    chain = [f"row {'z' * i}{'a' * (24 - i)} end of row" for i in range(0, 24, 2)]  # each is near the next one only
+    texts = [(10 * k + i, x) for k, x in enumerate([a, b, c, *chain]) for i in range(6)] + [(1000 + i, "a line that occurs only twice") for i in range(2)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, line_dedup.LineParams(settled=True)).collect()}
+    kept = {i for i, x in out.items() if x}
+    assert kept == {0, 20, *(30 + 10 * k for k in range(0, len(chain), 2)), 1000, 1001}
+    docs = df.selectExpr("doc_id", "text", "'en' as lang")
+    assert {r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == kept
+
+
 def test_line_dedup_edges(docs, none):
     out = line_dedup.dedup_lines(docs)
     assert out.count() == docs.count() and out.where("doc_id is null").first().text == "null id text here"
