@@ -4,7 +4,8 @@ Each language has a codeword; one binary classifier per bit, linear over the
 frequencies of hashed byte trigrams, predicts that bit. A document gets the
 language whose codeword has the smallest loss, each bit weighted by how well its
 classifier did in training. When the second codeword is about as near, or none is
-near, the document is flagged ambiguous.
+near, the document is flagged ambiguous: both bounds come from the leads and losses of
+the training texts and their cuts.
 
 A text that is null or without a letter is `und` with score 0, and never ambiguous.
 With a single language in training all other texts get that one; with none, `und`.
@@ -36,8 +37,10 @@ class EcocParams:
     steps: int = 200
     rate: float = 0.05
     decay: float = 1e-3
-    #: Below this lead over the second codeword, in loss per bit, a document is ambiguous.
+    #: Below this lead over the second codeword, in loss per bit, a document is ambiguous; more where training texts lead by more.
     margin: float = 0.01
+    #: Share of the training texts that may lie beyond each of the two bounds.
+    beyond: float = 0.001
     folds: int = 4
     held_out: int = 2
     seed: int = 3
@@ -52,6 +55,7 @@ class EcocModel:
     trust: np.ndarray  # weight of each bit, sum 1
     bits: int
     margin: float
+    far: float = np.inf  # above this loss no codeword is near
 
 
 def codewords(k: int, seed: int = 3) -> np.ndarray:
@@ -103,8 +107,11 @@ def fit(texts: list[str], langs: list[str], params: EcocParams = EcocParams()) -
         b -= rate * 10 * slope.sum(0)
     right = ((x @ w + b) * y > 0).mean(0)
     trust = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
+    loss = np.sort((np.logaddexp(0, -(x @ w + b)[:, None, :] * codes[None]) * (trust / trust.sum())).sum(2), axis=1)
+    far = float(np.quantile(loss[:, 0], 1 - params.beyond))
+    margin = max(params.margin, float(np.quantile(loss[:, 1] - loss[:, 0], params.beyond)))
     w = w / std[:, None]
-    return EcocModel(languages, codes, np.ascontiguousarray(w.T.astype(np.float32)), (b - mean @ w).astype(np.float64), trust / trust.sum(), params.bits, params.margin)
+    return EcocModel(languages, codes, np.ascontiguousarray(w.T.astype(np.float32)), (b - mean @ w).astype(np.float64), trust / trust.sum(), params.bits, margin, far)
 
 
 def predict_texts(model: EcocModel, texts: list[str | None]) -> pd.DataFrame:
@@ -136,7 +143,7 @@ def predict_texts(model: EcocModel, texts: list[str | None]) -> pd.DataFrame:
             ok = known[rows]
             lang[rows] = np.where(ok, np.array(model.languages, object)[best], "und")
             score[rows] = np.where(ok, 1 / odds.sum(1), 0.0)
-            unsure[rows] = ok & (order[:, 1] - order[:, 0] < model.margin)
+            unsure[rows] = ok & ((order[:, 1] - order[:, 0] < model.margin) | (order[:, 0] > model.far))
     return pd.DataFrame({"lang_pred": lang, "score": score, "ambiguous": unsure})
 
 

@@ -357,6 +357,20 @@ def test_language_id(spark, docs, none):
     assert (codes @ codes.T - np.eye(8) * codes.shape[1]).max() < 0.6 * codes.shape[1]
 
 
+def test_language_far_from_all_is_flagged(spark):
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    r = random.Random(2)
+    make = lambda a: " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(r.randint(3, 40)))
+    rows = [(make(alphabets[k]), k) for k in (r.choice(list(alphabets)) for _ in range(400))]
+    model = langid.fit([t for t, _ in rows], [k for _, k in rows])
+    known = langid.predict_texts(model, [make(a) for a in alphabets.values() for _ in range(100)])
+    other = langid.predict_texts(model, [make("uvwxyz") for _ in range(100)] + [make("жзийклмн") for _ in range(100)])
+    assert known.ambiguous.mean() < 0.02 and other.ambiguous.mean() > 0.95
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)] + [(1000 + i, make("uvwxyz"), None) for i in range(20)], "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert len(kept & set(range(400))) > 390 and len(kept & set(range(1000, 1020))) < 2
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(4)
     rows = [(i, text(40, r) + (" vilestuff nastyword" if i % 9 == 0 else ""), int(i % 9 == 0)) for i in range(600)]
