@@ -34,7 +34,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = staged(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    docs = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    # Rows of one id and text are one document, and so are copies without an id.
+    other = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(1).alias("__one"))
+    one = docs.groupBy("doc_id", "text").agg(F.min(other).alias("__rest"))
+    return one.select(*(c if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

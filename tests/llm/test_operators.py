@@ -371,6 +371,13 @@ def test_language_far_from_all_is_flagged(spark):
     assert len(kept & set(range(400))) > 390 and len(kept & set(range(1000, 1020))) < 2
 
 
+def test_near_dedup_keeps_one_row(spark):
+    rows = [(1, BASE, "b"), (1, BASE, "a"), (1, BASE, None), (2, text(50), "x"), (None, one := text(40), "q"), (None, one, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == sorted([(1, BASE), (2, rows[3][1]), (0, one)])
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(4)
     rows = [(i, text(40, r) + (" vilestuff nastyword" if i % 9 == 0 else ""), int(i % 9 == 0)) for i in range(600)]
