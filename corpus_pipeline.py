@@ -57,7 +57,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: A model's verdict and tokenizer ids are not SQL; tests/llm holds the stages against brute-force versions.
+#: A model's verdict and tokenizer ids are not SQL; tests/llm checks ids and some rows of stages, not every stage's rows.
 ORACLE_SQL = None
 
 
