@@ -1,20 +1,28 @@
 """Line deduplication by a segment-partition edit join; DataFrame functions only.
 
-A line of a document, trimmed and with A-Z lowered, takes part from `least_chars` code
-points on. Each distinct line is cut into distance + 1 even segments, which go into an
-index by line length, segment number and hash. Any line within the edit distance has
-one of these segments at nearly the same place, so each line probes the index with its
-own substrings: for every shorter or equal length, and for each segment only the few
-starts that the number of edits before and after it allows. Candidates are confirmed by
-Spark's banded `levenshtein` with the threshold.
-
-An occurrence of a line is dropped if the line and its neighbours within the distance
-occur at least `repeats` times, unless it is the first place of its line and no
-neighbour has an earlier one. Places are ordered by doc_id and line number.
-
-With `settled`, only a neighbour that stays counts as the earlier one: lines are settled
-in rounds, in the order of first places, so whatever goes has a line within the distance
-that stays. There are as many rounds as lines in the longest chain of undecided ones.
+A line of a document is trimmed and has A-Z lowered. Two lines are alike if they are
+equal, or if both have `least_chars` code points or more and an edit distance of at most
+`distance`. In the order of first places (doc_id, line number) a line stays unless an
+earlier one that stays is alike; what goes, goes for the earliest such line. A line and
+those that go for it form a class. In classes of `repeats` occurrences or more, all but
+the first place of the line that stays are dropped; other classes are left alone, as are
+blank lines and lines below `least_exact` code points.
+
+The edit join: lines have length classes, and by the least length of its class a line is
+cut into distance + 1 even segments: one at its start, one at its end, the others at
+fixed places between. Of the edits between two lines, at least one falls into the first
+and one into the last segment if neither is shared; so few are left that a middle one
+is shared, less than `distance` places away. Each line therefore enters an index with its
+segments and with the places that a middle one can move to; lines that end near the next
+lower class enter that too. Index entries of one line alone go at once. What is left is
+dealt by entry and by the counts of one of 2 * distance + 1 groups of letters, of which
+distance edits leave one as it is, so that many lines of one segment meet only where they
+agree in more; the counts of all letters are compared in the join. The rest is verified by
+a banded bit-parallel edit distance.
+
+Lines are settled in rounds, in the order of first places, as many as the longest chain
+of lines that wait for each other. Equality of lines is that of two 64-bit hashes, of
+segments that of one, which the verification makes good.
 
 A null text is an empty one. Lines of rows with a null doc_id are left alone. Repeated
 rows share their places: they keep and lose the same lines, and count each time. Other
@@ -24,165 +32,197 @@ columns pass through, whatever their names.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii, staged
+from .common import SPACES, let, lower_ascii, staged, unused
 
 
 @dataclass(frozen=True)
 class LineParams:
     distance: int = 2
+    #: Least code points of a line that can have neighbours, and of one whose copies go.
     least_chars: int = 20
-    repeats: int = 6
-    #: Lines go for neighbours that stay, not for any earlier ones.
-    settled: bool = False
+    least_exact: int = 1
+    repeats: int = 2
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+#: Letters that are counted, and the bits of a count; counts are compared on the circle of that many numbers.
+LETTERS = "enirtasodlcumhpgfbvywkqz"
+_BITS = 5
 
 
-#: Letters whose counts a line carries; an edit changes the sum of their differences by 2 at most.
-LETTERS = "enirtasodlcu"
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 0) of a line; the last ones are longer."""
-    size = F.floor(length / parts).cast("int")
-    short = parts - length % parts
-    return 1 + i * size + F.greatest(i - short, F.lit(0)), size + F.when(F.lit(i) >= short, 1).otherwise(0)
+def _class(length: Column) -> Column:
+    """The least length of the class of a length; classes are wider than 3."""
+    return length - F.when(length < 64, length % 4).otherwise(length % 16)
 
 
-def index_entries(line: Column, length: Column, params: LineParams) -> Column:
-    """Hashes of the line's segments, with their number and the line's length."""
-    parts = params.distance + 1
-    return F.array(*(F.xxhash64(length, F.lit(i), F.substring(line, *_segment(length, i, parts))) for i in range(parts)))
+def _entries_of(line: Column, length: Column, least: Column, params: LineParams) -> list[Column]:
+    """Hashes of the segments that a line of class `least` has, and of those that it can share with one."""
+    tau = params.distance
+    size = F.floor(least / (tau + 1)).cast("int")
+    at = [(0, F.substring(line, F.lit(1), size)), (tau, F.substring(line, length - size + 1, size))]
+    at += [(i, F.substring(line, i * size + 1 + shift, size)) for i in range(1, tau) for shift in range(1 - tau, tau)]
+    return [F.xxhash64(least, F.lit(i), s) for i, s in at]
 
 
-def probe_entries(line: Column, length: Column, params: LineParams) -> Column:
-    """Hashes of the substrings by which a line can meet an index entry of a line with 0 to `distance` code points less."""
-    tau, out = params.distance, []
-    for less in range(tau + 1):
-        n = length - less
-        for i in range(tau + 1):
-            start, size = _segment(n, i, tau + 1)
-            for shift in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                at = start + shift
-                fits = (n >= params.least_chars) & (at >= 1) & (at + size - 1 <= length)
-                out.append(F.when(fits, F.xxhash64(n, F.lit(i), F.substring(line, at, size))))
-    return F.array_compact(F.array(*out))
+def index_entries(line: Column, length: Column, params: LineParams) -> list[Column]:
+    """What a line has in the index, each a number or null; a line below least_chars has nothing there."""
+    own, lower = _class(length), _class(F.greatest(length - params.distance, F.lit(params.least_chars)))
+    long = length >= params.least_chars
+    out = [F.when(long, e) for e in _entries_of(line, length, own, params)]
+    return out + [F.when(long & (lower != own), e) for e in _entries_of(line, length, lower, params)]
 
 
-def _letters(line: Column, length: Column) -> Column:
-    """The counts of LETTERS, up to 31 each, in five bits of one number, and above them the length mod 4."""
-    out = F.shiftleft(length.bitwiseAND(3).cast("long"), 5 * len(LETTERS))
-    for k, c in enumerate(LETTERS):  # letters of one byte: octets count them
-        n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(31))
-        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 5 * k))
+def _letter_counts(line: Column, letters: str) -> Column:
+    """The counts of some letters, mod 2**_BITS, in one number."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(letters):  # letters of one byte: octets count them
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND((1 << _BITS) - 1).cast("long"), _BITS * k))
     return out
 
 
-def _letter_distance(a: Column, b: Column) -> Column:
+def _letter_distance(a: Column, b: Column, n: int) -> Column:
+    """At most twice the edits between lines with these counts of n letters."""
     out = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        out = out + F.abs(F.shiftright(a, 5 * k).bitwiseAND(31) - F.shiftright(b, 5 * k).bitwiseAND(31))
+    for k in range(n):
+        d = (F.shiftright(a, _BITS * k) - F.shiftright(b, _BITS * k)).bitwiseAND((1 << _BITS) - 1)
+        out = out + F.least(d, (1 << _BITS) - d)
     return out
 
 
-def _same_length(a: Column, b: Column) -> Column:
-    """Of lines that met in the index, so that their lengths differ by 3 at most (params.distance is below 4)."""
-    return F.shiftright(a, 5 * len(LETTERS)) == F.shiftright(b, 5 * len(LETTERS))
+def within(x: Column, y: Column, tau: int) -> Column:
+    """Whether the edit distance is at most tau (3 at most), by bit-parallel steps in a band.
+
+    Bit k of a vector stands for the diagonal on which x is k - tau ahead of y; vector e
+    has the diagonals that e edits reach. A character of y moves all diagonals at once:
+    along where x has it too, and from vector e - 1 by a substitution, an insertion
+    or a deletion.
+    """
+    width, mask = 2 * tau + 1, (1 << 2 * tau + 1) - 1
+
+    def walked(a: Column) -> Column:
+        def same(c: Column, j: Column) -> Column:
+            at = lambda k: (j + (k - tau) >= 0) & F.coalesce(F.get(a, j + (k - tau)) == c, F.lit(False))
+            return reduce(lambda u, v: u.bitwiseOR(v), (F.when(at(k), 1 << k).otherwise(0) for k in range(width)))
+
+        def step(acc: Column, m: Column) -> Column:
+            new: list[Column] = []
+            for e in range(tau + 1):
+                v = acc[f"e{e}"].bitwiseAND(m)
+                if e:
+                    old = acc[f"e{e - 1}"]
+                    v = v.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(mask)
+                new.append(v)
+            return F.struct(*(v.alias(f"e{e}") for e, v in enumerate(new)))
+
+        start = F.struct(*(F.lit(((1 << e + 1) - 1) << tau & mask).alias(f"e{e}") for e in range(tau + 1)))
+        reached = F.aggregate(F.transform(F.split(y, ""), same), start, step, lambda acc: acc[f"e{tau}"])
+        ahead = F.length(x) - F.length(y)
+        return F.when(F.length(y) == 0, ahead <= tau).otherwise((F.abs(ahead) <= tau) & (F.getbit(reached, F.greatest(F.lit(0), F.least(F.lit(width - 1), ahead + tau))) == 1))
+
+    return let(F.split(x, ""), walked)
+
+
+def _key() -> Column:
+    return F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).alias("key")
+
+
+def _place() -> Column:
+    """doc_id and line number in one number, in their order; cheaper to aggregate than a struct."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).alias("place")
 
 
 def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
-    """doc_id, pos, line, length of all lines that take part."""
+    """doc_id, pos, line of all lines that take part."""
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    rows = rows.select("doc_id", "pos", F.trim(F.col("line"), F.lit(SPACES)).alias("line"))
-    rows = rows.select("doc_id", "pos", "line", F.length("line").alias("length")).where(F.col("length") >= params.least_chars)
-    return rows.select("doc_id", "pos", lower_ascii(F.col("line")).alias("line"), "length")
+    rows = rows.select("doc_id", "pos", F.trim(F.col("line"), F.lit(SPACES)).alias("line")).where(F.length("line") >= max(1, params.least_exact))
+    return rows.select("doc_id", "pos", lower_ascii(F.col("line")).alias("line"))
 
 
 def similar_lines(lines: DataFrame, docs: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs (a, b) of distinct lines within the distance, each pair once; lines: key, doc_id, pos, index, probes, letters.
-
-    Candidates go by a 64-bit number of the line; what has the same number is told apart when texts are compared.
-    """
-    short = F.xxhash64("key")
-    index = lines.select(short.alias("a"), F.explode("index").alias("h"), F.col("letters").alias("la"))
-    probes = lines.select(short.alias("b"), F.explode("probes").alias("h"), F.col("letters").alias("lb"))
-    near = _letter_distance(F.col("la"), F.col("lb")) <= 2 * params.distance
-    # Lines of one length probe each other: one of the two ways is enough.
-    once = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~_same_length(F.col("la"), F.col("lb")))
-    pairs = probes.join(index, "h").where(once & near)
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = staged(lines.select(short.alias("id"), "key", "doc_id", "pos").join(need, "id"), "line-places")
+    """Pairs (a, b) of keys of alike lines, each pair once; lines: key, doc_id, entries."""
+    tau = params.distance
+    entries = lines.select(F.col("key.h").alias("id"), F.explode("entries").alias("entry"))
+    shared = staged(entries.groupBy("entry").count().where("count > 1").select("entry"), "line-shared")
+    met = staged(entries.join(shared, "entry"), "line-met")
+    need = met.select("id").distinct()
+    places = staged(lines.select("key", F.col("key.h").alias("id"), "doc_id").join(need, "id").select("key", "doc_id"), "line-places")
     texts = docs.select("doc_id", "text").join(places.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = _occurrences(texts, params).join(places, ["doc_id", "pos"]).select("id", "key", "line").dropDuplicates(["key"])
-    texts = staged(texts, "line-texts")
-    pairs = pairs.join(texts.toDF("a", "ka", "x"), "a").join(texts.toDF("b", "kb", "y"), "b").where(F.levenshtein("x", "y", params.distance) >= 0)
+    texts = _occurrences(texts, params).select(_key(), "line").join(places.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    line, length, half = F.col("line"), F.length("line"), len(LETTERS) // 2
+    counts = [_letter_counts(line, LETTERS[:half]).alias("c0"), _letter_counts(line, LETTERS[half:]).alias("c1")]
+    groups = F.array(*(F.xxhash64(F.lit(j), _letter_counts(line, LETTERS[j :: 2 * tau + 1])) for j in range(2 * tau + 1)))
+    texts = staged(texts.select("key", F.col("key.h").alias("id"), "line", length.alias("length"), *counts, groups.alias("groups")), "line-texts")
+    dealt = met.join(texts, "id").select(F.explode("groups").alias("group"), "entry", "id", "length", "c0", "c1")
+    dealt = dealt.select(F.xxhash64("entry", "group").alias("met"), "id", "length", "c0", "c1")
+    side = lambda x: dealt.select("met", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "length", "c0", "c1")))
+    near = (F.col("id_a") < F.col("id_b")) & (F.abs(F.col("length_a") - F.col("length_b")) <= tau)
+    near = near & (_letter_distance(F.col("c0_a"), F.col("c0_b"), half) + _letter_distance(F.col("c1_a"), F.col("c1_b"), len(LETTERS) - half) <= 2 * tau)
+    left, right = side("a"), side("b")
+    pairs = left.join(right, (left["met"] == right["met"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    text = lambda x, k, t: texts.select(F.col("id").alias(x), F.col("key").alias(k), F.col("line").alias(t))
+    pairs = staged(pairs, "line-pairs").join(text("a", "ka", "x"), "a").join(text("b", "kb", "y"), "b").where(within(F.col("x"), F.col("y"), tau))
     return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
-def replaced_lines(side: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key of the lines that go for an earlier neighbour that stays; side: key, first, often. Lines that do not occur often stay."""
-    at = F.struct("first", "key").alias("at")
-    edges = pairs.join(side.select(F.col("key").alias("a"), at, "often").toDF("a", "at_a", "often_a"), "a").join(side.select(F.col("key").alias("b"), at, "often").toDF("b", "at_b", "often_b"), "b")
-    ahead = F.col("at_a") < F.col("at_b")
-    side_of = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
-    edges = edges.select(side_of("a", "b").alias("early"), side_of("b", "a").alias("late"), side_of("often_a", "often_b").alias("early_often"), side_of("often_b", "often_a").alias("late_often"))
-    edges = staged(edges.where("late_often"), "line-edges")
-    new = staged(edges.where("not early_often").select("late").distinct(), "line-gone")
-    gone, live = [new], edges.where("early_often").select("early", "late")
-    while True:
+def replaced_lines(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key and leader (the earliest line alike that stays) of the lines that go."""
+    places = lambda x: lines.select(F.col("key").alias(x), F.struct("first", "key").alias(f"at_{x}"))
+    edges = pairs.join(places("a"), "a").join(places("b"), "b")
+    edges = staged(edges.select(F.least("at_a", "at_b").alias("early"), F.greatest("at_a", "at_b").alias("late")), "line-edges")
+    gone, live = [], edges
+    while not live.isEmpty():
+        stay = live.select("early").distinct().join(live.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        gone.append(new := staged(live.join(stay, "early").select("late").distinct(), "line-gone"))
         live = live.join(new, "late", "left_anti").join(new.withColumnRenamed("late", "early"), "early", "left_anti")
         live = staged(live.select("early", "late"), "line-live")
-        if live.isEmpty():
-            break
-        stay = live.select("early").distinct().join(live.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
-        new = staged(live.join(stay, "early").select("late").distinct(), "line-gone")
-        gone.append(new)
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.union(more)
-    return out.select(F.col("late").alias("key"))
-
-
-def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """docs with its text less the dropped lines, and n_lines and n_dropped in a struct column `__line_dedup`."""
-    if params.distance > 3:
-        raise ValueError("distance: 3 at most")
+    if not gone:
+        return edges.select(F.col("late.key").alias("key"), F.col("early.key").alias("leader"))
+    gone = reduce(DataFrame.union, gone)
+    led = edges.join(gone, "late").join(gone.withColumnRenamed("late", "early"), "early", "left_anti")
+    return led.groupBy("late").agg(F.min("early").alias("early")).select(F.col("late.key").alias("key"), F.col("early.key").alias("leader"))
+
+
+def verdicts(lines: DataFrame, gone: DataFrame, repeats: int) -> DataFrame:
+    """key, stays (the place that stays, or null) of the lines of which any occurrence is dropped."""
+    some = staged(gone.join(lines.select("key", "n"), "key"), "line-led")
+    more = staged(some.groupBy(F.col("leader").alias("key")).agg(F.sum("n").alias("more")), "line-classes")
+    led = lines.select("key", "first", "n").join(some.select("key"), "key", "left_anti").join(more, "key", "left")
+    led = led.where((F.col("n") + F.coalesce("more", F.lit(0)) >= repeats) & (F.col("n") > 1)).select("key", F.col("first").alias("stays"))
+    often = lines.select(F.col("key").alias("leader"), F.col("n").alias("own")).join(more.withColumnRenamed("key", "leader"), "leader").where(F.col("own") + F.col("more") >= repeats)
+    return led.union(some.join(often, "leader").select("key", F.lit(None).cast(led.schema["stays"].dataType)))
+
+
+def dedup_lines(docs: DataFrame, params: LineParams = LineParams(), into: str = "line_dedup") -> DataFrame:
+    """docs with its text less the dropped lines, and n_lines and n_dropped in a struct column `into`, which is not to be one of docs."""
+    if not 1 <= params.distance <= 3 or params.least_chars < 4 * (params.distance + 1):
+        raise ValueError("distance: 1 to 3, and least_chars four times as many and 4 at least")
     found = _occurrences(docs, params)
-    line, length = F.col("line"), F.col("length")
-    found = found.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "pos", index_entries(line, length, params).alias("index"), probe_entries(line, length, params).alias("probes"), _letters(line, length).alias("letters"))
-    place = F.struct("doc_id", "pos")
-    lines = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("index", "probes", "letters")))
-    lines = staged(lines.select("key", "first", "first.doc_id", "first.pos", "n", "index", "probes", "letters"), "lines")
+    rows = found.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "doc_id", _place(), *(e.alias(f"e{i}") for i, e in enumerate(index_entries(F.col("line"), F.length("line"), params))))
+    entries = rows.columns[4:]
+    lines = rows.groupBy("h", "g").agg(F.min("place").alias("first"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.max(e).alias(e) for e in entries))
+    lines = staged(lines.select(F.struct("h", "g").alias("key"), "first", "doc_id", "n", F.array_distinct(F.array_compact(F.array(*entries))).alias("entries")), "lines")
     pairs = staged(similar_lines(lines, docs, params), "similar")
-    side = lines.select("key", "first", "n")
-    near = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = near.join(side.select(F.col("key").alias("b"), "first", "n"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("near_n"), F.min("first").alias("near_first"))
-    verdict = side.join(near, "key", "left")
-    often = F.col("n") + F.coalesce("near_n", F.lit(0)) >= params.repeats
-    if params.settled:
-        gone = replaced_lines(verdict.select("key", "first", often.alias("often")), pairs).withColumn("goes", F.lit(True))
-        verdict = verdict.join(gone, "key", "left")
-        stays = F.when(F.col("goes").isNull(), F.col("first"))
-    else:
-        stays = F.when(F.col("near_first").isNull() | (F.col("first") < F.col("near_first")), F.col("first"))
-    verdict = staged(verdict.where(often).select("key", stays.alias("stays")), "verdicts")
-    dropped = found.select("key", "doc_id", "pos").join(verdict, "key").where(F.col("stays").isNull() | (place != F.col("stays")))
-    dropped = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("__dropped"))
-
-    rows = docs.join(dropped.withColumnRenamed("doc_id", "__doc_id"), F.col("doc_id") == F.col("__doc_id"), "left")
+    verdict = staged(verdicts(lines, staged(replaced_lines(lines, pairs), "line-led-by"), params.repeats), "verdicts")
+    dropped = found.select(_key(), "doc_id", "pos").join(verdict, "key").where(F.col("stays").isNull() | (_place() != F.col("stays")))
+    own, lost = unused(docs, "dropped_id"), unused(docs, "dropped_lines")
+    dropped = staged(dropped.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("pos").alias(lost)), "dropped")
+
+    rows = docs.join(dropped, F.col("doc_id") == F.col(own), "left")
 
     def kept(marks: Column) -> Column:
         return F.transform(F.filter(marks, lambda m, j: (m["d"] == 1) & ~((F.get(marks, j - 1)["i"] == m["i"]) & (j > 0))), lambda m: m["l"])
 
-    lines = _lines(F.col("text"))
-    marks = F.array_sort(F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("d"), x.alias("l"))), F.transform("__dropped", lambda p: F.struct(p.alias("i"), F.lit(0).alias("d"), F.lit("").alias("l")))))
-    text = F.when(F.col("__dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.get(F.transform(F.array(marks), kept), F.lit(0)), "\n"))
-    counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("__dropped"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
-    return rows.withColumns({"__line_dedup": counts, "text": text}).drop("__doc_id", "__dropped")
+    split = _lines(F.col("text"))
+    marks = F.array_sort(F.concat(F.transform(split, lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("d"), x.alias("l"))), F.transform(lost, lambda p: F.struct(p.alias("i"), F.lit(0).alias("d"), F.lit("").alias("l")))))
+    text = F.when(F.col(lost).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(let(marks, kept), "\n"))
+    counts = F.struct(F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"))
+    return rows.withColumns({into: F.when(F.col(lost).isNull(), counts.withField("n_dropped", F.lit(0).cast("long"))).otherwise(counts), "text": text}).drop(own, lost)

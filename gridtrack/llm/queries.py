@@ -25,7 +25,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "__line_dedup.n_lines", "__line_dedup.n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,15 +69,16 @@ SQL = {
         with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
         l as (select doc_id, unnest(range(len(a))) as pos, unnest(a) as raw from split),
         o as (select doc_id, pos, raw, translate(trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line from l),
-        d as (select line, count(*) as n, min((doc_id, pos)) as first, length(line) as m from o where length(line) >= 20 group by line),
-        t as (select *, [substr(line, 1, m // 3), substr(line, m // 3 + 1, m // 3), substr(line, 2 * (m // 3) + 1)] as s from d),
-        p as (select x.line as a, y.line as b from t x join t y on y.m between x.m and x.m + 2 and x.line <> y.line
+        d as (select line, min((doc_id, pos)) as first, length(line) as m, row_number() over (order by min((doc_id, pos))) as k from o where line <> '' group by line),
+        t as (select *, [substr(line, 1, m // 3), substr(line, m // 3 + 1, m // 3), substr(line, 2 * (m // 3) + 1)] as s from d where m >= 20),
+        p as (select x.k as a, y.k as b from t x join t y on y.m between x.m and x.m + 2 and x.k <> y.k
               where (contains(y.line, x.s[1]) or contains(y.line, x.s[2]) or contains(y.line, x.s[3])) and levenshtein(x.line, y.line) <= 2),
-        e as (select a, b from p union select b, a from p),
-        k as (select e.a as line, sum(d.n) as near_n, min(d.first) as near_first from e join d on d.line = e.b group by e.a),
-        v as (select d.line, d.first, case when k.near_first is null or d.first < k.near_first then true else false end as leads
-              from d left join k using (line) where d.n + coalesce(k.near_n, 0) >= 6),
-        j as (select o.doc_id, o.pos, o.raw, v.line is not null and not (v.leads and (o.doc_id, o.pos) = v.first) as dropped from o left join v using (line))
+        e as (select distinct least(a, b) as early, greatest(a, b) as late from p),
+        -- Lines with their earlier neighbours, in order; a line stays if none of these stays.
+        f as (select late as k, list(early) as before from e group by late union all select early, [] from e where early not in (select late from e)),
+        stay as (select list_reduce(list([k] || before order by k), lambda acc, x: case when list_has_any(acc, x[2:]) then acc else list_append(acc, x[1]) end) as ks from (select distinct k, before from f)),
+        gone as (select k from f where not list_contains((select ks from stay), k)),
+        j as (select o.doc_id, o.pos, o.raw, d.line is not null and (d.k in (select k from gone) or (o.doc_id, o.pos) <> d.first) as dropped from o left join d using (line))
         select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
                sha256(coalesce(string_agg(raw, chr(10) order by pos) filter (where not dropped), '')) as text_sha256
         from j group by doc_id

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridtrack.llm import exact_dedup, langid, line_dedup, lm_score, neardup, packing, quality_rules, secrets, sp_codec, toxicity
+from gridtrack.llm import common, exact_dedup, langid, line_dedup, lm_score, neardup, packing, quality_rules, secrets, sp_codec, toxicity
+from gridtrack.llm.common import lower_ascii
 from gridtrack.llm.queries import pack_params
 
 rng = random.Random(7)
@@ -110,39 +111,64 @@ def lev(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("tau", [1, 2, 3])
-def test_line_dedup(spark, tau):
-    r = random.Random(tau)
-    base = [text(r.randint(3, 8), r) for _ in range(6)] + ["é" * 25, "short"]
+def brute_lines(texts, p):
+    """Texts less what goes: lines in the order of first places, each for the earliest line alike that stays."""
+    places = [(i, k, fold_ascii(x.strip(" \t\n\x0b\x0c\r"))) for i, t in texts for k, x in enumerate((t or "").split("\n"))]
+    first, n = {}, collections.Counter(x for _, _, x in places if len(x) >= max(1, p.least_exact))
+    for i, k, x in sorted(places):
+        first.setdefault(x, (i, k))
+    alike = lambda x, y: min(len(x), len(y)) >= p.least_chars and abs(len(x) - len(y)) <= p.distance and lev(x, y) <= p.distance
+    leader, stay, size = {}, [], collections.Counter()
+    for x in sorted(n, key=first.get):
+        leader[x] = next((y for y in stay if alike(x, y)), x)
+        if leader[x] == x:
+            stay.append(x)
+        size[leader[x]] += n[x]
+    goes = lambda i, k, x: x in n and size[leader[x]] >= p.repeats and (leader[x] != x or (i, k) != first[x])
+    gone = {(i, k) for i, k, x in places if goes(i, k, x)}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in texts}
+
+
+@pytest.mark.parametrize("tau, repeats, exact", [(1, 2, 1), (2, 2, 1), (3, 2, 1), (2, 4, 12)])
+def test_line_dedup(spark, tau, repeats, exact):
+    r = random.Random(tau + repeats)
+    base = [text(r.randint(3, 8), r) for _ in range(6)] + ["é😀" * 16, "short", " ", text(14, r), "z" * 66]
 
     def edited(x):
         x = list(x)
         for _ in range(r.randint(0, tau + 1)):
-            k = r.randrange(len(x))
+            k = r.choice([0, len(x), r.randrange(len(x) + 1)])
             x[k : k + r.randint(0, 1)] = r.choice(["", "q", "z", "é"])
         return "".join(x)
 
-    texts = [(i, "\n".join(edited(r.choice(base)) for _ in range(r.randint(0, 6)))) for i in range(40)] + [(41, None), (42, "")]
-    p = line_dedup.LineParams(distance=tau, least_chars=12, repeats=4)
-    places = [(i, k, fold_ascii(x.strip(" \t\n\x0b\x0c\r"))) for i, t in texts for k, x in enumerate((t or "").split("\n"))]
-    first, n = {}, collections.Counter()
-    for i, k, x in places:
-        if len(x) >= 12:
-            first.setdefault(x, (i, k))
-            n[x] += 1
-    near = {x: [y for y in n if y != x and abs(len(x) - len(y)) <= tau and lev(x, y) <= tau] for x in n}
-    want = {}
-    for i, t in texts:
-        keep = []
-        for k, raw in enumerate((t or "").split("\n")):
-            x = fold_ascii(raw.strip(" \t\n\x0b\x0c\r"))
-            often = x in n and n[x] + sum(n[y] for y in near[x]) >= 4
-            if not (often and not ((i, k) == first[x] and all(first[x] < first[y] for y in near[x]))):
-                keep.append(raw)
-        want[i] = "\n".join(keep)
-    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").withColumn("line", F.lit("clash")), p)
-    assert {x.doc_id: x.text for x in out.collect()} == want
-    assert sum(x["__line_dedup"].n_dropped for x in out.collect()) > 5
+    texts = [(i, "\n".join(edited(r.choice(base)) for _ in range(r.randint(0, 6)))) for i in range(60)] + [(71, None), (72, "")]
+    p = line_dedup.LineParams(distance=tau, least_chars=16, repeats=repeats, least_exact=exact)
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'a' as line", "'b' as dropped_id", "'c' as dropped_lines")
+    out = line_dedup.dedup_lines(df, p).collect()
+    assert {x.doc_id: x.text for x in out} == brute_lines(texts, p)
+    assert all((x.line, x.dropped_id, x.dropped_lines) == ("a", "b", "c") for x in out)
+    assert sum(x.line_dedup.n_dropped for x in out) > 5
+
+
+@pytest.mark.parametrize("tau", [1, 2, 3])
+def test_bit_parallel_distance(spark, tau):
+    r = random.Random(tau)
+    pairs = [("", "a"), ("", ""), ("ab", ""), ("abc" * 30, "abc" * 30)]
+    for _ in range(400):
+        x = "".join(r.choice("abé😀") for _ in range(r.randint(0, 70)))
+        y = list(x)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(y) + 1)
+            y[k : k + r.randint(0, 1)] = r.choice(["", "q", "é", "😀"])
+        pairs.append((x, "".join(y)))
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.within(F.col("x"), F.col("y"), tau).alias("near")).collect()
+    assert all(v.near == (lev(v.x, v.y) <= tau) for v in rows)
+
+
+def test_lower_ascii_is_that_of_every_character(spark):
+    rows = spark.range(1, 0x110000).where("id < 55296 or id > 57343").select(F.decode(F.to_binary(F.lpad(F.hex("id"), 8, "0"), F.lit("hex")), "utf-32").alias("c"))
+    rows = rows.select(F.concat("c", F.lit("AZaz")).alias("t"))
+    assert rows.where(lower_ascii(F.col("t")) != F.translate("t", common.A_Z, common.a_z)).count() == 0
 
 
 def test_settled_lines_leave_a_neighbour(spark):
@@ -151,7 +177,7 @@ def test_settled_lines_leave_a_neighbour(spark):
     chain = [f"row {'z' * i}{'a' * (24 - i)} end of row" for i in range(0, 24, 2)]  # each is near the next one only
     texts = [(10 * k + i, x) for k, x in enumerate([a, b, c, *chain]) for i in range(6)] + [(1000 + i, "a line that occurs only twice") for i in range(2)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, line_dedup.LineParams(settled=True)).collect()}
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, line_dedup.LineParams(repeats=6, least_exact=20)).collect()}
     kept = {i for i, x in out.items() if x}
     assert kept == {0, 20, *(30 + 10 * k for k in range(0, len(chain), 2)), 1000, 1001}
     docs = df.selectExpr("doc_id", "text", "'en' as lang")
