@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtrack.llm import langid, line_dedup, neardup, packing, secrets
-from gridtrack.llm.common import read, staged
+from gridtrack.llm.common import read, staged, unused
 from gridtrack.llm.queries import pack_params
 
 
@@ -27,8 +27,10 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, line_dedup.LineParams(settled=True))
-    emptied = (F.col("__line_dedup.n_dropped") > 0) & ~F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
+    # Six occurrences, and lines of 20 code points: what a few documents share, and brackets or one-word answers, stay in clean documents.
+    into = unused(docs, "line_dedup")
+    out = line_dedup.dedup_lines(docs, line_dedup.LineParams(repeats=6, least_exact=20), into)
+    emptied = (F.col(into)["n_dropped"] > 0) & ~F.col("text").rlike(r"[^ \t\n\x0B\f\r]")
     return _sized(out.where(~emptied).select(*docs.columns))
 
 
