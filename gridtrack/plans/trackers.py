@@ -116,7 +116,8 @@ def cut_off_centres(cyclones: DataFrame, z: DataFrame, u200: DataFrame, grid: Da
     centre = objects.argmin_cells(cyclones, z, d.nx).withColumnRenamed("v", "low").join(window, list(OBJ))
     centre = staged(centre.join(grid.select("iy", "ix", "lat", "lon"), ["iy", "ix"]), "centres")
     ring = objects.ring_fraction(centre, z, grid, p.ring_km * 1000, 2 * d.spacing, p.ring_rise * GRAVITY, b)
-    poleward = objects.poleward_column(centre, u200, d.north)
+    reached = centre.withColumn("y0", F.greatest("y0", F.col("iy") - b)).withColumn("y1", F.least("y1", F.col("iy") + b))
+    poleward = objects.poleward_column(reached, u200, d.north)
     cells = cyclones.join(grid.select("iy", "ix", "lat", "lon"), ["iy", "ix"])
     own = cells.join(centre.select(*OBJ, "t", F.col("iy").alias("cy"), F.col("ix").alias("cx"), "y0", "y1", "x0", "x1"), [*OBJ, "t"])
     near = (F.abs(F.col("iy") - F.col("cy")) <= b) & (F.abs(F.col("ix") - F.col("cx")) <= b)
@@ -129,7 +130,7 @@ def cut_off_centres(cyclones: DataFrame, z: DataFrame, u200: DataFrame, grid: Da
     reach = centre.select(*OBJ, "t", F.explode(F.sequence(F.greatest("y0", F.col("iy") - b), F.least("y1", F.col("iy") + b))).alias("wy")).join(rows, "wy").groupBy(*OBJ, "t").agg(F.max("far").alias("far"))
     all_ = centre.join(ring, [*OBJ, "t"], "left").join(poleward, [*OBJ, "t"], "left").join(shape, [*OBJ, "t"]).join(at, ["my", "mx"]).join(reach, [*OBJ, "t"])
     ok = (
-        F.abs("lat").between(*p.centre_lat) & (F.col("far") <= p.pole) & (F.col("stray") == 0) & (F.coalesce("ring", F.lit(0)) > 0) & (F.col("high") >= p.ring_share * F.col("ring"))
+        F.abs("lat").between(*p.centre_lat) & (F.col("far") <= p.pole) & (F.col("stray") == 0) & (F.coalesce("high", F.lit(0)) >= p.ring_share * F.coalesce("ring", F.lit(0)))
         & (F.coalesce("n", F.lit(0)) > 0) & (F.col("least") <= 0) & (F.col("low") / GRAVITY <= p.height)
         & to_pm180("mlon").between(p.region[0], p.region[1]) & F.col("mlat").between(p.region[2], p.region[3]) & (F.col("border") == 0)
     )

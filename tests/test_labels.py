@@ -1,5 +1,6 @@
 """Components, seams, break-up, splits and watersheds against brute force and built cases."""
 
+import math
 import random
 
 import pytest
@@ -117,12 +118,58 @@ def test_claimed_basin(spark):
         assert [r.parent for r in forest.link_basins(basins, size, claim).where("node = 9").collect()] == [parent]
 
 
-def test_two_wells_are_two_basins(spark):
-    points = [(0, y, x) for y in range(NY) for x in range(NX)]
-    o = cells(spark, points, [1] * len(points))
-    marks = spark.createDataFrame([(0, 0, 1, 1, 8), (0, 0, 4, 5, 33)], "segment int, t int, iy int, ix int, marker long")
-    got = {(r.iy, r.ix): r.obj_id for r in watershed.flood(o, marks).collect()}
-    assert len(got) == NY * NX and set(got.values()) == {8, 33} and got[0, 0] == 8 and got[5, 6] == 33
+def reference_flood(v, marks):
+    """Repeated scans instead of a heap: the met cell of the highest value, the oldest of equals, spreads next."""
+    taken, met, age = dict(marks), [(-v[c], 0, c) for c in sorted(marks)], 0
+    while met:
+        met.remove(least := min(met))
+        y, x = least[2]
+        for c in [(y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x), (y - 1, x - 1), (y - 1, x + 1), (y + 1, x - 1), (y + 1, x + 1)]:
+            if c in v and c not in taken:
+                age += 1
+                taken[c] = taken[y, x]
+                met.append((-v[c], age, c))
+    return taken
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_uneven_wells_are_basins(spark, seed):
+    """A deep wide well and a shallow narrow one: the border is the saddle, not half way."""
+    well = lambda y, x: 10 * math.exp(-((y - 3) ** 2 + (x - 2) ** 2) / 12) + 4 * math.exp(-((y - 2) ** 2 + (x - 9) ** 2) / 2)
+    r = random.Random(seed)
+    shape = [(y, x) for y in range(7) for x in range(12) if (y, x) != (3, 6)]
+    v = {c: well(*c) if seed is None else float(r.randint(0, 5)) for c in shape}
+    marks = {(3, 2): 8, (2, 9): 33}
+    o = cells(spark, [(0, *c) for c in shape], [1] * len(shape))
+    m = spark.createDataFrame([(0, 0, *c, k) for c, k in marks.items()], "segment int, t int, iy int, ix int, marker long")
+    field = spark.createDataFrame([(0, 0, *c, x) for c, x in v.items()], "segment int, t int, iy int, ix int, v double")
+    got = {(x.iy, x.ix): x.obj_id for x in watershed.flood(o, m, field).collect()}
+    assert got == reference_flood(v, marks)
+    if seed is None:
+        assert got[3, 5] == got[4, 6] == got[4, 7] == 8 and got[2, 8] == 33  # (4, 7) is nearer to (2, 9)
+
+
+def test_cut_off_low(spark):
+    """A closed low is accepted; so it is with a westward wind beyond its box, but not without one inside; too few high cells in the ring reject it."""
+    ny, nx = 41, 61
+    d = trackers.Domain(ny, nx, 50_000.0)
+    p = trackers.CutOff()
+    cell = spark.range(12 * ny * nx).select(F.lit(0).alias("segment"), F.floor(F.col("id") / (ny * nx)).cast("int").alias("t"), (F.floor(F.col("id") / nx) % ny).cast("int").alias("iy"), (F.col("id") % nx).cast("int").alias("ix"))
+    grid = spark.range(ny * nx).select(F.floor(F.col("id") / nx).cast("int").alias("iy"), (F.col("id") % nx).cast("int").alias("ix")).select("iy", "ix", (56 - 0.5 * F.col("iy")).alias("lat"), (-25 + 0.5 * F.col("ix")).alias("lon"))
+    r2 = F.pow(F.col("iy") - 30, 2) + F.pow(F.col("ix") - 30, 2)
+    z = cell.withColumn("v", 53000 - 3500 * F.exp(-r2 / 8))
+    low = z.where("v < 52000").select("segment", F.lit(1).cast("long").alias("obj_id"), "t", "iy", "ix")
+    b = int(d.cells(p.buffer_km))
+    wind = lambda inside: cell.withColumn("v", F.when(F.col("iy").between(*inside), -5.0).otherwise(10.0))
+    ok = lambda z, u: {x.ok for x in trackers.cut_off_centres(low, z, u, grid, d, p).collect()}
+    assert ok(z, wind((30 - b, 29))) == {True}
+    assert ok(z, wind((0, 30 - b - 1))) == {False}
+    assert ok(z.withColumn("v", F.least("v", F.lit(49600.0))), wind((30 - b, 29))) == {False}
+    # A window without any cell of the ring: the rule has nothing to object to.
+    from dataclasses import replace
+    assert {x.ok for x in trackers.cut_off_centres(low, z, wind((30 - b, 29)), grid, d, replace(p, ring_km=9000.0)).collect()} == {True}
+    tracks = trackers.cut_off_lows(low, z, wind((30 - b, 29)), grid, d, p)
+    assert tracks.count() == low.count()
 
 
 def test_far_parts_are_pieces_and_follow_the_nearest(spark):
