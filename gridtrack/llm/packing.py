@@ -47,7 +47,7 @@ class PackParams:
     epsilon: float = 0.15
     max_rounds: int = 6000
     #: Bound of the words whose ids a worker remembers.
-    cache: int = 1_200_000
+    cache: int = 1_600_000
 
 
 #: Latin letters and digits of one byte in Latin-1, after lower-casing, and the tokenizer's word pattern for texts of such characters.
@@ -70,7 +70,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.most, self.known, self.again = Tokenizer.from_file(path), cache, {}, set()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -100,12 +100,16 @@ class WordIds:
         for at in range(0, len(texts), 1000):
             split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 1000]]
             words = set().union(*split)
-            new = [w for w in words if w not in self.known]
+            new = words - self.known.keys()
             if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(words)
+                # Words met again are remembered, if they leave room; most others come once.
+                old, self.known = self.known, {}
+                if len(self.again) + len(words) < self.most:
+                    self.known = {w: old[w] for w in self.again}
+                self.again, new = set(), words - self.known.keys()
+            self.again |= words - new
             if new:
-                self._learn(new)
+                self._learn(list(new))
             for one in split:
                 yield b"".join(map(self.known.__getitem__, one))
 
