@@ -3,16 +3,20 @@
 All n-grams (words and pairs of words) of the training documents are counted by hash.
 A count c is kept as its level 1 + floor(log2 c), by entering the n-gram with each
 level up to its own into a Bloom filter. A lookup probes level after level until one is
-missing. A pair's probability is interpolated with its word's.
+missing. A pair's probability is interpolated with its word's; where the word before was
+never seen, the word's probability has all the weight.
 
 Words and pairs enter from count 1, at `bits_per_event` bits for each level entered, so
 the filter grows with the input and its error rate does not. It is cut into segments by
-hash, and no task or driver holds more than a segment: texts go in blocks, a block sends
-its distinct n-grams to the segments, which are built and probed there, and gets the levels back.
+hash, and no task or driver holds more than a segment. Texts go in blocks. A block sends
+its distinct n-grams and their training counts to the segments, once: each segment adds
+up the counts, builds its part of the filter, probes it, and sends levels back to the
+blocks, and with them the exact counts of words, on which the base score rests. More
+shuffle partitions make more segments.
 
-The base score needs exact counts of words, of which there is no bound: words with more
-than a `common`th of all tokens, fewer than `common` words, are broadcast; the rest are
-joined by word, one row for each document and word, so no key of that join is large.
+Words are told apart by 64-bit hashes, pairs inside a segment by 32-bit ones. Blocks are
+numbered by partition and place, so docs must come in a fixed order, as files and staged
+tables do; if a block's n-grams are not those that it asked for, the run fails.
 
 A null or empty text is the end token alone. Repeated rows are scored each. With an
 empty training side every count is 0. Extra columns are ignored.
@@ -20,7 +24,6 @@ empty training side every count is 0. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +37,8 @@ from pyspark.sql import functions as F
 from .common import ascii_words, fold, in_blocks, mixed, shuffle_partitions, span_hashes, staged
 
 _U = np.uint64
-#: The end token: no word is a line end. It is also what stands before the first word.
-END = b"\n"
+#: What stands for the end token, which is also what stands before the first word.
 _END_HASH = _U(0xA0761D6478BD642F)
-BLOCKS = 256
 
 
 @dataclass(frozen=True)
@@ -48,19 +49,17 @@ class LmParams:
     probes: int = 5
     levels: int = 40
     #: Weight of the pair's probability; the word's has the rest.
-    pair_weight: float = 0.1
-    common: int = 250_000
+    pair_weight: float = 0.3
+    least_segments: int = 256
+    block_chars: int = 4_000_000
 
 
 @dataclass(frozen=True)
 class LogFrequencyFilter:
-    bits: np.ndarray  # packed, parts of equal size: BLOCKS, or one
-    part: int  # bits of a part
+    bits: np.ndarray  # packed
+    size: int  # bits
     probes: int
     levels: int
-    tokens: int
-    types: int
-    parts: int = BLOCKS
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,129 +75,31 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, mixed(before * _U(0x9E3779B97F4A7C15) + words + _U(0x2545F4914F6CDD1D)), n + 1
 
 
-def _positions(h: np.ndarray, level: int, i: int, part: int) -> np.ndarray:
-    """Bit of probe i of a level, in the part that the top byte of the hash names."""
+def _positions(h: np.ndarray, level: int, i: int, size: int) -> np.ndarray:
+    """Bit of probe i of a level."""
     step = mixed(h + _U(level * 0xD6E8FEB86659FD93 % (1 << 64)))
-    return ((step >> _U(32)) + _U(i) * (step & _U(0xFFFFFFFF) | _U(1))) % _U(part)
+    return ((step >> _U(32)) + _U(i) * (step & _U(0xFFFFFFFF) | _U(1))) % _U(size)
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token, c over all texts; counted in each task first."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["token", "c"])
-
-        c: Counter = Counter()
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                c.update(ascii_words(t or ""))
-                c[END] += 1
-                if len(c) > 150_000:
-                    yield out(c)
-                    c = Counter()
-        if c:
-            yield out(c)
-
-    return docs.select("text").mapInArrow(counted, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def gram_levels(docs: DataFrame, params: LmParams, segments: int) -> DataFrame:
-    """Per segment of hashes: the n-grams' hashes, counts and kinds, packed. Each task sends a sorted run for each segment."""
-    shift = _U(64 - int(np.log2(segments)))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list[np.ndarray], pair: bool) -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            cuts = np.searchsorted(h >> shift, np.arange(segments + 1, dtype=_U))
-            some = np.flatnonzero(np.diff(cuts))
-            c = np.minimum(c, 2**32 - 1).astype("<u4")
-            return pa.RecordBatch.from_arrays([
-                pa.array(some, pa.int64()), pa.array([pair] * len(some)),
-                pa.array([h[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()),
-                pa.array([b"" if (own := c[cuts[s] : cuts[s + 1]]).max() == 1 else own.tobytes() for s in some], pa.binary()),
-            ], ["segment", "pair", "hashes", "counts"])
-
-        words, pairs, n = [], [], 0
-        for batch in batches:
-            for _, block in in_blocks(batch.column("text").to_pylist()):
-                w, p, _ = _grams(block)
-                words.append(w), pairs.append(p)
-                n += len(w)
-                if n > 1_500_000:
-                    yield out(words, False)
-                    yield out(pairs, True)
-                    words, pairs, n = [], [], 0
-        if n:
-            yield out(words, False)
-            yield out(pairs, True)
-
-    def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        segment, pair = key
-        h = np.concatenate([np.frombuffer(x, _U) for x in rows["hashes"]])
-        c = np.concatenate([np.frombuffer(y, "<u4") if y else np.ones(len(x) // 8, "<u4") for x, y in zip(rows["hashes"], rows["counts"])])
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        h, c = h[first], np.add.reduceat(c.astype(np.int64), first)
-        level = (np.log2(c) + 1e-9).astype(np.uint8) + 1
-        sizes = np.bincount(level, minlength=params.levels + 1)[: params.levels + 1]
-        return pd.DataFrame({"segment": [segment], "pair": [bool(pair)], "hashes": [h.tobytes()], "levels": [level.tobytes()], "sizes": [sizes.tolist()]})
-
-    return docs.select("text").mapInArrow(runs, "segment long, pair boolean, hashes binary, counts binary").groupBy("segment", "pair").applyInPandas(summed, "segment long, pair boolean, hashes binary, levels binary, sizes array<long>")
-
-
-def part_bits(grams: DataFrame, params: LmParams, segments: int) -> int:
-    """Bits of a segment of the filter: a power of 2, at least bits_per_event for each level that was counted in all."""
-    sizes = grams.select(F.posexplode("sizes").alias("level", "n"))
-    events = sizes.agg(F.coalesce(F.sum(F.col("level") * F.col("n")), F.lit(0))).first()[0]
-    return 1 << int(np.ceil(np.log2(max(1 << 10, events * params.bits_per_event / segments))))
-
-
-def segment_filter(rows: pd.DataFrame, part: int, params: LmParams, tokens: int, types: int) -> LogFrequencyFilter:
-    bits = np.zeros(part, np.uint8)
-    for hashes, tops in zip(rows["hashes"], rows["levels"]):
-        h, top = np.frombuffer(hashes, _U), np.frombuffer(tops, np.uint8)
-        for k in range(1, int(top.max(initial=0)) + 1):
-            own = h[top >= k]
-            for i in range(params.probes):
-                bits[_positions(own, k, i, part).astype(np.int64)] = 1
-    return LogFrequencyFilter(np.packbits(bits), part, params.probes, params.levels, tokens, types, 1)
-
-
-def gram_answers(rows: DataFrame, grams: DataFrame, params: LmParams, segments: int, tokens: int, types: int) -> DataFrame:
-    """block, hashes, levels: of the n-grams of each block of rows (block, text), packed, each at least once."""
-    shift, part = _U(64 - int(np.log2(segments))), part_bits(grams, params, segments)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks, texts = batch.column("block").to_numpy(), batch.column("text").to_pylist()
-            for own in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
-                words, pairs, _ = _grams([texts[i] for i in own])
-                h = np.unique(np.concatenate([words, pairs]))
-                cuts = np.searchsorted(h >> shift, np.arange(segments + 1, dtype=_U))
-                some = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[own[0]]] * len(some), pa.int64()), pa.array([h[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary())], ["segment", "block", "asked"])
-
-    def answered(key: tuple, model: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(wanted):
-            return pd.DataFrame({"block": [], "hashes": [], "levels": []})
-        f = segment_filter(model, part, params, tokens, types)
-        u, own = np.unique(np.frombuffer(b"".join(wanted["asked"]), _U), return_inverse=True)
-        found, ends = levels(f, u).astype(np.uint8)[own], np.cumsum([len(x) // 8 for x in wanted["asked"]])
-        return pd.DataFrame({"block": wanted["block"], "hashes": wanted["asked"], "levels": [x.tobytes() for x in np.split(found, ends[:-1])]})
-
-    wanted = rows.select("block", "text").mapInArrow(asked, "segment long, block long, asked binary")
-    return grams.select("segment", "hashes", "levels").groupBy("segment").cogroup(wanted.groupBy("segment")).applyInPandas(answered, "block long, hashes binary, levels binary")
+def build(h: np.ndarray, counts: np.ndarray, params: LmParams) -> LogFrequencyFilter:
+    """The filter of n-grams and their counts; those of count 0 do not enter."""
+    h, counts = h[counts > 0], counts[counts > 0]
+    top = np.minimum((np.log2(counts) + 1e-9).astype(np.int64) + 1, params.levels)
+    size = 1 << int(np.ceil(np.log2(max(1 << 10, int(top.sum()) * params.bits_per_event))))
+    bits = np.zeros(size, np.uint8)
+    for k in range(1, int(top.max(initial=0)) + 1):
+        own = h[top >= k]
+        for i in range(params.probes):
+            bits[_positions(own, k, i, size).astype(np.int64)] = 1
+    return LogFrequencyFilter(np.packbits(bits), size, params.probes, params.levels)
 
 
 def levels(f: LogFrequencyFilter, h: np.ndarray) -> np.ndarray:
     """The level of each hash: the number of levels in a row, from 1, whose probes are all set."""
-    out, live = np.zeros(len(h), np.int64), np.arange(len(h))
+    out, live = np.zeros(len(h), np.uint8), np.arange(len(h))
     for k in range(1, f.levels + 1):
         for i in range(f.probes):
-            x = h[live]
-            at = (x >> _U(56) if f.parts > 1 else _U(0) * x).astype(np.int64) * f.part + _positions(x, k, i, f.part).astype(np.int64)
+            at = _positions(h[live], k, i, f.size).astype(np.int64)
             live = live[(f.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
             if not len(live):
                 return out
@@ -213,64 +114,108 @@ def log_probabilities(one: np.ndarray, two: np.ndarray, params: LmParams, tokens
     one, two = count[one], count[two]
     before = np.roll(one, 1)  # an end stands before the first word, and last
     word = (one + 1) / (max(tokens, one.max(initial=0)) + types + 1)
-    return np.log10(np.minimum(1, params.pair_weight * np.minimum(two, before) / np.maximum(before, 1) + (1 - params.pair_weight) * word))
+    weight = np.where(before > 0, params.pair_weight, 0.0)
+    return np.log10(np.minimum(1, weight * np.minimum(two, before) / np.maximum(before, 1) + (1 - weight) * word))
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(next(k for k in ("<u1", "<u4", "<i8") if counts.max(initial=0) <= np.iinfo(k).max)).tobytes()
+
+
+def _counts(data: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(d, {1: "<u1", 4: "<u4", 8: "<i8"}[len(d) // n]).astype(np.int64) for d, n in zip(data, sizes) if n)])
 
 
-def block_scores(rows: DataFrame, answers: DataFrame, params: LmParams, tokens: int, types: int) -> DataFrame:
-    """row, score of each of rows (block, row, text)."""
+def _joined(data: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(data), kind)
+
+
+def numbered(docs: DataFrame, params: LmParams) -> DataFrame:
+    """block, doc_id, train, text of every row; a block has rows that follow each other in a partition."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at, texts in in_blocks(batch.column("text").to_pylist(), params.block_chars):
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column("doc_id").slice(at, n), batch.column("train").slice(at, n), pa.array(texts, pa.string())], ["block", "doc_id", "train", "text"])
+                block += 1
+
+    train = (fold(F.col("doc_id"), params.folds) != params.held_out).alias("train")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, "text").mapInArrow(dealt, "block long, doc_id long, train boolean, text string")
+
+
+def _unique(texts: list[str], bits: int) -> tuple[np.ndarray, ...]:
+    """Of a block: distinct words and the place of each token among them; distinct pairs, as segment and 32 more bits of their hash, and likewise; the tokens of each text."""
+    words, pairs, n = _grams(texts)
+    return *np.unique(words, return_inverse=True), *np.unique(pairs >> _U(32 - bits), return_inverse=True), n
+
+
+def gram_answers(rows: DataFrame, params: LmParams, segments: int) -> DataFrame:
+    """For each block and segment the block's distinct n-grams' levels, and exact counts of words; with block null, tokens and types of each segment."""
+    bits = int(np.log2(segments))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, train, texts = batch.column("block").to_numpy(), np.array(batch.column("train").to_pylist(), bool), batch.column("text").to_pylist()
+            for own in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
+                w, wi, p, pi, n = _unique([texts[i] for i in own], bits)
+                learn = np.repeat(train[own], n)
+                wc, pc = np.bincount(wi[learn], minlength=len(w)), np.bincount(pi[learn], minlength=len(p))
+                edge = np.arange(segments + 1, dtype=_U)
+                a, b = np.searchsorted(w >> _U(64 - bits), edge), np.searchsorted(p >> _U(32), edge)
+                p = p.astype("<u4")
+                some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, pa.int64()), pa.array(np.full(len(some), blocks[own[0]])),
+                    *(pa.array([f(x[e[s] : e[s + 1]]) for s in some], pa.binary()) for x, e, f in ((w, a, np.ndarray.tobytes), (wc, a, _small), (p, b, np.ndarray.tobytes), (pc, b, _small))),
+                ], ["segment", "block", "words", "word_counts", "pairs", "pair_counts"])
+
+    def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        w, p = _joined(rows["words"], "<u8"), _joined(rows["pairs"], "<u4")
+        nw, np_ = [len(x) // 8 for x in rows["words"]], [len(x) // 4 for x in rows["pairs"]]
+        (w, wi), (p, pi) = np.unique(w, return_inverse=True), np.unique(p, return_inverse=True)
+        wc = np.bincount(wi, weights=_counts(rows["word_counts"], nw), minlength=len(w)).astype(np.int64)
+        pc = np.bincount(pi, weights=_counts(rows["pair_counts"], np_), minlength=len(p)).astype(np.int64)
+        both = np.append(w, mixed(p.astype(_U) + _U(0x8EBC6AF09C88C6E3)))
+        level = levels(build(both, np.append(wc, pc), params), both)
+        lw, lp, own = level[: len(w)][wi], level[len(w) :][pi], wc[wi]
+        a, b = np.append(0, np.cumsum(nw)), np.append(0, np.cumsum(np_))
+        cut = lambda x, e: [x[i:j].tobytes() for i, j in zip(e[:-1], e[1:])]
+        out = pd.DataFrame({"block": rows["block"].astype("Int64"), "segment": key[0], "word_counts": [_small(own[i:j]) for i, j in zip(a[:-1], a[1:])], "word_levels": cut(lw, a), "pair_levels": cut(lp, b), "tokens": 0, "types": 0})
+        total = pd.DataFrame({"block": pd.array([None], "Int64"), "segment": key[0], "word_counts": [b""], "word_levels": [b""], "pair_levels": [b""], "tokens": int(wc.sum()), "types": int((wc > 0).sum())})
+        return pd.concat([out, total])
+
+    asks = rows.select("block", "train", "text").mapInArrow(asked, "segment long, block long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    return asks.groupBy("segment").applyInPandas(answered, "block long, segment long, word_counts binary, word_levels binary, pair_levels binary, tokens long, types long")
+
+
+def block_scores(rows: DataFrame, answers: DataFrame, params: LmParams, segments: int, tokens: int, types: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of each of rows."""
+    bits = int(np.log2(segments))
 
     def scored(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        words, pairs, n = _grams(texts["text"].tolist())
-        h, first = np.unique(np.frombuffer(b"".join(found["hashes"]), _U), return_index=True)
-        level = np.frombuffer(b"".join(found["levels"]), np.uint8)[first]
-        logs = log_probabilities(level[np.searchsorted(h, words)], level[np.searchsorted(h, pairs)], params, tokens, types)
-        return pd.DataFrame({"row": texts["row"], "score": np.add.reduceat(logs, np.append(0, np.cumsum(n)[:-1]))})
+        w, wi, p, pi, n = _unique(texts["text"].tolist(), bits)
+        found = found.sort_values("segment")
+        one, two = _joined(found["word_levels"], "u1"), _joined(found["pair_levels"], "u1")
+        if (len(one), len(two)) != (len(w), len(p)):
+            raise ValueError("docs came in another order: stage them first")
+        count = _counts(found["word_counts"], [len(x) for x in found["word_levels"]])[wi]
+        starts = np.append(0, np.cumsum(n)[:-1])
+        summed = lambda x: np.add.reduceat(x, starts)
+        logs = log_probabilities(one[wi], two[pi], params, tokens, types)
+        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_tokens": n, "n_known": summed((count > 0).astype(np.int64)), "base_score": summed(np.log10((count + 1) / (tokens + types + 1))), "score": summed(logs)})
 
-    return rows.select("block", "row", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, "row long, score double")
+    return rows.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = docs.where(fold(F.col("doc_id"), params.folds) != params.held_out)
-    counts = staged(token_counts(train), "token-counts")
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # Fewer than `common` words can each have more than a `common`th of the tokens.
-    hot = {bytes(r.token): r.c for r in counts.where((F.col("c") * params.common > total) | (F.col("token") == F.lit(END))).collect()}
-    segments = max(BLOCKS, 1 << int(np.ceil(np.log2(8 * shuffle_partitions(spark)))))
-    grams = staged(gram_levels(train, params, segments), "grams")
-    floor = total + types + 1
-    known = spark.sparkContext.broadcast({t: float(np.log10((c + 1) / floor)) for t, c in hot.items()} | {END: float(np.log10((hot.get(END, 0) + 1) / floor))})
-    end_known = int(END in hot)
-
-    def based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, logs = TaskContext.get().partitionId() << 40, known.value
-        for batch in batches:
-            for at, block in in_blocks(batch.column("text").to_pylist(), 1_000_000):
-                n_tokens, n_known, base, tokens, times, cuts = [], [], [], [], [], [0]
-                for t in block:
-                    s, k, words = logs[END], end_known, ascii_words(t)
-                    n_tokens.append(len(words) + 1)
-                    for w, c in Counter(words).items():
-                        if (x := logs.get(w)) is None:
-                            tokens.append(w), times.append(c)
-                        else:
-                            s += c * x
-                            k += c
-                    n_known.append(k), base.append(s), cuts.append(len(tokens))
-                rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], ["token", "tf"]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(block)), pa.array(np.full(len(block), row)), pa.array(np.arange(row, row + len(block))), pa.array(block, pa.string()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare], ["doc_id", "block", "row", "text", "n_tokens", "n_known", "base", "rare"])
-                row += len(block)
-
-    rows = staged(docs.mapInArrow(based, "doc_id long, block long, row long, text string, n_tokens long, n_known long, base double, rare array<struct<token: binary, tf: long>>"), "scored")
-    known.destroy()  # every row has its base: executors and driver need it no more
-    scores = block_scores(rows, gram_answers(rows, grams, params, segments, total, types), params, total, types)
-    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.tf")
-    seen = F.coalesce(F.col("c"), F.lit(0))
-    rare = rare.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10((seen + 1) / F.lit(float(floor)))).alias("rare_base"), F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    rows = rows.select("doc_id", "row", "n_tokens", "n_known", "base").join(scores, "row").join(rare, "row", "left")
-    return rows.select(
-        "doc_id", (fold(F.col("doc_id"), params.folds) == params.held_out).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    segments = max(params.least_segments, 1 << int(np.ceil(np.log2(8 * shuffle_partitions(docs.sparkSession)))))
+    rows = numbered(docs, params)
+    answers = staged(gram_answers(rows, params, segments), "answers")
+    total, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    answers = answers.where("block is not null").select("block", "segment", "word_counts", "word_levels", "pair_levels")
+    out = block_scores(rows, answers, params, segments, total, types)
+    return out.select("doc_id", (fold(F.col("doc_id"), params.folds) == params.held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

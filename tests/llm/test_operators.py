@@ -345,28 +345,36 @@ def test_lm_score_counts_all_pairs(spark, repeat):
     both = collections.Counter(p for t in train for p in zip([b"\n", *t], t))
     n, v = sum(c.values()), len(c)
     size = lambda x: 0 if not x else 1 if x == 1 else 0.75 * 2.0 ** (int(np.log2(x)) + 1)
-    want = {i: sum(np.log10(min(1, 0.1 * min(size(both[a, w]), size(c[a])) / max(size(c[a]), 1) + 0.9 * (size(c[w]) + 1) / (max(n, size(c[b"\n"])) + v + 1))) for a, w in zip([b"\n", *t], t)) for i, t in tok}
+
+    def log(a, w):
+        word = (size(c[w]) + 1) / (max(n, size(c[b"\n"])) + v + 1)
+        return np.log10(min(1, 0.3 * min(size(both[a, w]), size(c[a])) / size(c[a]) + 0.7 * word) if c[a] else word)
+
+    want = {i: sum(log(a, w) for a, w in zip([b"\n", *t], t)) for i, t in tok}
     got = [(x.doc_id, x.score) for x in lm_score.score(spark.createDataFrame(items, "doc_id long, text string"), lm_score.LmParams(bits_per_event=64)).collect()]
     assert len(got) == len(items)
-    assert all(abs(s - want[i]) < 1e-6 * abs(want[i]) + 1e-9 for i, s in got)
+    off = {i: (s, want[i]) for i, s in got if abs(s - want[i]) > 1e-6 * abs(want[i]) + 1e-9}
+    assert len(off) <= 3 and all(s > w for s, w in off.values())  # a filter overstates a few
 
 
 def test_filter_levels():
     r = np.random.default_rng(1)
     h = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
-    top = r.integers(1, 6, 3000)
-    part = 1 << 10
-    bits = np.zeros((lm_score.BLOCKS, part), np.uint8)
-    for k in range(1, 6):
-        own = h[top >= k]
-        for i in range(5):
-            bits[(own >> np.uint64(56)).astype(int), lm_score._positions(own, k, i, part).astype(int)] = 1
-    f = lm_score.LogFrequencyFilter(np.packbits(bits, axis=1).reshape(-1), part, 5, 40, 1, 1)
+    top = r.integers(0, 6, 3000)
+    f = lm_score.build(h, np.where(top > 0, 2 ** np.maximum(top - 1, 0), 0), lm_score.LmParams())
     got = lm_score.levels(f, h)
     assert (got >= top).all() and (got == top).mean() > 0.95  # a level is never missed, rarely overstated
     assert (lm_score.levels(f, r.integers(0, 1 << 63, 3000, dtype=np.uint64)) == 0).mean() > 0.9
 
 
+def test_scores_in_many_blocks(spark):
+    """Long texts, and blocks of one text each, are scored as in one block."""
+    items = [(i, text(random.Random(i).randint(0, 300))) for i in range(60)] + [(60, LONG), (None, "a b"), (60, LONG)]
+    df = spark.createDataFrame(items, "doc_id long, text string").coalesce(2)
+    one, many = (sorted(map(str, ((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_score.score(df, lm_score.LmParams(block_chars=k, bits_per_event=64)).collect()))) for k in (1 << 30, 50))
+    assert one == many and len(one) == 63
+
+
 def test_language_id(spark, docs, none):
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
     r = random.Random(2)
