@@ -76,13 +76,12 @@ def has_letter(text: str) -> bool:
     return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
 
 
-def _frequencies(texts: list[str], bits: int) -> np.ndarray:
-    x = np.zeros((len(texts), 1 << bits), np.float32)
+def _frequencies(texts: list[str], bits: int, x: np.ndarray) -> None:
+    """Fills the rows of x."""
     for i, t in enumerate(texts):
         h = gram_hashes(packed_bytes([t])[0], 3, bits)
         if len(h):
             x[i] = np.bincount(h, minlength=1 << bits) / len(h)
-    return x
 
 
 def fit(texts: list[str], langs: list[str], params: EcocParams = EcocParams()) -> EcocModel:
@@ -93,9 +92,12 @@ def fit(texts: list[str], langs: list[str], params: EcocParams = EcocParams()) -
     codes = codewords(len(languages), params.seed)
     rng = np.random.default_rng(params.seed)
     cut = [t[(a := int(rng.integers(0, max(1, len(t) - 60)))) : a + int(rng.integers(10, 60))] for t in texts]
-    x = np.concatenate([_frequencies(texts, params.bits), _frequencies(cut, params.bits)])
+    x, n = np.zeros((2 * len(texts), 1 << params.bits), np.float32), len(texts)
+    for rows, some in ((x[:n], texts), (x[n:], cut)):
+        _frequencies(some, params.bits, rows)
     y = codes[[languages.index(l) for l in langs] * 2]
-    mean, std = x.mean(0), x.std(0) + 1e-4
+    mean = x.mean(0, dtype=np.float64).astype(np.float32)
+    std = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean.astype(np.float64) ** 2)).astype(np.float32) + np.float32(1e-4)  # no copy of x
     x -= mean
     x /= std
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
@@ -153,8 +155,8 @@ def train(docs: DataFrame, params: EcocParams = EcocParams()) -> EcocModel:
     return fit([r.text for r in rows], [r.lang for r in rows], params)
 
 
-def predict(docs: DataFrame, model: EcocModel) -> DataFrame:
-    """docs with a struct column `__ecoc` of lang_pred, score and ambiguous, so that no column of docs clashes."""
+def predict(docs: DataFrame, model: EcocModel, into: str = "ecoc") -> DataFrame:
+    """docs with a struct column `into`, which is not to be one of docs, of lang_pred, score and ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits x 2**bits numbers, whatever the input
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -162,4 +164,4 @@ def predict(docs: DataFrame, model: EcocModel) -> DataFrame:
             yield predict_texts(shared.value, texts.tolist())
 
     udf = F.pandas_udf(predicted, "lang_pred string, score double, ambiguous boolean")
-    return docs.withColumn("__ecoc", udf("text"))
+    return docs.withColumn(into, udf("text"))

@@ -6,7 +6,8 @@ when a hash keyed by seed, document, the unit's place in the text and the candid
 ends falls below the rate: each occurrence of a word is segmented anew, and the same call
 always gives the same segmentation. A document's draw is a 64-bit hash of its id, or of
 its text where the id is null. Blanks never stand inside a piece after other characters,
-so a text is encoded unit by unit (blanks, then a word), many units at once.
+so a text is encoded unit by unit (blanks, then a word): many short units at once, each long
+one along an agenda of its candidates.
 
 Remembered of a unit are its ids without dropout and the candidates on the way there.
 Where an occurrence skips none of these, they are its ids; all others are merged anew.
@@ -18,6 +19,7 @@ has no ids. Repeated rows are encoded alike. Extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import zlib
@@ -35,6 +37,15 @@ from .common import in_blocks, mixed
 BLANK = "▁"
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 _U = np.uint64
+_WORD = (1 << 64) - 1
+#: Units of more code points are merged one by one, along an agenda.
+LONG = 100
+
+
+def _mixed(h: int) -> int:
+    """mixed() of one number."""
+    h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & _WORD
+    return h ^ (h >> 32)
 
 
 @dataclass(frozen=True)
@@ -90,6 +101,7 @@ class Codec:
         self.keys, self.joined = np.array(keys, np.int64)[order], np.array(joined, np.int64)[order]
         self.scores = np.array([sp.get_score(i) for i in range(n)])
         self.raw = [bytes([int(self.pieces[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else self.pieces[i].replace(BLANK, " ").encode() for i in range(n)]
+        self.merges: dict[int, int] | None = None
         self.n, self.below = n, _U(min(int(params.dropout * 2.0**64), 2**64 - 1))
         self._forget()
 
@@ -105,6 +117,9 @@ class Codec:
     def _merge(self, units: np.ndarray, keys: np.ndarray | None) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
         """Ids of each unit as bytes, and without keys (no dropout) the candidates met, by row; the units are worked on together, column by column."""
         n, size = len(units), self.symbols.sizes[units]
+        if size.min() > LONG:
+            each = [self._merge_long(self.symbols.runs(units[r : r + 1])[0].tolist(), None if keys is None else int(keys[r])) for r in range(n)]
+            return [x for x, _ in each], [(np.full(len(ends), r), ends) for r, (_, ends) in enumerate(each)]
         width, met = int(size.max()), []
         # Codes of characters without a piece are below -1 and join with nothing.
         sym = np.full((n, width + 1), -1, np.int64)
@@ -157,6 +172,40 @@ class Codec:
             out[r] = np.array(list(itertools.chain.from_iterable(ids)), "<u4").tobytes()
         return out, met
 
+    def _merge_long(self, sym: list[int], key: int | None) -> tuple[bytes, np.ndarray]:
+        """As _merge, for one unit: an agenda of candidates, best score and leftmost first, and parts that know their ends; about linear in the unit's length."""
+        if self.merges is None:
+            self.merges = dict(zip(self.keys.tolist(), self.joined.tolist()))
+        score, below, n = self.scores, int(self.below), len(sym)
+        part, end, before = list(sym), list(range(1, n + 1)), list(range(-1, n))  # by start; before: the start of the part on the left
+        met, agenda = [], []
+
+        def candidate(a: int, b: int) -> None:
+            if part[a] < 0 or part[b] < 0 or (joined := self.merges.get(part[a] * self.n + part[b])) is None:
+                return
+            ends = (a + (b << 21) + (end[b] << 42)) & _WORD
+            if below:
+                if key is None:
+                    met.append(ends)
+                elif _mixed((key + ends * 0x9E3779B97F4A7C15) & _WORD) < below:
+                    return
+            heapq.heappush(agenda, (-score[joined], a, b, end[b], joined))
+
+        for a in range(n - 1):
+            candidate(a, a + 1)
+        while agenda:
+            _, a, b, to, joined = heapq.heappop(agenda)
+            if part[a] is None or part[b] is None or end[a] != b or end[b] != to:
+                continue
+            part[a], part[b], end[a] = joined, None, to
+            if to < n:
+                before[to] = a
+                candidate(a, to)
+            if a:
+                candidate(before[a], a)
+        ids = itertools.chain.from_iterable([x] if x >= 0 else [self.bytes[v] for v in chr(-2 - x).encode("utf-8", "replace")] for x in part if x is not None)
+        return np.fromiter(ids, "<u4").tobytes(), np.array(met, _U)
+
     def _together(self, units: np.ndarray) -> Iterator[np.ndarray]:
         """Places in units, those of like length together."""
         size = self.symbols.sizes[units]

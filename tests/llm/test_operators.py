@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -319,6 +320,49 @@ def test_sentencepiece_draws_every_occurrence(spark):
     assert len({r.ids for r in sp_codec.encode_documents(rows, sp_codec.CodecParams(path)).collect()}) == 40
 
 
+def plain_merges(codec, unit, key):
+    """The definition: of all neighbours whose join is a piece and is not skipped, the best scored, leftmost first, again and again."""
+    merges = dict(zip(codec.keys.tolist(), codec.joined.tolist()))
+    parts = [(codec.symbols.runs(np.array([codec.known[unit]]))[0].tolist()[i], i, i + 1) for i in range(len(unit))]
+    while True:
+        found = []
+        for i, ((a, s, m), (b, _, e)) in enumerate(zip(parts, parts[1:])):
+            joined = merges.get(a * codec.n + b) if a >= 0 and b >= 0 else None
+            if joined is not None and not codec._skipped(np.array([key], np.uint64), np.array([s + (m << 21) + (e << 42)], np.uint64))[0]:
+                found.append((-codec.scores[joined], i, joined))
+        if not found:
+            return [p for p, _, _ in parts]
+        _, i, joined = min(found)
+        parts[i : i + 2] = [(joined, parts[i][1], parts[i + 1][2])]
+
+
+def test_sentencepiece_dropout_is_the_plain_loop():
+    codec = sp_codec.Codec(sp_codec.CodecParams(P.path("piece_bpe_32k.model"), dropout=0.3))
+    r = random.Random(8)
+    units = ["international", "thethethe" * 5, *("".join(r.choice("aeinrst") for _ in range(n)) for n in (1, 2, 40, 98, 99, 100, 101, 102, 150))]
+    codec._remember(units)
+    for k, u in enumerate(units):
+        number, key = np.array([codec.known[u]]), np.array([k * 987654321987654321 % 2**64], np.uint64)
+        want = plain_merges(codec, u, int(key[0]))
+        assert np.frombuffer(codec._merge(number, key)[0][0], "<u4").tolist() == want
+        long = codec._merge_long(codec.symbols.runs(number)[0].tolist(), int(key[0]))[0]
+        assert np.frombuffer(long, "<u4").tolist() == want
+        ends, met = codec.ends.runs(number)[0], codec._merge_long(codec.symbols.runs(number)[0].tolist(), None)[1]
+        assert sorted(set(ends.tolist())) == sorted(set(met.tolist()))
+
+
+def test_sentencepiece_long_words():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, plain, dropped = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec.Codec(sp_codec.CodecParams(path, dropout=0.0)), sp_codec.Codec(sp_codec.CodecParams(path))
+    r = random.Random(9)
+    word = "".join(r.choice("aeinrstlo") for _ in range(5000))
+    assert np.frombuffer(plain.encode(word), "<u4").tolist() == sp.encode(word)
+    began, long = time.time(), "".join(r.choice("aeinrstlo日本é") for _ in range(200_000))
+    assert dropped.decode(dropped.encode(long, 5)) == long and time.time() - began < 60
+
+
 def test_lm_score(docs, none):
     out = {r.doc_id: r for r in lm_score.score(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     tok = {i: [w.encode() for w in words(fold_ascii(t))] + [b"\n"] for i, t in enumerate(TEXTS)}
@@ -382,9 +426,9 @@ def test_language_id(spark, docs, none):
     rows = [(i, make(alphabets[k]), k) for i, k in enumerate(r.choice(list(alphabets)) for _ in range(300))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(df)
-    out = {x.doc_id: x["__ecoc"] for x in langid.predict(df, model).collect()}
+    out = {x.doc_id: x["ecoc"] for x in langid.predict(df, model).collect()}
     assert sum(out[i].lang_pred == k for i, _, k in rows) >= 298
-    assert {x.doc_id for x in langid.predict(docs, model).where("__ecoc.lang_pred = 'und'").collect()} == {0, 1, 2, 10}
+    assert {x.doc_id for x in langid.predict(docs, model).where("ecoc.lang_pred = 'und'").collect()} == {0, 1, 2, 10}
     assert langid.predict(none, model).count() == 0
     assert langid.predict_texts(langid.train(none), ["text"]).lang_pred.tolist() == ["und"]
     codes = langid.codewords(8)
