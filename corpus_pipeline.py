@@ -8,6 +8,8 @@ texts; packing lays the rest out in training sequences.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from gridtrack.llm.queries import pack_params
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = langid.predict(docs, langid.train(docs))
-    return out.where((F.col("__ecoc.lang_pred") != "und") & ~F.col("__ecoc.ambiguous")).select(*docs.columns)
+    into = unused(docs, "ecoc")
+    out = langid.predict(docs, langid.train(docs), into)
+    return out.where((F.col(into)["lang_pred"] != "und") & ~F.col(into)["ambiguous"]).select(*docs.columns)
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -35,12 +38,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = staged(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    docs = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    own, rest, one = unused(docs, "kept_id"), unused(docs, "rest"), unused(docs, "one")
+    keep = staged(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct(), "kept")
+    # Both ways deal the texts once, by id: the join and the grouping share it.
+    some = docs.where("doc_id is not null").join(keep.hint("merge"), F.col("doc_id") == F.col(own), "left_semi")
+    bare = docs.where("doc_id is null" if not keep.where(F.col(own).isNull()).isEmpty() else "false")
     # Rows of one id and text are one document, and so are copies without an id.
-    other = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(1).alias("__one"))
-    one = docs.groupBy("doc_id", "text").agg(F.min(other).alias("__rest"))
-    return one.select(*(c if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns))
+    other = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(1).alias(one))
+    parts = (rows.groupBy("doc_id", "text").agg(F.min(other).alias(rest)) for rows in (some, bare))
+    return reduce(DataFrame.union, parts).select(*(c if c in ("doc_id", "text") else F.col(rest)[c].alias(c) for c in docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
