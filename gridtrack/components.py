@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import released, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -18,13 +18,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = staged(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")), "labels")
+    labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label"), F.lit(True).alias("moved")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        step = staged(step.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("old")).alias("moved")), "labels")
-        labels = step.select("node", "label")
-        if step.where("moved").isEmpty():
-            return labels
+        own = labels.select("node", "label")
+        near = both.join(own.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
+        step = own.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
+        jump = own.select(F.col("node").alias("next"), F.col("label").alias("far"))
+        step = step.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("old")).alias("moved"))
+        before, labels = labels, staged(step, "labels")
+        released(before)
+        if labels.where("moved").isEmpty():
+            released(both)
+            return labels.select("node", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

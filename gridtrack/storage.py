@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, and a temporary one only where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(at := tempfile.mkdtemp(prefix="gridtrack-"))
     return at
 
@@ -23,4 +25,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = at
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing reads any more."""
+    df._staged_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._staged_at, True)
