@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import staged
-from .label import label
+from .label import label, numbered
 from .objects import OBJ, lifetime_filter, overlaps
 
 
@@ -62,8 +62,7 @@ def break_up(objects: DataFrame, ny: int, nx: int, min_steps: int, limit: float
     apart = multi.join(tree.withColumnRenamed("node", "part"), ["segment", "part"]).select("segment", F.col("obj_id").alias("from_id"), F.col("root"), "t", "iy", "ix")
     whole = cells.join(many, list(OBJ), "left_anti").select("segment", F.col("obj_id").alias("from_id"), F.lit(None).cast("long").alias("root"), "t", "iy", "ix")
     both = whole.union(apart)
-    ids = both.select("segment", "from_id", "root").distinct()
-    ids = ids.withColumn("obj_id", F.row_number().over(Window.partitionBy("segment").orderBy("from_id", "root")).cast("long"))
+    ids = numbered(both.select("segment", "from_id", "root").distinct(), "from_id", "root").select("segment", "from_id", "root", "obj_id_new")
     ids = ids.toDF("segment", "from_id", "__root", "obj_id")
     same = both.join(ids, ["segment", "from_id"]).where(F.col("root").eqNullSafe(F.col("__root"))).select("segment", "obj_id", "t", "iy", "ix")
     return lifetime_filter(same, min_steps)

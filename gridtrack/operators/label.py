@@ -73,8 +73,16 @@ def bounding_boxes(objects: DataFrame, keys: tuple[str, ...] = ("segment", "obj_
     return objects.groupBy(*keys).agg(*(f(c).alias(f"{c}{n}") for c in ("t", "iy", "ix") for f, n in ((F.min, 0), (F.max, 1))))
 
 
+def numbered(ids: DataFrame, by: str, *then: str) -> DataFrame:
+    """ids with obj_id_new: 1..n per segment in the order of `by` (a number of a cell) and then `then`. Each task ranks 2**20 numbers of `by`, and what comes before them is counted."""
+    ids = ids.withColumn("__run", F.shiftright(by, 20))
+    before = Window.partitionBy("segment").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    first = ids.groupBy("segment", "__run").count().select("segment", "__run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    rank = F.row_number().over(Window.partitionBy("segment", "__run").orderBy(by, *then))
+    return ids.withColumn("__rank", rank).join(first, ["segment", "__run"]).withColumn("obj_id_new", (F.col("__first") + F.col("__rank")).cast("long")).drop("__run", "__first", "__rank")
+
+
 def relabel(objects: DataFrame) -> DataFrame:
     """Ids 1..n per segment in the order of the old ids."""
-    ids = objects.select("segment", "obj_id").distinct()
-    ids = ids.withColumn("__new", F.row_number().over(Window.partitionBy("segment").orderBy("obj_id")).cast("long"))
-    return objects.join(ids, ["segment", "obj_id"]).withColumn("obj_id", F.col("__new")).drop("__new").select(*objects.columns)
+    ids = numbered(objects.select("segment", "obj_id").distinct(), "obj_id")
+    return objects.join(ids, ["segment", "obj_id"]).withColumn("obj_id", F.col("obj_id_new")).drop("obj_id_new").select(*objects.columns)

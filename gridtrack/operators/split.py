@@ -17,24 +17,36 @@ def regions(objects: DataFrame, ny: int, nx: int) -> DataFrame:
     return out.select("segment", F.col("own").alias("obj_id"), "t", "iy", "ix", F.col("obj_id").alias("part"))
 
 
-def interior(cells: DataFrame) -> DataFrame:
-    """segment, t, obj_id, part, depth: the largest distance of a region's cell from the nearest cell outside it."""
+def depths(inside: np.ndarray) -> np.ndarray:
+    """Distance of each cell to the nearest cell that is not inside, 0 there; exact, first along rows, then across them. Infinite where all cells are inside."""
+    far = float(inside.shape[0] + inside.shape[1])
+    at = np.arange(inside.shape[1], dtype=float)
+    left = np.maximum.accumulate(np.where(inside, -np.inf, at), axis=1)
+    right = np.minimum.accumulate(np.where(inside, np.inf, at)[:, ::-1], axis=1)[:, ::-1]
+    along = np.minimum(np.minimum(at - left, right - at), far * 2) ** 2
+    rows, out = np.arange(inside.shape[0], dtype=float), np.empty(inside.shape)
+    for y in range(inside.shape[0]):
+        out[y] = (((rows - y) ** 2)[:, None] + along).min(0)
+    return np.where(out > far * far, np.inf, np.sqrt(out))
+
+
+def interior(cells: DataFrame, ny: int, nx: int) -> DataFrame:
+    """segment, t, obj_id, part, depth: the largest distance of a region's cell from the nearest cell of the grid outside its object; what lies beyond the grid is not outside."""
 
     def deepest(rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = rows["iy"].to_numpy() - rows["iy"].min() + 1, rows["ix"].to_numpy() - rows["ix"].min() + 1
-        inside = np.zeros((y.max() + 2, x.max() + 2), bool)
-        inside[y, x] = True
-        oy, ox = np.nonzero(~inside)
-        deep = max(float(np.sqrt(((oy - b) ** 2 + (ox - a) ** 2).min())) for b, a in zip(y, x))
-        return rows.iloc[:1][["segment", "t", "obj_id", "part"]].assign(depth=deep)
+        y0, x0 = max(0, rows["iy"].min() - 1), max(0, rows["ix"].min() - 1)
+        inside = np.zeros((min(ny, rows["iy"].max() + 2) - y0, min(nx, rows["ix"].max() + 2) - x0), bool)
+        inside[rows["iy"] - y0, rows["ix"] - x0] = True
+        rows = rows.assign(depth=depths(inside)[rows["iy"] - y0, rows["ix"] - x0])
+        return rows.groupby(["segment", "t", "obj_id", "part"], as_index=False)["depth"].max()
 
-    return cells.select("segment", "t", "obj_id", "part", "iy", "ix").groupBy("segment", "t", "obj_id", "part").applyInPandas(deepest, "segment int, t int, obj_id long, part long, depth double")
+    return cells.select("segment", "t", "obj_id", "part", "iy", "ix").groupBy("segment", "t", "obj_id").applyInPandas(deepest, "segment int, t int, obj_id long, part long, depth double")
 
 
 def split_far(objects: DataFrame, ny: int, nx: int, distance: float) -> DataFrame:
     """Cells with `piece`: a region that lies more than distance from an earlier region of its label and step, or is deep as that one is, is a piece of its own; others keep the first region's."""
     cells = regions(objects, ny, nx)
-    mid = cells.groupBy("segment", "t", "obj_id", "part").agg(F.avg("iy").alias("cy"), F.avg("ix").alias("cx")).join(interior(cells), ["segment", "t", "obj_id", "part"])
+    mid = cells.groupBy("segment", "t", "obj_id", "part").agg(F.avg("iy").alias("cy"), F.avg("ix").alias("cx")).join(interior(cells, ny, nx), ["segment", "t", "obj_id", "part"])
     first = mid.select("segment", "t", "obj_id", F.col("part").alias("p"), F.col("cy").alias("py"), F.col("cx").alias("px"), F.col("depth").alias("pd"))
     far = F.sqrt(F.pow(F.col("cy") - F.col("py"), 2) + F.pow(F.col("cx") - F.col("px"), 2)) > distance
     deep = (F.col("depth") > distance) & (F.col("pd") > distance)

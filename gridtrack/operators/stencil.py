@@ -95,15 +95,16 @@ def gaussian_series(rows: DataFrame, keys: tuple[str, ...], value: str, out: str
     r = len(w) // 2
     span = Window.partitionBy(*keys)
     order = span.orderBy("t")
-    rows = rows.withColumn("__i", (F.row_number().over(order) - 1).cast("long")).withColumn("__n", F.count("*").over(span)).withColumn("__all", F.collect_list(F.struct("__i", value)).over(span))
-    line = F.transform(F.array_sort("__all"), lambda x: x[value])
+    rows = rows.withColumn("__i", (F.row_number().over(order) - 1).cast("long")).withColumn("__n", F.count("*").over(span)).withColumn("__near", F.collect_list(F.struct(value)).over(order.rowsBetween(-r, r)))
+    # A mirrored place is never farther off than the one that it stands for.
+    from_ = F.greatest(F.col("__i") - r, F.lit(0))
 
     def at(k: int) -> Column:
         j = F.pmod(F.col("__i") + k, 2 * F.col("__n"))
-        return F.get("__line", F.when(j < F.col("__n"), j).otherwise(2 * F.col("__n") - 1 - j).cast("int"))
+        return F.get("__near", (F.when(j < F.col("__n"), j).otherwise(2 * F.col("__n") - 1 - j) - from_).cast("int"))[value]
 
     terms = [at(k) * x for k, x in zip(range(-r, r + 1), w)]
-    return rows.withColumn("__line", line).withColumn(out, sum(terms[1:], terms[0])).drop("__i", "__n", "__all", "__line")
+    return rows.withColumn(out, sum(terms[1:], terms[0])).drop("__i", "__n", "__near")
 
 
 def local_maxima(field: DataFrame, threshold: float, value: str = "v") -> DataFrame:

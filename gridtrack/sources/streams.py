@@ -84,9 +84,9 @@ def dense(objects: DataFrame, field: DataFrame, name: str = "obj_id") -> DataFra
 
 
 def write_segments(rows: DataFrame, path: str, keys: tuple[str, ...] = ("segment",)) -> None:
-    """One folder for each segment; only the folders of segments in rows are replaced."""
+    """One folder for each segment, with a file for each range of steps in it; only the folders of segments in rows are replaced."""
     order = [c for c in ("t", "iy", "ix") if c in rows.columns]
-    rows.repartition(*keys).sortWithinPartitions(*keys, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    rows.repartitionByRange(*keys, *order[:1]).sortWithinPartitions(*keys, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def missing_segments(wanted: DataFrame, spark: SparkSession, path: str) -> DataFrame:
@@ -101,8 +101,8 @@ def missing_segments(wanted: DataFrame, spark: SparkSession, path: str) -> DataF
 
 
 def compact(months: DataFrame) -> DataFrame:
-    """Months of a stream as years: one sorted run of rows for each segment."""
-    return months.repartition("segment").sortWithinPartitions("segment", "t", "iy", "ix")
+    """Months of a stream as years: rows in ranges of segment and step, sorted."""
+    return months.repartitionByRange("segment", "t").sortWithinPartitions("segment", "t", "iy", "ix")
 
 
 def check_shape(objects: DataFrame, n_steps: int, ny: int, nx: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,22 @@ def test_cut_off_low(spark):
     assert tracks.count() == low.count()
 
 
+def test_depths_are_distances_to_cells_of_the_grid():
+    r = random.Random(4)
+    for _ in range(30):
+        ny, nx = r.randint(1, 9), r.randint(1, 9)
+        inside = np.array([[r.random() < 0.8 for _ in range(nx)] for _ in range(ny)])
+        outside = list(zip(*np.nonzero(~inside)))
+        want = [[0.0 if not inside[y, x] else min((math.dist((y, x), o) for o in outside), default=math.inf) for x in range(nx)] for y in range(ny)]
+        assert np.allclose(split.depths(inside), want)
+
+
+def test_numbers_follow_old_ids_over_many_runs(spark):
+    ids = [(s, i) for s in (0, 1) for i in (-5, 3, 1 << 20, (1 << 20) + 1, 1 << 40, (1 << 40) + 9)]
+    got = label.relabel(spark.createDataFrame([(s, i, 0, 0, 0) for s, i in ids], "segment int, obj_id long, t int, iy int, ix int")).groupBy("segment").agg(F.sort_array(F.collect_list("obj_id")).alias("n")).collect()
+    assert [r.n for r in got] == [[1, 2, 3, 4, 5, 6]] * 2
+
+
 def test_far_parts_are_pieces_and_follow_the_nearest(spark):
     ny, nx = 4, 40
     points = [(t, 1, x + t) for t in range(3) for x in (2, 3, 25, 26)]
