@@ -50,7 +50,7 @@ class LineParams:
 
 
 #: Letters that are counted, and the bits of a count; counts are compared on the circle of that many numbers.
-LETTERS = "enirtasodlcu"
+LETTERS = "enirtasodlcumhpgfbvywkqz"
 _BITS = 5
 
 
@@ -80,26 +80,19 @@ def index_entries(line: Column, length: Column, params: LineParams) -> list[Colu
     return out + [F.when(long & (lower != own), e) for e in _entries_of(line, length, lower, params)]
 
 
-def _letter_counts(line: Column) -> Column:
-    """The counts of LETTERS, mod 2**_BITS, in one number."""
+def _letter_counts(line: Column, letters: str) -> Column:
+    """The counts of some letters, mod 2**_BITS, in one number."""
     out = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):  # letters of one byte: octets count them
+    for k, c in enumerate(letters):  # letters of one byte: octets count them
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
         out = out.bitwiseOR(F.shiftleft(n.bitwiseAND((1 << _BITS) - 1).cast("long"), _BITS * k))
     return out
 
 
-def _letter_groups(n: int) -> Column:
-    """Hashes of the counts of n groups of letters."""
-    one = (1 << _BITS) - 1
-    masks = [sum(one << _BITS * k for k in range(j, len(LETTERS), n)) for j in range(n)]
-    return F.array(*(F.xxhash64(F.lit(j), F.col("counts").bitwiseAND(m)) for j, m in enumerate(masks)))
-
-
-def _letter_distance(a: Column, b: Column) -> Column:
-    """At most twice the edits between lines with these counts."""
+def _letter_distance(a: Column, b: Column, n: int) -> Column:
+    """At most twice the edits between lines with these counts of n letters."""
     out = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
+    for k in range(n):
         d = (F.shiftright(a, _BITS * k) - F.shiftright(b, _BITS * k)).bitwiseAND((1 << _BITS) - 1)
         out = out + F.least(d, (1 << _BITS) - d)
     return out
@@ -155,26 +148,29 @@ def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
 
 
 def similar_lines(lines: DataFrame, docs: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs (a, b) of keys of alike lines, each pair once; lines: key, doc_id, entries, length, counts."""
+    """Pairs (a, b) of keys of alike lines, each pair once; lines: key, doc_id, entries."""
     tau = params.distance
     entries = lines.select(F.col("key.h").alias("id"), F.explode("entries").alias("entry"))
     shared = staged(entries.groupBy("entry").count().where("count > 1").select("entry"), "line-shared")
     met = staged(entries.join(shared, "entry"), "line-met")
-    some = staged(lines.select("key", F.col("key.h").alias("id"), "doc_id", "length", "counts").join(met.select("id").distinct(), "id"), "line-some")
-    dealt = met.join(some, "id").select(F.explode(_letter_groups(2 * tau + 1)).alias("group"), "entry", "id", "length", "counts")
-    dealt = dealt.select(F.xxhash64("entry", "group").alias("met"), "id", "length", "counts")
-    side = lambda x: dealt.select("met", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "length", "counts")))
+    need = met.select("id").distinct()
+    places = staged(lines.select("key", F.col("key.h").alias("id"), "doc_id").join(need, "id").select("key", "doc_id"), "line-places")
+    # Texts are dealt by doc_id here and at the end, whatever the size of the other side, so that cost stays in proportion.
+    texts = docs.select("doc_id", "text").join(places.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    texts = _occurrences(texts, params).select(_key(), "line").join(places.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    line, length, half = F.col("line"), F.length("line"), len(LETTERS) // 2
+    counts = [_letter_counts(line, LETTERS[:half]).alias("c0"), _letter_counts(line, LETTERS[half:]).alias("c1")]
+    groups = F.array(*(F.xxhash64(F.lit(j), _letter_counts(line, LETTERS[j :: 2 * tau + 1])) for j in range(2 * tau + 1)))
+    texts = staged(texts.select("key", F.col("key.h").alias("id"), "line", length.alias("length"), *counts, groups.alias("groups")), "line-texts")
+    dealt = met.join(texts, "id").select(F.explode("groups").alias("group"), "entry", "id", "length", "c0", "c1")
+    dealt = dealt.select(F.xxhash64("entry", "group").alias("met"), "id", "length", "c0", "c1")
+    side = lambda x: dealt.select("met", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "length", "c0", "c1")))
     near = (F.col("id_a") < F.col("id_b")) & (F.abs(F.col("length_a") - F.col("length_b")) <= tau)
-    near = near & (_letter_distance(F.col("counts_a"), F.col("counts_b")) <= 2 * tau)
+    near = near & (_letter_distance(F.col("c0_a"), F.col("c0_b"), half) + _letter_distance(F.col("c1_a"), F.col("c1_b"), len(LETTERS) - half) <= 2 * tau)
     left, right = side("a"), side("b")
-    pairs = left.join(right, (left["met"] == right["met"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    pairs = staged(pairs.distinct(), "line-pairs")
-    places = staged(some.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("key", "doc_id"), "line-places")
-    texts = docs.select("doc_id", "text").join(places.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = _occurrences(texts, params).select(_key(), "line").join(places.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    texts = staged(texts.select("key", F.col("key.h").alias("id"), "line"), "line-texts")
+    pairs = left.join(right, (left["met"] == right["met"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     text = lambda x, k, t: texts.select(F.col("id").alias(x), F.col("key").alias(k), F.col("line").alias(t))
-    pairs = pairs.join(text("a", "ka", "x"), "a").join(text("b", "kb", "y"), "b").where(within(F.col("x"), F.col("y"), tau))
+    pairs = staged(pairs, "line-pairs").join(text("a", "ka", "x"), "a").join(text("b", "kb", "y"), "b").where(within(F.col("x"), F.col("y"), tau))
     return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
@@ -211,19 +207,17 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams(), into: str =
     if not 1 <= params.distance <= 3 or params.least_chars < 4 * (params.distance + 1):
         raise ValueError("distance: 1 to 3, and least_chars four times as many and 4 at least")
     found = _occurrences(docs, params)
-    line, length = F.col("line"), F.length("line")
-    counts = F.when(length >= params.least_chars, _letter_counts(line)).alias("counts")
-    rows = found.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "doc_id", _place(), length.alias("length"), counts, *(e.alias(f"e{i}") for i, e in enumerate(index_entries(line, length, params))))
-    entries = rows.columns[6:]
-    lines = rows.groupBy("h", "g").agg(F.min("place").alias("first"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.max(e).alias(e) for e in rows.columns[4:]))
-    lines = staged(lines.select(F.struct("h", "g").alias("key"), "first", "doc_id", "n", "length", "counts", F.array_distinct(F.array_compact(F.array(*entries))).alias("entries")), "lines")
+    rows = found.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "doc_id", _place(), *(e.alias(f"e{i}") for i, e in enumerate(index_entries(F.col("line"), F.length("line"), params))))
+    entries = rows.columns[4:]
+    lines = rows.groupBy("h", "g").agg(F.min("place").alias("first"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.max(e).alias(e) for e in entries))
+    lines = staged(lines.select(F.struct("h", "g").alias("key"), "first", "doc_id", "n", F.array_distinct(F.array_compact(F.array(*entries))).alias("entries")), "lines")
     pairs = staged(similar_lines(lines, docs, params), "similar")
     verdict = staged(verdicts(lines, staged(replaced_lines(lines, pairs), "line-led-by"), params.repeats), "verdicts")
     dropped = found.select(_key(), "doc_id", "pos").join(verdict, "key").where(F.col("stays").isNull() | (_place() != F.col("stays")))
     own, lost = unused(docs, "dropped_id"), unused(docs, "dropped_lines")
     dropped = staged(dropped.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("pos").alias(lost)), "dropped")
 
-    rows = docs.join(dropped, F.col("doc_id") == F.col(own), "left")
+    rows = docs.join(dropped.hint("merge"), F.col("doc_id") == F.col(own), "left")
 
     def kept(marks: Column) -> Column:
         return F.transform(F.filter(marks, lambda m, j: (m["d"] == 1) & ~((F.get(marks, j - 1)["i"] == m["i"]) & (j > 0))), lambda m: m["l"])
