@@ -51,7 +51,7 @@ class LmParams:
     #: Weight of the pair's probability; the word's has the rest.
     pair_weight: float = 0.3
     least_segments: int = 256
-    block_chars: int = 4_000_000
+    block_chars: int = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -131,19 +131,27 @@ def _joined(data: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(data), kind)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], params: LmParams) -> Iterator[tuple[int, pa.RecordBatch, list[str]]]:
+    """Number, rows and texts of each block of a task: rows that follow each other in a partition."""
+    block = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for at, texts in in_blocks(batch.column("text").to_pylist(), params.block_chars):
+            yield block, batch.slice(at, len(texts)), texts
+            block += 1
+
+
+def _folded(docs: DataFrame, params: LmParams) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), params.folds) != params.held_out).alias("train"), "text")
+
+
 def numbered(docs: DataFrame, params: LmParams) -> DataFrame:
-    """block, doc_id, train, text of every row; a block has rows that follow each other in a partition."""
+    """block, doc_id, text of every row."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at, texts in in_blocks(batch.column("text").to_pylist(), params.block_chars):
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column("doc_id").slice(at, n), batch.column("train").slice(at, n), pa.array(texts, pa.string())], ["block", "doc_id", "train", "text"])
-                block += 1
+        for block, rows, texts in _blocks(batches, params):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), rows.column("doc_id"), pa.array(texts, pa.string())], ["block", "doc_id", "text"])
 
-    train = (fold(F.col("doc_id"), params.folds) != params.held_out).alias("train")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, "text").mapInArrow(dealt, "block long, doc_id long, train boolean, text string")
+    return _folded(docs, params).mapInArrow(dealt, "block long, doc_id long, text string")
 
 
 def _unique(texts: list[str], bits: int) -> tuple[np.ndarray, ...]:
@@ -152,25 +160,23 @@ def _unique(texts: list[str], bits: int) -> tuple[np.ndarray, ...]:
     return *np.unique(words, return_inverse=True), *np.unique(pairs >> _U(32 - bits), return_inverse=True), n
 
 
-def gram_answers(rows: DataFrame, params: LmParams, segments: int) -> DataFrame:
+def gram_answers(docs: DataFrame, params: LmParams, segments: int) -> DataFrame:
     """For each block and segment the block's distinct n-grams' levels, and exact counts of words; with block null, tokens and types of each segment."""
     bits = int(np.log2(segments))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks, train, texts = batch.column("block").to_numpy(), np.array(batch.column("train").to_pylist(), bool), batch.column("text").to_pylist()
-            for own in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
-                w, wi, p, pi, n = _unique([texts[i] for i in own], bits)
-                learn = np.repeat(train[own], n)
-                wc, pc = np.bincount(wi[learn], minlength=len(w)), np.bincount(pi[learn], minlength=len(p))
-                edge = np.arange(segments + 1, dtype=_U)
-                a, b = np.searchsorted(w >> _U(64 - bits), edge), np.searchsorted(p >> _U(32), edge)
-                p = p.astype("<u4")
-                some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int64()), pa.array(np.full(len(some), blocks[own[0]])),
-                    *(pa.array([f(x[e[s] : e[s + 1]]) for s in some], pa.binary()) for x, e, f in ((w, a, np.ndarray.tobytes), (wc, a, _small), (p, b, np.ndarray.tobytes), (pc, b, _small))),
-                ], ["segment", "block", "words", "word_counts", "pairs", "pair_counts"])
+        for block, rows, texts in _blocks(batches, params):
+            w, wi, p, pi, n = _unique(texts, bits)
+            learn = np.repeat(np.array(rows.column("train").to_pylist(), bool), n)
+            wc, pc = np.bincount(wi[learn], minlength=len(w)), np.bincount(pi[learn], minlength=len(p))
+            edge = np.arange(segments + 1, dtype=_U)
+            a, b = np.searchsorted(w >> _U(64 - bits), edge), np.searchsorted(p >> _U(32), edge)
+            p = p.astype("<u4")
+            some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(some, pa.int64()), pa.array(np.full(len(some), block)),
+                *(pa.array([f(x[e[s] : e[s + 1]]) for s in some], pa.binary()) for x, e, f in ((w, a, np.ndarray.tobytes), (wc, a, _small), (p, b, np.ndarray.tobytes), (pc, b, _small))),
+            ], ["segment", "block", "words", "word_counts", "pairs", "pair_counts"])
 
     def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         w, p = _joined(rows["words"], "<u8"), _joined(rows["pairs"], "<u4")
@@ -187,7 +193,7 @@ def gram_answers(rows: DataFrame, params: LmParams, segments: int) -> DataFrame:
         total = pd.DataFrame({"block": pd.array([None], "Int64"), "segment": key[0], "word_counts": [b""], "word_levels": [b""], "pair_levels": [b""], "tokens": int(wc.sum()), "types": int((wc > 0).sum())})
         return pd.concat([out, total])
 
-    asks = rows.select("block", "train", "text").mapInArrow(asked, "segment long, block long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    asks = _folded(docs, params).mapInArrow(asked, "segment long, block long, words binary, word_counts binary, pairs binary, pair_counts binary")
     return asks.groupBy("segment").applyInPandas(answered, "block long, segment long, word_counts binary, word_levels binary, pair_levels binary, tokens long, types long")
 
 
@@ -213,9 +219,8 @@ def block_scores(rows: DataFrame, answers: DataFrame, params: LmParams, segments
 def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     segments = max(params.least_segments, 1 << int(np.ceil(np.log2(8 * shuffle_partitions(docs.sparkSession)))))
-    rows = numbered(docs, params)
-    answers = staged(gram_answers(rows, params, segments), "answers")
+    answers = staged(gram_answers(docs, params, segments), "answers")
     total, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     answers = answers.where("block is not null").select("block", "segment", "word_counts", "word_levels", "pair_levels")
-    out = block_scores(rows, answers, params, segments, total, types)
+    out = block_scores(numbered(docs, params), answers, params, segments, total, types)
     return out.select("doc_id", (fold(F.col("doc_id"), params.folds) == params.held_out).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
