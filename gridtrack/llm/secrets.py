@@ -1,7 +1,8 @@
 """Secret scans by multipart credential linking; DataFrame functions only.
 
 Three kinds of match are reported always: assignments, access identifiers and long
-hex runs. Weaker candidates (other identifiers, opaque secrets, endpoints) are
+hex runs. Weaker candidates (other identifiers and mail
+addresses, opaque secrets, endpoints) are
 reported only when complementary parts stand within `scope` code points in the same
 text: an identifier needs a secret, a secret an identifier, an endpoint both. The
 interval join deals parts out to buckets of `scope` code points and keeps of each
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import let, staged, unused
 
 
 def _either_case(word: str) -> str:
@@ -28,45 +29,55 @@ NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "ap
 ASSIGN = rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-ID_NAMES = "|".join(map(_either_case, ("client_id", "access_id", "account", "login", "username")))
+ID_NAMES = "|".join(map(_either_case, ("client_?id", "access_?key_?id", "access_?id", "account", "login", "username", "user_?id", "user", "e-?mail")))
+HOST_NAMES = "|".join(map(_either_case, ("hostname", "host", "server", "endpoint", "url")))
 #: kind, pattern that ends up in spans, least length of group 2 or of the match, part that it plays.
 BASE = (("assign", ASSIGN, 6, "secret"), ("access", ACCESS, 20, "id"), ("hex", r"[0-9a-f]{24,}", 24, "secret"))
 WEAK = (
     ("id", rf"""({ID_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 3, "id"),
     ("secret", r"[A-Za-z0-9+/]{32,}={0,2}", 32, "secret"),
     ("endpoint", r"[a-z]{2,8}://[A-Za-z0-9._:-]+", 8, "endpoint"),
+    # The look behind keeps a long run of such characters from being tried at each of them.
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]", 6, "id"),
+    ("host", rf"""({HOST_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.:/-]+)""", 3, "endpoint"),
 )
+#: Kinds whose pattern has a name and a value.
+NAMED = ("assign", "id", "host")
+#: Matches that a fold lists at once: longer lists are put together from such runs.
+RUN = 256
 ORDER = [k for k, *_ in (*BASE, *WEAK)]
 NEEDS = {"id": ["secret"], "secret": ["id"], "endpoint": ["id", "secret"]}
 SPAN = "struct<start: int, kind: int, end: int>"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _spans(text: Column, kind: str, pattern: str, least: int) -> Column:
     """All leftmost matches with their places: what split() leaves between matches gives the distances."""
-    grouped = "(" in pattern
     number = ORDER.index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if grouped else found
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind in NAMED else found
     steps = F.transform(
         F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(value, F.length).alias("value")),
         lambda x: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), (x["value"] >= least).alias("ok")),
     )
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    walked = F.aggregate(
-        F.filter(steps, lambda x: x["size"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(x["ok"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(number).alias("kind"), (acc["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+    def walked(run: Column) -> Column:
+        """Characters that a run takes, and its spans from its beginning."""
+        return F.aggregate(
+            run,
+            F.struct(F.lit(0).alias("at"), none.alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["size"]).alias("at"),
+                F.when(x["ok"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(number).alias("kind"), (acc["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
+            ),
+        )
+
+    def all_runs(steps: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda i: walked(F.slice(steps, i * RUN + 1, RUN)))
+        moved = lambda acc, r: F.transform(r["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("spans")), lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["spans"], moved(acc, r)).alias("spans")), lambda acc: acc["spans"])
+
+    return F.when(text.rlike(pattern), let(F.filter(steps, lambda x: x["size"].isNotNull()), all_runs)).otherwise(none)
 
 
 def _written(spans: Column) -> Column:
@@ -123,14 +134,15 @@ def find_secrets(docs: DataFrame, scope: int = 256) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = 256) -> DataFrame:
     """docs with every reported span replaced by its kind in brackets; what spans share is replaced once."""
+    k1, k2, spans, own = unused(docs, "secret_k1"), unused(docs, "secret_k2"), unused(docs, "secret_spans"), [unused(docs, "secret_own0"), unused(docs, "secret_own1")]
     rows = _matches(docs)
     found = rows.join(_linked(rows, scope), ["k1", "k2"], "left")
     found = found.withColumn("spans", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked")))).where(F.size("spans") > 0)
-    found = staged(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")).dropDuplicates(["__k1", "__k2"]), "spans")
+    found = staged(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans)).dropDuplicates([k1, k2]), "spans")
     kinds = F.array(*map(F.lit, ORDER))
     text = F.col("text")
     walked = F.aggregate(
-        "__spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -138,6 +150,6 @@ def redact(docs: DataFrame, scope: int = 256) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    keyed = docs.select("*", *(k.alias(f"__own{i}") for i, k in enumerate((F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.hash(F.coalesce("text", F.lit("")), "doc_id")))))
-    keyed = keyed.join(found, (F.col("__own0") == F.col("__k1")) & (F.col("__own1") == F.col("__k2")), "left")
-    return keyed.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(walked)).select(*docs.columns)
+    keyed = docs.select("*", *(k.alias(own[i]) for i, k in enumerate((F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.hash(F.coalesce("text", F.lit("")), "doc_id")))))
+    keyed = keyed.join(found, (F.col(own[0]) == F.col(k1)) & (F.col(own[1]) == F.col(k2)), "left")
+    return keyed.withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(walked)).select(*docs.columns)

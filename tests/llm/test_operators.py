@@ -211,6 +211,25 @@ def test_weak_candidates_need_their_other_part(spark):
     assert "id:0:18" in got[0] and got[1] == "" and "id:" not in got[2] and "endpoint:4:24" in got[3] and "endpoint" not in got[4]
 
 
+def test_linked_spans_are_those_of_all_pairs(spark):
+    """Against a comparison of every weak candidate with every part of its text; some texts have more matches than a fold lists at once."""
+    r = random.Random(12)
+    bits = ["client_id = user77", "password: hunter22", "secret=abcdefgh", "https://host.example", "a.b@mail.example.org", "host: db01.local", "AKIA" + "C" * 16, "Q" * 34, "0123456789abcdef" * 2, "filler text é", "user=ab", "x@y"]
+    texts = [(i, " ".join(r.choice(bits) + " " + "w" * r.randint(0, 30) for _ in range(r.randint(0, 14)))) for i in range(80)]
+    texts += [(80, " ".join(r.choice(bits[:6]) for _ in range(900))), (81, "a@b " * 5 + "w" * 200_000)]
+    scope, found = 40, {}
+    kinds = [(k, re.compile(p, re.A), 2 if k in secrets.NAMED else 0, n, part) for k, p, n, part in (*secrets.BASE, *secrets.WEAK)]
+    for i, t in texts:
+        spans = {k: [(m.start(), n, m.end(), part) for m in p.finditer(t) if len(m[g]) >= least] for n, (k, p, g, least, part) in enumerate(kinds)}
+        base = [s for k, *_ in secrets.BASE for s in spans[k]]
+        weak = [s for k, *_ in secrets.WEAK for s in spans[k] if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        near = lambda s, part: any(o[3] == part and abs(o[0] - s[0]) <= scope for o in base + weak)
+        linked = [s for s in weak if all(near(s, part) for part in secrets.NEEDS[s[3]])]
+        found[i] = (len(linked), ",".join(f"{secrets.ORDER[k]}:{a}:{b}" for a, k, b, _ in sorted(base + linked)))
+    got = {x.doc_id: (x.n_linked, x.spans) for x in secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), scope).collect()}
+    assert got == found and sum(n for n, _ in found.values()) > 100
+
+
 def test_quality_statistics(docs, none):
     for r in docs.select("doc_id", "text").join(quality_rules.apply(docs, []), "doc_id").collect():
         w, seen, dup, inside = words(r.text), set(), 0, set()
