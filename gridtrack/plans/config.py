@@ -46,6 +46,9 @@ class Jet:
     life_h: float = 24.0
     watershed: bool = False
     peak_km: float = 5000.0
+    #: Of the smoothing before the flood.
+    window_km: float = Slp.window_km
+    window_h: float = Slp.window_h
 
 
 @dataclass(frozen=True)

@@ -76,8 +76,8 @@ def jets(winds: DataFrame, grid: DataFrame, d: Domain, p: Jet = Jet()) -> DataFr
     n = steps(p.life_h, d.dt)
     found = objects.lifetime_filter(_objects(anom.where(F.col("anom") >= p.speed), d), n)
     if p.watershed:
-        window = int(d.cells(Slp.window_km)) * 2
-        found = watershed.watershed_tracks(anom, staged(found, "objects"), grid, d.ny, d.nx, int(d.cells(p.peak_km)), 1.0, Slp.window_h / d.dt, window, n)
+        window = int(d.cells(p.window_km)) * 2
+        found = watershed.watershed_tracks(anom, staged(found, "objects"), grid, d.ny, d.nx, int(d.cells(p.peak_km)), 1.0, p.window_h / d.dt, window, n)
     else:
         found = forest.break_up(found, d.ny, d.nx, n)
     return label.seam_merge(found, d.nx, per_step=True) if d.periodic else found

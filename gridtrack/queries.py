@@ -258,7 +258,12 @@ def local_maxima(spark, sf_dir):
     return stencil.local_maxima(dense(spark, sf_dir), THRESHOLD).select("t", "iy", "ix", "v")
 
 
-@query()
+@query(f"""with recursive {FIELD}, c as (select t, iy, ix from f where v > 0.15), {components('c', 'l')},
+    n as (select a.t, a.iy, a.ix, a.v, max(b.v) as m from f a join f b on b.t = a.t and abs(a.iy - b.iy) <= 1 and abs(a.ix - b.ix) <= 1 group by all),
+    k as (select t, iy, ix, v, obj, row_number() over (partition by t, obj order by v desc, iy, ix) as r from n join l using (t, iy, ix) where v = m and v > 0.15 and iy between 1 and 6 and ix between 1 and 6),
+    e as (select a.t, a.obj, a.r, coalesce(list(b.r) filter (where b.r is not null), []) as before from k a left join k b on a.t = b.t and a.obj = b.obj and b.r < a.r and abs(a.iy - b.iy) <= 1 and abs(a.ix - b.ix) <= 1 group by all),
+    s as (select t, obj, list_reduce(list([r] || before order by r), lambda acc, x: case when list_has_any(acc, x[2:]) then acc else list_append(acc, x[1]) end) as kept from e group by all)
+    select 0 as segment, k.t, k.iy, k.ix, k.obj as obj_id, k.v from k join s using (t, obj) where list_contains(s.kept, k.r)""")
 def peaks(spark, sf_dir):
     return stencil.peaks(dense(spark, sf_dir), found(spark, sf_dir, 0.15), 1, 0.15, NY, NX)
 
@@ -566,7 +571,7 @@ def jets(spark, sf_dir):
 
 @query()
 def jets_watershed(spark, sf_dir):
-    return trackers.jets(_wind(spark, sf_dir), full_grid(spark), DOMAIN, Jet(small_km=100.0, watershed=True, peak_km=50.0)).select("obj_id", "t", "iy", "ix")
+    return trackers.jets(_wind(spark, sf_dir), full_grid(spark), DOMAIN, Jet(small_km=100.0, watershed=True, peak_km=50.0, window_km=50.0, window_h=1.0)).select("obj_id", "t", "iy", "ix")
 
 
 @query(f"""with recursive {FIELD}, c as (select t, iy, ix from f where sqrt(pow(0.6 * v, 2) + pow(0.06 * v, 2)) > 0.13), {components('c', 'l')}, {AREA},
