@@ -49,9 +49,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows, chosen by a hash of the key: the same ones whatever the partitioning. A threshold on the hash comes first, so that tasks send about `rows` rows in all."""
+    """At most `rows` rows, chosen by a hash of the key: the same ones whatever the partitioning. A threshold on the hash comes first, so that tasks send about `rows` rows in all; where few keys hold all rows and none is below it, it does not."""
     h, n = F.pmod(F.xxhash64(key), F.lit(1 << 31)), df.count()
     some = df.where(h < int(min(1.0, 1.1 * rows / n) * (1 << 31))) if n > rows else df
+    if n > rows and some.isEmpty():
+        some = df
     return some.orderBy(h, key).limit(rows)
 
 

@@ -35,6 +35,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", partitions: int | None
     if hot:
         rows = norm.where(F.xxhash64("norm").isin(hot))
         groups = rows.groupBy("norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        rows = rows.join(F.broadcast(groups), "norm").select("doc_id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
+        # Fewer than `parts` rows without their texts: what is broadcast has a bound.
+        groups = groups.select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        rows = rows.select("doc_id", F.sha2("norm", 256).alias("text_sha256")).join(F.broadcast(groups), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
         out = out.unionByName(rows)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

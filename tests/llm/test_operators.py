@@ -497,3 +497,49 @@ def test_pipeline(spark, docs, none, tmp_path):
     assert {0, 1, 2, 10}.isdisjoint(ids)  # no letter
     assert 4 in ids and {5, 6}.isdisjoint(ids) and {8, 11, 12, 15} <= ids
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pipeline_stages_are_their_plain_forms(spark):
+    """Each stage on what the stage before kept, against Python over the same rows."""
+    r = random.Random(21)
+    banner, near = "All rights of this page are kept by its owner", text(80, r).split()
+    items = [(i, f"{text(r.randint(20, 60), r)}\n{banner}{'.' * (i % 2)}\n{text(9, r)}") for i in range(12)]
+    items += [(20 + i, " ".join([*near[: 10 + i], "new", *near[11 + i :]])) for i in range(4)] + [(30, banner), (31, "12 34"), (32, None), (33, "theé token = 'abcdef123456' a.b@mail.example.org")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in items], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: {x.doc_id: x.text for x in df.collect()}
+
+    one = stages["language_id"](spark, docs, "")
+    assert one.columns == docs.columns
+    model = langid.train(docs)
+    plain = langid.predict_texts(model, [t for _, t in items])
+    assert rows(one) == {i: t for (i, t), p in zip(items, plain.itertuples()) if p.lang_pred != "und" and not p.ambiguous} == {i: t for i, t in items if i not in (31, 32)}
+
+    two = stages["line_dedup"](spark, one, "")
+    deduped = brute_lines(sorted(rows(one).items()), line_dedup.LineParams(repeats=6, least_exact=20))
+    want = {i: t for i, t in deduped.items() if t.strip()}
+    assert rows(two) == want and 30 not in want and sum(banner in t for t in want.values()) == 1
+    assert all(x.n_chars == len(x.text) for x in two.collect())
+
+    three = stages["near_dedup"](spark, two, "")
+    kept = {i for i, (_, c) in brute_components(sorted(want.items())).items() if i == c}
+    assert rows(three) == {i: t for i, t in want.items() if i in kept} and len(kept & {20, 21, 22, 23}) < 4
+
+    four = stages["secret_scan"](spark, three, "")
+    spans = {x.doc_id: [s.split(":") for s in x.spans.split(",") if s] for x in secrets.find_secrets(three).collect()}
+    for i, t in rows(four).items():
+        out, at = "", 0
+        for kind, a, b in spans[i]:
+            if int(a) >= at:
+                out += rows(three)[i][at : int(a)] + f"[{kind}]"
+            at = max(at, int(b))
+        assert t == out + rows(three)[i][at:]
+    assert rows(four)[33] == "theé [assign]' [email]"
+
+    five = stages["best_fit_packing"](spark, four, "").collect()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4") for i, t in rows(four).items()}
+    assert {(x.doc_id, x.length, x.ids_crc32) for x in five} == {(i, len(v), zlib.crc32(v.tobytes())) for i, v in ids.items()}
+    assert len({x.sequence_id for x in five}) == 1
