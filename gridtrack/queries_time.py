@@ -11,7 +11,7 @@ from .operators import grid, label, timeaxis
 from .operators.stencil import CELL
 from .plans import checks, trackers
 from .plans.config import CutOff, Mcs, Tropical
-from .queries import DOMAIN, LAND, NX, NY, WITH, clouds, dense, found, full_grid, rounded, table, used_grid
+from .queries import DOMAIN, LAND, NX, NY, WITH, _tracker, _z, clouds, dense, found, full_grid, rounded, table, used_grid
 from .registry import FIELD, GRID, HOURLY, components, query
 from .sources import fields, streams
 from .storage import shared_dir, staged
@@ -82,6 +82,26 @@ def tracking_sink(spark, sf_dir):
     return spark.read.parquet(_written(spark, out)).select("segment", "t", "iy", "ix", "obj_id", "v")
 
 
+@query(_tracker("(53000 + 12000 * v) / 9.81", "< -80", 3, 2))
+def year_job(spark, sf_dir):
+    """A canonical stream written and loaded, cyclones tracked, written with the field, and read back as objects."""
+    stream = _written(spark, _z(spark, sf_dir).withColumn("v", F.col("v").cast("double")))
+    field = spark.read.parquet(stream).select(*CELL, "v")
+    objects = staged(trackers.cyclones_z500(field, DOMAIN), "tracked")
+    steps = field.agg(F.max("t")).first()[0]
+    sink = spark.read.parquet(_written(spark, streams.dense(objects, field)))
+    return streams.check_shape(sink.where("obj_id > 0").select(F.col("obj_id").cast("long").alias("obj_id"), "t", "iy", "ix"), (steps or 0) + 1, NY, NX)
+
+
+@query("""with y as (select distinct year(o_orderdate)::int as year, 'orders' as stream from orders union all select distinct year(l_shipdate)::int, 'lines' from lineitem union all select distinct year(ts)::int, 'events' from events)
+    select year, string_agg(stream, ',' order by stream) as streams from y group by year""")
+def years_of_streams(spark, sf_dir):
+    stamps = {"orders": ("orders", "o_orderdate"), "lines": ("lineitem", "l_shipdate"), "events": ("events", "ts")}
+    # Each day stands for a file.
+    index = {n: table(spark, sf_dir, t).groupBy(F.to_date(c)).agg(F.min(c).alias("t0"), F.max(c).alias("t1")) for n, (t, c) in stamps.items()}
+    return streams.years_of_streams(**index).select("year", F.array_join("streams", ",").alias("streams"))
+
+
 @query(f"with {FIELD} select distinct (t // 100)::int as segment from f where t >= 200")
 def missing_segments(spark, sf_dir):
     f = dense(spark, sf_dir).withColumn("segment", F.floor(F.col("t") / 100).cast("int"))

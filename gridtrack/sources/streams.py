@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,15 @@ def select_years(years: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def slice_year(table: DataFrame, year: int, ts: str = "ts") -> DataFrame:
-    return table.where(F.year(ts) == year)
+    """The year's rows; a range of the column's own type, which reaches the scan."""
+    first, after = (F.lit(f"{y}-01-01").cast(table.schema[ts].dataType) for y in (year, year + 1))
+    return table.where((F.col(ts) >= first) & (F.col(ts) < after))
+
+
+def years_of_streams(**indexes: DataFrame) -> DataFrame:
+    """year, streams: all years of any stream, and which streams have it, by name."""
+    named = [available_years(index).withColumn("stream", F.lit(name)) for name, index in indexes.items()]
+    return reduce(DataFrame.union, named).groupBy("year").agg(F.sort_array(F.collect_set("stream")).alias("streams"))
 
 
 def squeeze(table: DataFrame, extra: str) -> DataFrame:
