@@ -87,23 +87,26 @@ def document_rows(docs: DataFrame, params: SubstringParams) -> DataFrame:
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    """h and the smallest doc of the hashes that two documents or more have."""
-    return found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least")
+    """h and the smallest doc of the hashes that two documents or more have. Staged: a join of two exchanges can split what one hash has."""
+    return staged(found.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least"), "substring-repeated")
 
 
-def _candidates(docs: DataFrame, firsts: DataFrame, params: SubstringParams) -> DataFrame:
-    """doc, part, text of documents with a short window that occurs in two documents, and these windows."""
+def _candidates(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc, part, sha, text of documents with a short window that occurs in two documents, and these windows."""
     short = firsts.select("doc", "part", F.explode("short").alias("h"))
-    met = short.join(_repeated(short), "h").groupBy("doc", "part").agg(F.collect_list("h").alias("short"))
+    repeated = _repeated(short)
+    met = short.join(repeated, "h").groupBy("doc", "part").agg(F.collect_list("h").alias("short"))
     met = met.join(firsts.select("doc", "part", "sha"), ["doc", "part"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows of one id can have other texts
             keep = [hashlib.sha256(b" ".join(_words(t))).hexdigest() == s for t, s in zip(batch.column("text").to_pylist(), batch.column("sha").to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc", "part", "text", "short"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc", "part", "sha", "text", "short"])
 
-    return texts.join(met.hint("merge"), "doc").mapInArrow(same, "doc long, part int, text string, short array<long>")
+    out = staged(texts.join(met.hint("merge"), "doc").mapInArrow(same, "doc long, part int, sha string, text string, short array<long>"), "substring-texts")
+    released(repeated)
+    return out
 
 
 def _first_level(candidates: DataFrame, params: SubstringParams) -> DataFrame:
@@ -147,9 +150,11 @@ def _sorted(found: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
 
 def _survivors(found: DataFrame) -> DataFrame:
     """Of each document the windows that occur in two documents, and which of them start in an earlier one."""
-    met = found.join(_repeated(found), "h")
+    repeated = _repeated(found)
     window = F.struct("pos", "h", (F.col("least") < F.col("doc")).alias("earlier"))
-    return met.groupBy("doc", "part").agg(F.collect_list(window).alias("found"))
+    out = staged(found.join(repeated, "h").groupBy("doc", "part").agg(F.collect_list(window).alias("found")), "substring-level")
+    released(repeated)
+    return out
 
 
 def _cut(rows: DataFrame, params: SubstringParams) -> DataFrame:
@@ -179,25 +184,28 @@ def repeats(docs: DataFrame, params: SubstringParams = SubstringParams()) -> Dat
     """doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by a space), longest (words of the longest level at which a window of the document occurs in another one, 0 if none) and spans (start and end in words of what goes) of every row."""
     if params.words < 2:
         raise ValueError("words: 2 at least")
-    base = staged(document_rows(docs, params), "substring-docs")
-    taking_part = base.where((F.col("n_words") >= params.words) & F.col("doc").isNotNull())
-    groups = taking_part.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    firsts = taking_part.join(groups.withColumnRenamed("first", "doc").select("sha", "doc"), ["sha", "doc"], "left_semi").dropDuplicates(["doc", "sha"])
+    rows = staged(document_rows(docs, params), "substring-rows")
+    base = staged(rows.select("doc", "n_words", "sha"), "substring-docs")
+    groups = base.where((F.col("n_words") >= params.words) & F.col("doc").isNotNull()).groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    groups = staged(groups, "substring-groups")
+    firsts = rows.join(groups.select("sha", F.col("first").alias("doc")), ["sha", "doc"], "left_semi").dropDuplicates(["doc", "sha"])
     firsts = firsts.withColumn("part", F.row_number().over(Window.partitionBy("doc").orderBy("sha")))
     firsts = staged(firsts.select("doc", "part", "sha", "short"), "substring-firsts")
-    texts = staged(_candidates(docs, firsts, params), "substring-texts")
-    first = level = staged(_survivors(_first_level(texts, params)), "substring-level")
+    released(rows)
+    texts = _candidates(docs, firsts)
+    released(firsts)
+    first = level = _survivors(_first_level(texts, params))
     reached, length = [], params.words
     while not level.isEmpty():
         reached.append(staged(level.select("doc", "part", F.lit(length).cast("long").alias("longest")), "substring-reached"))
-        before, level, length = level, staged(_survivors(_doubled(level, length)), "substring-level"), 2 * length
+        before, level, length = level, _survivors(_doubled(level, length)), 2 * length
         if before is not first:
             released(before)
     gone = first.select("doc", "part", F.transform(F.filter("found", lambda w: w["earlier"]), lambda w: w["pos"]).alias("gone")).where(F.size("gone") > 0)
     cut = _cut(texts.select("doc", "part", "text").join(gone, ["doc", "part"]).dropDuplicates(["doc", "part"]), params)
     longest = reduce(DataFrame.union, reached) if reached else first.select("doc", "part", F.lit(0).cast("long").alias("longest"))
     own = longest.groupBy("doc", "part").agg(F.max("longest").alias("longest")).join(cut, ["doc", "part"], "left")
-    own = own.join(firsts.select("doc", "part", "sha"), ["doc", "part"]).drop("part")
+    own = own.join(texts.select("doc", "part", "sha").distinct(), ["doc", "part"]).drop("part")
     copies = groups.where("first < last").select("sha", "first")
     return _joined(base, own, copies, params)
 
