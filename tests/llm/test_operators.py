@@ -543,3 +543,47 @@ def test_pipeline_stages_are_their_plain_forms(spark):
     ids = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4") for i, t in rows(four).items()}
     assert {(x.doc_id, x.length, x.ids_crc32) for x in five} == {(i, len(v), zlib.crc32(v.tobytes())) for i, v in ids.items()}
     assert len({x.sequence_id for x in five}) == 1
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_templated_lines(spark, block):
+    """Lines of one template, with numbers and small edits: the same as comparing all pairs, and no more rows than a multiple of the lines."""
+    r = random.Random(block)
+    forms = ["Order number {} was shipped to you", "{} in stock, price on demand today", "Total of this page {}", "x" * 30 + "{}" + "y" * 40]
+    lines = [r.choice(forms).format(r.randint(1000, 1400)) for _ in range(220)]
+    lines += [x[:k] + r.choice(["", "q", "7q"]) + x[k + r.randint(0, 1) :] for x in r.sample(lines, 40) for k in [r.randrange(len(x))]]
+    r.shuffle(lines)
+    texts = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(len(lines) // 5)]
+    p = line_dedup.LineParams(block=block, rounds=2)
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"), p).collect()
+    assert {x.doc_id: x.text for x in out} == brute_lines(texts, p)
+
+
+def test_numbered_lines_meet_few(spark, monkeypatch):
+    r, rows = random.Random(1), {}
+    real = line_dedup.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("line-pairs", "line-cells"):
+            rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", counted)
+    seen = {}
+    for n in (500, 1000, 2000):
+        rows.clear()
+        docs = spark.createDataFrame([(i, f"Order number {r.randint(10**7, 10**8 - 1)} was shipped to the address that you gave.") for i in range(n)], "doc_id long, text string")
+        assert line_dedup.dedup_lines(docs).count() == n
+        seen[n] = dict(rows)
+    assert all(rows["line-pairs"] < 8 * n and rows["line-cells"] < 150 * n for n, rows in seen.items())
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_chains_are_settled_at_once(spark, rounds):
+    """Each line two characters from the next, in order of places: every other pair is apart."""
+    lines = ["a" * k + "b" * (70 - k) for k in range(0, 61)]
+    texts = [(i, x) for i, x in enumerate(lines)]
+    p = line_dedup.LineParams(rounds=rounds)
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"), p).collect()
+    assert {x.doc_id: x.text for x in out} == brute_lines(texts, p)
