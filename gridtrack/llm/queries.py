@@ -48,7 +48,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(read(spark, sf_dir, "documents"))
+    return lm_score.fit_score(read(spark, sf_dir, "documents"))[0]
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
