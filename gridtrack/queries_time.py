@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 
-from .operators import grid, label, timeaxis
+from .operators import grid, label, objects, timeaxis
 from .operators.stencil import CELL
 from .plans import checks, trackers
 from .plans.config import CutOff, Mcs, Tropical
-from .queries import DOMAIN, LAND, NX, NY, WITH, _tracker, _z, clouds, dense, found, full_grid, rounded, table, used_grid
+from .queries import DOMAIN, LAND, NX, NY, OBJECTS, WITH, _tracker, _z, clouds, dense, found, full_grid, rounded, table, used_grid
 from .registry import FIELD, GRID, HOURLY, components, query
-from .sources import fields, streams
-from .storage import shared_dir, staged
+from .sources import fields, sinks, streams
+from .sources import index as sources_index
+from .storage import file_system, shared_dir, staged
+from .streaming.linking import link_stream
 from .streaming.windows import accumulate_stream
 
 
@@ -93,6 +95,68 @@ def year_job(spark, sf_dir):
     return streams.check_shape(sink.where("obj_id > 0").select(F.col("obj_id").cast("long").alias("obj_id"), "t", "iy", "ix"), (steps or 0) + 1, NY, NX)
 
 
+def _by_year(rows, path, name):
+    """A file for each year of ts in path/part=<name><year>."""
+    rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("key").cast("long").alias("key")).withColumn("part", F.concat(F.lit(name), F.year("ts")))
+    rows.repartition("part").sortWithinPartitions("part", "ts").write.mode("append").partitionBy("part").parquet(path)
+
+
+def _archive(spark, sf_dir):
+    """Orders in a file for each year, indexed; and lines by their dates."""
+    at = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("key"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("key"))
+    _by_year(orders, f"{at}/files", "y")
+    index, _ = sources_index.refresh(spark, f"{at}/index", sources_index.listing(spark, f"{at}/files"))
+    return at, index, lines
+
+
+@query("""with r as (select 'y' || year(o_orderdate) as part, o_orderdate::timestamp as ts, false as read from orders where year(o_orderdate) not in (1993, 1995)
+        union all select 'y1993', l_shipdate::timestamp, true from lineitem where year(l_shipdate) = 1993 union all select 'n' || year(l_shipdate), l_shipdate::timestamp, true from lineitem where year(l_shipdate) = 1994),
+    d as (select distinct part, read, ts from r), s as (select *, round((epoch_us(ts) - epoch_us(lag(ts) over (partition by part order by ts))) / 3.6e9, 6) as d from d)
+    select part, min(ts) as t0, max(ts) as t1, count(*) as n, mode(d)::double as step_h, read from s group by part, read""")
+def index_refresh(spark, sf_dir):
+    """A kept index after a file changed, one came and one went: only the two are read."""
+    at, _, lines = _archive(spark, sf_dir)
+    files, _ = file_system(spark, at)
+    for gone in ("y1993", "y1995"):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/files/part={gone}"), True)
+    _by_year(lines.where("year(ts) = 1993"), f"{at}/files", "y")
+    _by_year(lines.where("year(ts) = 1994"), f"{at}/files", "n")
+    index, read = sources_index.refresh(spark, f"{at}/index", sources_index.listing(spark, f"{at}/files"))
+    new = spark.createDataFrame([(x,) for x in read], "path string").withColumn("read", F.lit(True))
+    out = index.join(new, "path", "left").withColumn("part", F.regexp_extract("path", "part=([a-z0-9]+)", 1))
+    return out.select("part", F.col("t0").cast("timestamp_ntz").alias("t0"), F.col("t1").cast("timestamp_ntz").alias("t1"), "n", "step_h", F.coalesce("read", F.lit(False)).alias("read"))
+
+
+@query("select o_orderkey as key, o_orderdate::timestamp as ts from orders where o_orderdate >= timestamp '1995-01-01' - interval 48 hours and o_orderdate < timestamp '1996-01-01' + interval 48 hours")
+def year_files_scan(spark, sf_dir):
+    """A year with its halo from the files that the index gives for it."""
+    _, index, _ = _archive(spark, sf_dir)
+    return sources_index.open_year(spark, index, 1995, 48).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"""with {FIELD}, z as (select (t // 100)::int as segment, t, iy, ix, (53000 + 12000 * v)::float::double as z, v::float::double as w from f)
+    select 'z500' as stream, segment, t, iy, ix, z as v from z union all select 'wind', segment, t, iy, ix, w from z""")
+def canonical_sink(spark, sf_dir):
+    """Two streams prepared twice, the second time with other values, of which nothing is written: each segment stays as it was."""
+    f = dense(spark, sf_dir).withColumn("segment", F.floor(F.col("t") / 100).cast("int"))
+    at = f"{shared_dir(spark)}/canonical-{uuid.uuid4().hex}"
+    z = f.select(*CELL, (53000 + 12000 * F.col("v").cast("double")).alias("v"))
+    sinks.prepare({"z500": z, "wind": f.select(*CELL, "v")}, at)
+    sinks.prepare({"z500": z.withColumn("v", F.lit(0.0)), "wind": f.select(*CELL, "v")}, at)
+    return spark.read.parquet(at).select("stream", "segment", "t", "iy", "ix", F.col("v").cast("double").alias("v"))
+
+
+@query(f"{OBJECTS}, s as (select (t // 100)::int as segment, obj as obj_id, t, round(sum(area), 0) as area from l join ga using (iy, ix) group by all) select 'cells' as tracker, segment, obj_id, t, area from s")
+def statistics_sink(spark, sf_dir):
+    at = f"{shared_dir(spark)}/statistics-{uuid.uuid4().hex}"
+    stats = objects.areas(found(spark, sf_dir), full_grid(spark)).withColumn("segment", F.floor(F.col("t") / 100).cast("int"))
+    for _ in range(2):  # the second replaces the first
+        sinks.write_statistics(stats, at, "cells")
+    return rounded(spark.read.parquet(at), "area", places=0).select("tracker", "segment", "obj_id", "t", "area")
+
+
 @query("""with y as (select distinct year(o_orderdate)::int as year, 'orders' as stream from orders union all select distinct year(l_shipdate)::int, 'lines' from lineitem union all select distinct year(ts)::int, 'events' from events)
     select year, string_agg(stream, ',' order by stream) as streams from y group by year""")
 def years_of_streams(spark, sf_dir):
@@ -296,6 +360,27 @@ def accumulate_streaming(spark, sf_dir):
     return rounded(back.withColumn("start", F.col("start").cast("timestamp_ntz")), "total", places=4)
 
 
+@query(f"""with recursive {FIELD}, c as (select * from f where v > 0.1), {components('c', 'l', '2d8')}, o as (select b.t, a.obj as before_id, b.obj as obj_id, count(*) as n from l a join l b on b.t = a.t + 1 and a.iy = b.iy and a.ix = b.ix group by all),
+    sz as (select t, obj, count(*) as size from l group by all), ch as (select * from o qualify row_number() over (partition by t, before_id order by n desc, obj_id) = 1),
+    w as (select ch.* from ch join sz on sz.t = ch.t - 1 and sz.obj = ch.before_id qualify row_number() over (partition by ch.t, ch.obj_id order by size desc, before_id) = 1),
+    nodes as (select distinct l.t, l.obj as node, w.before_id as parent from l left join w on w.t = l.t and w.obj_id = l.obj),
+    r(t, node, root) as (select t, node, node from nodes where parent is null union all select n.t, n.node, r.root from nodes n join r on r.t = n.t - 1 and r.node = n.parent)
+    select r.root as obj_id, l.t::bigint as t, l.iy, l.ix from l join r on r.t = l.t and r.node = l.obj""")
+def link_streaming(spark, sf_dir):
+    """Basins of all steps through a stream in several batches, each linked to the step before, which is state; the last step is closed by a row without a cell."""
+    basins = staged(label.label(dense(spark, sf_dir).where("v > 0.1"), NY, NX, through_time=False), "basins")
+    at = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    last = (basins.agg(F.max("t")).first()[0] or 0) + 1
+    for k in range(4):
+        basins.where(F.col("t").between(k * last // 4, (k + 1) * last // 4 - 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    schema = "segment int, obj_id long, t int, iy int, ix int"
+    spark.createDataFrame([(0, None, last, None, None)], schema).write.mode("append").parquet(f"{at}/in")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    out = link_stream(rows)
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("segment")
+
+
 # ---- M: trackers over several streams
 
 

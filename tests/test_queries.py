@@ -11,7 +11,7 @@ import __spark_entry__ as e
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = """haversine_distance grid_metrics normalise_grid point_on_land unit_convert front_diagnostic box_mean local_maxima label3d seam_merge relabel basin_links
-    object_stats ring_fraction accumulate interpolate file_gaps stream_report rivers_ivt accumulate_streaming tracking_sink""".split()
+    object_stats ring_fraction accumulate interpolate file_gaps stream_report rivers_ivt accumulate_streaming tracking_sink index_refresh year_files_scan canonical_sink statistics_sink link_streaming""".split()
 
 
 @pytest.fixture(scope="module")
