@@ -56,7 +56,9 @@ class LmParams:
     #: Weight of the pair's probability; the word's has the rest.
     pair_weight: float = 0.3
     least_segments: int = 256
-    block_chars: int = 6_000_000
+    block_chars: int = 4_000_000
+    #: Characters of a block that are hashed at a time, at some sixty bytes each.
+    hash_chars: int = 500_000
     broadcast_bytes: int = 8_000_000
 
 
@@ -153,7 +155,8 @@ def encoded(docs: DataFrame, params: LmParams) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in in_blocks(batch.column("text").to_pylist(), params.block_chars):
-                h, n = span_hashes([ascii_words(t) for t in texts])
+                hashed = [span_hashes([ascii_words(t) for t in some]) for _, some in in_blocks(texts, params.hash_chars)]
+                h, n = _all([x for x, _ in hashed], _U), _all([x for _, x in hashed])
                 tokens = np.full(len(h) + len(n), _END_HASH, _U)
                 own = np.ones(len(tokens), bool)
                 own[np.cumsum(n + 1) - 1] = False
