@@ -97,6 +97,26 @@ def on_land(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return points.join(inside, keys, "left").withColumn("land", F.coalesce("land", F.lit(False)))
 
 
+def land_mask(grid: DataFrame, edges: DataFrame) -> DataFrame:
+    """iy, ix, land of a grid whose rows have one latitude each: as on_land, by scan lines.
+
+    Each row meets the edges that pass its latitude; the crossings of a polygon, in order, lead in
+    and out of it by turns, and a cell is on land if more lead in than out up to its longitude. A
+    row costs its crossings and its cells, not their product.
+    """
+    rows = grid.groupBy("iy").agg(F.first("lat").alias("lat"))
+    y = F.col("lat")
+    spans = ((F.col("y1") <= y) & (y < F.col("y2"))) | ((F.col("y2") <= y) & (y < F.col("y1")))
+    x = F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    band = edges.withColumn("__band", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
+    cut = rows.withColumn("__band", F.floor("lat")).join(band, "__band").where(spans).select("iy", "poly_id", x.alias("x"))
+    turn = F.when(F.row_number().over(Window.partitionBy("iy", "poly_id").orderBy("x")) % 2 == 1, 1).otherwise(-1)
+    marks = cut.select("iy", F.lit(None).cast("int").alias("ix"), "x", turn.alias("turn"))
+    cells = grid.select("iy", F.col("ix").cast("int").alias("ix"), to_pm180("lon").alias("x"), F.lit(0).alias("turn"))
+    inside = F.sum("turn").over(Window.partitionBy("iy").orderBy("x").rangeBetween(Window.unboundedPreceding, 0))
+    return marks.union(cells).withColumn("inside", inside).where("ix is not null").select("iy", "ix", (F.col("inside") > 0).alias("land"))
+
+
 def axes(grid: DataFrame) -> DataFrame:
     """axis, i, value: the latitudes of the first column and the longitudes of the first row."""
     lat = grid.where("ix = 0").select(F.lit("lat").alias("axis"), F.col("iy").alias("i"), F.col("lat").alias("value"))

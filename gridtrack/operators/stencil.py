@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,16 +116,12 @@ def local_maxima(field: DataFrame, threshold: float, value: str = "v") -> DataFr
 def peaks(field: DataFrame, labels: DataFrame, min_dist: int, threshold: float, ny: int, nx: int, value: str = "v") -> DataFrame:
     """Local maxima of labelled cells, thinned per object and step: from the highest down, none within min_dist (Chebyshev) of a taken one or of the border. labels: segment, t, iy, ix, obj_id."""
     inside = (F.col("iy") >= min_dist) & (F.col("iy") < ny - min_dist) & (F.col("ix") >= min_dist) & (F.col("ix") < nx - min_dist)
-    found = local_maxima(field, threshold, value).where(inside).join(labels, list(CELL)).select(*CELL, "obj_id", F.col(value).cast("double").alias("v"))
-
-    def thin(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["v", "iy", "ix"], ascending=[False, True, True])
-        y, x = rows["iy"].to_numpy(), rows["ix"].to_numpy()
-        free, keep = np.ones(len(rows), bool), []
-        for i in range(len(rows)):
-            if free[i]:
-                keep.append(i)
-                free &= np.maximum(abs(y - y[i]), abs(x - x[i])) > min_dist
-        return rows.iloc[keep]
-
-    return found.groupBy("segment", "t", "obj_id").applyInPandas(thin, found.schema)
+    found = local_maxima(field, threshold, value).where(inside).join(labels, list(CELL)).select("segment", "t", F.col("iy").cast("int"), F.col("ix").cast("int"), "obj_id", F.col(value).cast("double").alias("v"))
+
+    # In order of height; each is compared with the taken ones of its object and step.
+    near = lambda a, b: F.greatest(F.abs(a["iy"] - b["iy"]), F.abs(a["ix"] - b["ix"])) <= min_dist
+    order = F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("low"), "iy", "ix")))
+    none = F.array().cast("array<struct<low: double, iy: int, ix: int>>")
+    taken = F.aggregate("tops", none, lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.array_append(acc, x)))
+    tops = found.groupBy("segment", "t", "obj_id").agg(order.alias("tops")).select("segment", "t", "obj_id", F.inline(taken))
+    return tops.select("segment", "t", "iy", "ix", "obj_id", (-F.col("low")).alias("v"))

@@ -139,6 +139,20 @@ def point_on_land(spark, sf_dir):
     return grid.on_land(used_grid(spark, sf_dir), edges, ["iy", "ix"]).select("iy", "ix", "land")
 
 
+_ROWS = "gr as (select c_custkey::int as iy, n_nationkey::int as ix, 75.3::double - 0.0001::double * ((c_custkey * 7919) % 40000) as lat, -30.4::double + 0.18::double * n_nationkey as lon from customer, nation)"
+
+
+@query(f"""with {_ROWS}, e(poly, x1, y1, x2, y2) as (values {', '.join(map(str, LAND))}),
+    x as (select iy, ix, poly, count(*) as n from gr join e on ((y1 <= lat and lat < y2) or (y2 <= lat and lat < y1)) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon group by all)
+    select gr.iy, gr.ix, exists (select 1 from x where x.iy = gr.iy and x.ix = gr.ix and n % 2 = 1) as land from gr""")
+def land_mask(spark, sf_dir):
+    """A grid of a row for each customer and a column for each nation."""
+    edges = spark.createDataFrame(LAND, "poly_id long, x1 double, y1 double, x2 double, y2 double")
+    lat = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("iy"), (75.3 - 0.0001 * ((F.col("c_custkey") * 7919) % 40000)).alias("lat"))
+    lon = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("ix"), (-30.4 + 0.18 * F.col("n_nationkey")).alias("lon"))
+    return grid.land_mask(lat.crossJoin(F.broadcast(lon)), edges)  # 25 columns
+
+
 # ---- D: units, derived fields
 
 

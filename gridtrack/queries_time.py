@@ -13,7 +13,7 @@ from .plans import checks, trackers
 from .plans.config import CutOff, Mcs, Tropical
 from .queries import DOMAIN, LAND, NX, NY, OBJECTS, WITH, _tracker, _z, clouds, dense, found, full_grid, rounded, table, used_grid
 from .registry import FIELD, GRID, HOURLY, components, query
-from .sources import fields, sinks, streams
+from .sources import buckets, fields, sinks, streams
 from .sources import index as sources_index
 from .storage import file_system, shared_dir, staged
 from .streaming.linking import link_stream
@@ -78,6 +78,17 @@ def _written(spark, rows):
     return path
 
 
+@query(f"{WITH} select f.t, f.iy, f.ix, coalesce(l.obj, 0)::int as obj_id, f.v, round(f.v * 2, 6) as w from f left join l using (t, iy, ix)")
+def colocated_streams(spark, sf_dir):
+    """Two streams and the objects of one, bucketed by step, side by side without an exchange."""
+    buckets.colocated(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f = buckets.bucketed(dense(spark, sf_dir).select(*CELL, "v"), n)
+    other = buckets.bucketed(f.select(*CELL, (F.col("v") * 2).alias("w")), n)
+    labels = buckets.bucketed(found(spark, sf_dir), n)
+    return rounded(streams.dense(labels.hint("merge"), f.join(other.hint("merge"), list(CELL))).drop("segment"), "w")
+
+
 @query(f"{WITH} select (f.t // 100)::int as segment, f.t, f.iy, f.ix, coalesce(l.obj, 0)::int as obj_id, f.v from f left join l using (t, iy, ix)")
 def tracking_sink(spark, sf_dir):
     out = streams.dense(found(spark, sf_dir), dense(spark, sf_dir)).withColumn("segment", F.floor(F.col("t") / 100).cast("int"))

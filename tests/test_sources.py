@@ -1,12 +1,15 @@
 """Kept index, publishing sinks, linking on a stream, and labelling in blocks: reads, restarts and killed runs."""
 
+import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridtrack.operators import forest, label
-from gridtrack.sources import index, sinks, streams
+from gridtrack.operators import forest, grid, label, split, stencil
+from gridtrack.sources import buckets, index, sinks, streams
 from gridtrack.storage import file_system
 from gridtrack.streaming import linking
 
@@ -157,3 +160,70 @@ def test_components_in_blocks(spark, block):
         up[max(x, y)] = min(x, y)
     got = {r.node: r.label for r in label.components(spark.createDataFrame(edges, "a long, b long"), 10, 10, block).collect()}
     assert got == {n: find(n) for n in up}
+
+
+def test_streams_side_by_side_need_no_exchange(spark):
+    cells = spark.range(4000).select(F.lit(0).alias("segment"), (F.col("id") / 100).cast("int").alias("t"), (F.col("id") % 100 / 10).cast("int").alias("iy"), (F.col("id") % 10).cast("int").alias("ix"), F.col("id").cast("double").alias("v"))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        buckets.colocated(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        a, b = buckets.bucketed(cells, 5), buckets.bucketed(cells.withColumnRenamed("v", "w").where("iy < 7"), 5)
+        both = a.join(b, ["segment", "t", "iy", "ix"])
+        steps = both.groupBy("segment", "t").agg(F.sum(F.col("v") - F.col("w")).alias("d"), F.count("*").alias("n"))
+        left = streams.dense(b.withColumnRenamed("w", "obj_id"), a)
+        for df in (both, steps, left):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [(r.d, r.n) for r in steps.collect()] == [(0.0, 70)] * 40 and left.count() == 4000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_depth_is_linear_and_exact():
+    rng = np.random.default_rng(4)
+    for shape, share in (((9, 13), 0.7), ((30, 5), 0.95), ((1, 8), 0.5), ((12, 1), 0.8), ((20, 20), 0.999)):
+        for _ in range(20):
+            inside = rng.random(shape) < share
+            out = np.argwhere(~inside)
+            want = np.array([[np.sqrt(((out - (y, x)) ** 2).sum(axis=1).min()) if len(out) else np.inf for x in range(shape[1])] for y in range(shape[0])])
+            assert np.allclose(split.depths(inside), want)
+    big = np.zeros((1002, 1002), bool)
+    big[1:-1, 1:-1] = True
+    began = time.time()
+    assert split.depths(big).max() == 500.0 and time.time() - began < 10
+
+
+def test_peaks_are_thinned_from_the_highest(spark):
+    rng = random.Random(5)
+    field = [(0, 0, y, x, float(rng.randint(0, 9))) for y in range(20) for x in range(20)]
+    df = spark.createDataFrame(field, "segment int, t int, iy int, ix int, v double")
+    labels = df.select("segment", "t", "iy", "ix", F.when(F.col("ix") < 10, 1).otherwise(2).cast("long").alias("obj_id"))
+    v = {(y, x): z for _, _, y, x, z in field}
+    for d in (1, 3):
+        want = set()
+        for lo in (0, 10):
+            top = [(y, x) for y, x in v if lo <= x < lo + 10 and v[y, x] > 2 and d <= y < 20 - d and d <= x < 20 - d and v[y, x] == max(v.get((y + i, x + j), -1) for i in (-1, 0, 1) for j in (-1, 0, 1))]
+            kept = []
+            for c in sorted(top, key=lambda c: (-v[c], c)):
+                if all(max(abs(c[0] - k[0]), abs(c[1] - k[1])) > d for k in kept):
+                    kept.append(c)
+            want |= set(kept)
+        out = stencil.peaks(df, labels, d, 2.0, 20, 20)
+        assert {(r.iy, r.ix) for r in out.collect()} == want and want
+        assert "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_land_mask_is_the_point_test(spark):
+    rng = random.Random(6)
+    edges = []
+    for k in range(6):
+        cx, cy = rng.uniform(-20, 20), rng.uniform(-10, 10)
+        ring = [(cx + rng.uniform(2, 9) * math.cos(a), cy + rng.uniform(2, 9) * math.sin(a)) for a in [i * 0.7 for i in range(9)]]
+        edges += [(k, *p, *q) for p, q in zip(ring, ring[1:] + ring[:1])]
+    edges = spark.createDataFrame(edges, "poly_id long, x1 double, y1 double, x2 double, y2 double")
+    g = spark.range(60 * 80).select((F.col("id") / 80).cast("int").alias("iy"), (F.col("id") % 80).cast("int").alias("ix"))
+    g = g.select("iy", "ix", (-15 + 0.5 * F.col("iy")).alias("lat"), (360 - 30 + 0.75 * F.col("ix")).alias("lon"))
+    rows = lambda df: sorted((r.iy, r.ix, r.land) for r in df.collect())
+    got = rows(grid.land_mask(g, edges))
+    assert got == rows(grid.on_land(g, edges, ["iy", "ix"])) and 100 < sum(x[2] for x in got) < 4700
