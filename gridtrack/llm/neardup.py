@@ -5,14 +5,18 @@ Documents of one set form a class. Each class has MinHash samples, cut into band
 find candidates, and folded into a parity bitmap (odd sketch): the ones in the XOR of
 two bitmaps estimate high similarities closely.
 
-Members of a band bucket are compared by their sketches, large buckets in pairs of
-blocks, one pair to a task. Whatever comes within five deviations of the threshold is
-joined into a candidate component; a task gives out a spanning forest of what it found,
-not the pairs, so a bucket of n members makes n rows for each block that it meets, at most. All
-linked pairs that share a bucket are inside one candidate component. There the full
-sets meet, again in pairs of blocks: pairs whose sketches are near are confirmed
+Members of a band bucket are compared by their sketches. Whatever comes within five
+deviations of the threshold is joined into a candidate component; a task gives out a spanning
+forest of what it found, not the pairs. All linked pairs that share a bucket are inside one
+candidate component. There the full sets meet: pairs whose sketches are near are confirmed
 exactly, unless they are already joined, and a task's forest goes on.
 
+Groups of more members than a block, buckets and components alike, are first held against a few
+of their own members, each time one that no earlier one joined: one row a member. The members
+that these join are one tree, mostly the whole group. Only the others meet in pairs of blocks, with each
+other and with the tree, one pair to a task; inside the tree nothing is left to compare. So a
+group of n near copies costs n rows, and k that stay apart cost n rows for each block of them.
+
 Null and empty texts have the empty set and are linked with nothing. Repeated rows,
 and rows of one doc_id, are linked by their texts like others. A null doc_id never is
 the smallest. Extra columns are ignored.
@@ -20,8 +24,9 @@ the smallest. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,6 +54,8 @@ class NearParams:
     block: int = 256
     #: A bucket of at most so many members is compared by a join.
     small: int = 12
+    #: Members of a large group that all others are held against.
+    leaders: int = 4
 
     @property
     def samples(self) -> int:
@@ -147,10 +154,47 @@ def _near_pairs(sketches: list[bytes], own: np.ndarray, i: int, j: int, params:
 
 
 def _in_blocks(rows: DataFrame, params: NearParams) -> DataFrame:
-    """rows (with key and n, the members of its group) once for each pair of blocks that their own is part of: own, i, j."""
-    sized = rows.withColumn("blocks", F.ceil(F.col("n") / params.block)).withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks", "n")
+    """rows (with key, tree, and in_tree and apart, the members of their group in its main tree and outside) once for each pair of blocks that their own is part of: own, i, j. Blocks of the main tree do not meet each other."""
+    blocks = lambda c: F.ceil(F.col(c) / params.block)
+    hashed = lambda n: F.pmod(F.xxhash64("key"), F.greatest(n, F.lit(1)))
+    sized = rows.withColumn("mains", blocks("in_tree")).withColumn("rests", blocks("apart")).where("rests > 0")
+    sized = sized.withColumn("own", F.when(F.col("tree"), hashed(F.col("mains"))).otherwise(F.col("mains") + hashed(F.col("rests"))))
+    first = F.when(F.col("tree"), F.col("mains")).otherwise(0)
+    dealt = sized.withColumn("other", F.explode(F.sequence(first, F.col("mains") + F.col("rests") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "mains", "rests", "in_tree", "apart")
+
+
+def _led(rows: DataFrame, group: str, payload: str, near: Callable[[pd.Series, pd.Series], pd.Series], params: NearParams) -> tuple[DataFrame | None, DataFrame]:
+    """Of groups of members (group, key, n, payload): edges (a, b) of those held against leaders, and rows with tree, in_tree, apart. Groups up to a block have no leaders, and all of them are apart."""
+    small = rows.where(F.col("n") <= params.block).withColumn("tree", F.lit(False)).withColumn("in_tree", F.lit(0).cast("long")).withColumn("apart", F.col("n")).drop("n")
+    large = rows.where(F.col("n") > params.block)
+    if large.isEmpty():
+        return None, small
+    is_near, open_, linked = F.pandas_udf(near, "boolean"), large.select(group, "key", payload), []
+    for k in range(params.leaders):
+        lead = open_.groupBy(group).agg(F.min(F.struct("key", payload)).alias("lead"))
+        lead = staged(lead.select(group, F.col("lead.key").alias("lead"), F.col(f"lead.{payload}").alias("lead_is")), "leaders")
+        # All members, so that those near two leaders make their trees one.
+        met = large.select(group, "key", payload).join(lead, group).where(F.col("key") != F.col("lead")).where(is_near(payload, "lead_is"))
+        linked.append(staged(met.select(group, "lead", "key"), "led"))
+        open_ = open_.join(linked[-1].select(group, "key"), [group, "key"], "left_anti").join(lead.select(group, F.col("lead").alias("key")), [group, "key"], "left_anti")
+        if k + 1 < params.leaders and open_.isEmpty():
+            break
+    edges = reduce(DataFrame.union, linked)
+    # The tree of a group is what its first leader is joined to, over members near several leaders.
+    first = edges.groupBy(group, "key").agg(F.min("lead").alias("least"), F.collect_set("lead").alias("leads"))
+    bridges = first.where("size(leads) > 1").select(group, "least", F.explode("leads").alias("lead")).union(edges.join(edges.select(group, F.col("lead").alias("key")).distinct(), [group, "key"], "left_semi").select(group, F.col("key").alias("least"), "lead"))
+    name = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("k"))
+    trees = connected_components(bridges.where("least <> lead").distinct().select(name("least").alias("a"), name("lead").alias("b")))
+    of_lead = edges.select(group, "lead").distinct().join(trees.select(F.col("node.g").alias(group), F.col("node.k").alias("lead"), F.col("label.k").alias("root")), [group, "lead"], "left").withColumn("root", F.coalesce("root", "lead"))
+    member = first.select(group, "key", F.col("least").alias("lead")).union(edges.select(group, F.col("lead").alias("key"), "lead").distinct()).join(of_lead, [group, "lead"]).groupBy(group, "key").agg(F.min("root").alias("root"))
+    size = member.groupBy(group, "root").count()
+    main = size.groupBy(group).agg(F.max(F.struct("count", "root")).alias("m")).select(group, F.col("m.root").alias("root"), F.col("m.count").alias("in_tree"))
+    member = staged(member.join(main, [group, "root"]).select(group, "key", "in_tree"), "trees")
+    sizes = member.select(group, "in_tree").distinct()
+    told = large.join(member.select(group, "key", F.lit(True).alias("tree")), [group, "key"], "left").join(sizes, group, "left")
+    told = told.withColumn("tree", F.coalesce("tree", F.lit(False))).withColumn("in_tree", F.coalesce("in_tree", F.lit(0).cast("long"))).withColumn("apart", F.col("n") - F.col("in_tree"))
+    return edges.select(F.col("lead").alias("a"), F.col("key").alias("b")), small.unionByName(told.drop("n").select(*small.columns))
 
 
 def _candidates(buckets: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
@@ -175,7 +219,17 @@ def _candidates(buckets: DataFrame, classes: DataFrame, params: NearParams) -> D
             forest.join(x, y)
         return forest.edges(rows["key"].to_numpy(object))
 
-    many = _in_blocks(buckets.where(F.col("n") > params.small), params).join(side, "key").select("band", "i", "j", "own", "key", "sketch")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(s), _U).reshape(len(s), -1) for s in (x, y))
+        return pd.Series(estimate(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), params) >= least)
+
+    many = buckets.where(F.col("n") > params.small).join(side, "key").select("band", "key", "n", "sketch")
+    edges, many = _led(many, "band", "sketch", near, params)
+    if edges is not None:
+        pairs = pairs.union(edges)
+    many = _in_blocks(many, params).select("band", "i", "j", "own", "key", "sketch")
     return pairs.union(many.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary"))
 
 
@@ -204,10 +258,28 @@ def _confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, params: N
                     forest.join(x, y)
         return forest.edges(rows["key"].to_numpy(object))
 
+    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y):
+            a, b = np.frombuffer(a, _U), np.frombuffer(b, _U)
+            both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= params.percent * max(len(a), len(b)) else 0
+            out.append(both > 0 and 100 * both >= params.percent * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+
     # Both sides are dealt by the row's id whatever the size of one, so that cost stays in proportion.
     texts = docs.select(F.xxhash64("doc_id").alias("row"), "text").join(members.hint("merge"), "row").select("label", "key", "n", "sketch", "text")
-    found = _in_blocks(texts.mapInArrow(sets, "label binary, key binary, n long, sketch binary, shingles binary"), params)
-    return found.select("label", "i", "j", "own", "key", "sketch", "shingles").groupBy("label", "i", "j").applyInPandas(check, "a binary, b binary")
+    found = texts.mapInArrow(sets, "label binary, key binary, n long, sketch binary, shingles binary")
+    large = found.where(F.col("n") > params.block)
+    edges = None
+    if not size.where(F.col("n") > params.block).isEmpty():
+        # The sets of large groups are written once; rows of one id and text are there twice.
+        large = staged(large.dropDuplicates(["label", "key"]), "sets")
+        edges, told = _led(large.select("label", "key", "n", "shingles"), "label", "shingles", linked, params)
+        told = told.join(large.select("label", "key", "sketch"), ["label", "key"])
+    few = found.where(F.col("n") <= params.block).withColumn("tree", F.lit(False)).withColumn("in_tree", F.lit(0).cast("long")).withColumn("apart", F.col("n")).drop("n")
+    blocks = _in_blocks(few if edges is None else few.unionByName(told), params)
+    out = blocks.select("label", "i", "j", "own", "key", "sketch", "shingles").groupBy("label", "i", "j").applyInPandas(check, "a binary, b binary")
+    return out if edges is None else out.union(edges)
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:

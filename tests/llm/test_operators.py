@@ -88,7 +88,7 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("params", [neardup.NearParams(), neardup.NearParams(small=1, block=8)])
+@pytest.mark.parametrize("params", [neardup.NearParams(), neardup.NearParams(small=1, block=8), neardup.NearParams(small=1, block=8, leaders=1)])
 def test_near_duplicates_in_a_large_group(spark, params):
     r = random.Random(3)
     base = [r.choice(WORDS) for _ in range(150)]
@@ -102,6 +102,26 @@ def test_near_duplicates_in_a_large_group(spark, params):
     assert got == brute_components(items)
 
 
+def test_near_copies_cost_a_row_each(spark, monkeypatch):
+    """A group of near copies is held against its leaders: no pairs of blocks inside its tree."""
+    r = random.Random(4)
+    base = [r.choice(WORDS) for _ in range(200)]
+    items = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i in range(300) for k in [r.randrange(200)]]
+    items += [(1000 + i, " ".join(base[:60] + [f"y{i}-{k}" for k in range(140)])) for i in range(3)]
+    dealt = []
+    real = neardup._in_blocks
+
+    def counted(rows, params):
+        out = real(rows, params)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_in_blocks", counted)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(items, "doc_id long, text string"), neardup.NearParams(block=16)).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in items}
+    assert dealt[-1] < 300 * 3  # in pairs of blocks of 16 all would be there 19 times
+
+
 def lev(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
