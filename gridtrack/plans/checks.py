@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import convert, lookup
+from ..operators.grid import is_periodic, is_regular, lat_direction, lon_convention
 from ..operators.timeaxis import accumulate, file_gaps, interpolate, subsample
 
 RANK = {"ready": 0, "prepare": 1, "unsupported": 2, "missing": 2}
@@ -44,6 +45,30 @@ def variable_report(table: DataFrame, stream: str, variables: dict[str, tuple[st
     return facts.select("stream", "variable", "present", status.alias("status"), text.alias("conversion"))
 
 
+def grid_report(grid: DataFrame, dims: tuple[str, ...], convention: str = "pm180", lat_order: str | None = None, staggered: tuple[str, ...] = ()) -> DataFrame:
+    """subject, found, wanted, status: the grid's coordinates, convention of longitudes, order of rows, kind, whether it goes around, the order of a variable's dimensions, and variables on staggered points. Only a regular grid is put in another order; longitudes of neither convention, missing coordinates and staggered variables are unsupported."""
+    spark = grid.sparkSession
+    row = lambda subject, found, wanted, status: spark.createDataFrame([(subject, found, wanted, status)], "subject string, found string, wanted string, status string")
+    there = [c for c in ("lat", "lon") if c in grid.columns]
+    told = row("coordinates", ",".join(there), "lat,lon", "ready" if len(there) == 2 else "unsupported")
+    told = told.union(row("dimensions", ",".join(dims), "t,iy,ix", "ready" if dims == ("t", "iy", "ix") else "prepare"))
+    for name in staggered:
+        told = told.union(row(f"staggered {name}", "true", "false", "unsupported"))
+    if len(there) < 2:
+        return told
+    facts = is_regular(grid).crossJoin(lon_convention(grid)).crossJoin(lat_direction(grid)).crossJoin(is_periodic(grid))  # single rows
+    order = F.when(F.col("direction") > 0, "ascending").otherwise("descending")
+    other = F.col("regular") & (order != F.lit(lat_order)) if lat_order else F.lit(False)
+    turned = F.when(F.col("convention") == "mixed", "unsupported").when(F.col("regular") & (F.col("convention") != convention), "prepare").otherwise("ready")
+    none = F.lit(None).cast("string")
+    subjects = [
+        ("convention", F.col("convention"), F.lit(convention), turned), ("lat_order", order, F.lit(lat_order), F.when(other, "prepare").otherwise("ready")),
+        ("kind", F.when(F.col("regular"), "regular").otherwise("curvilinear"), none, F.lit("ready")), ("periodic", F.col("periodic").cast("string"), none, F.lit("ready")),
+    ]
+    listed = F.array(*(F.struct(F.lit(s).alias("subject"), f.alias("found"), w.cast("string").alias("wanted"), x.alias("status")) for s, f, w, x in subjects))
+    return told.union(facts.select(F.inline(listed)))
+
+
 def overall(reports: DataFrame) -> DataFrame:
     """One row: the worst status over all streams that are there. reports: stream, status."""
     rank = F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,15 +89,16 @@ def lon_convention(spark, sf_dir):
     return grid.lon_convention(g).union(grid.lon_convention(g.withColumn("lon", F.col("lon") + 360)))
 
 
-@query(f"with {GRID} select true as regular, -1 as direction, false as periodic")
-def grid_tests(spark, sf_dir):
-    g = used_grid(spark, sf_dir)
-    return grid.is_regular(g).crossJoin(grid.lat_direction(g)).crossJoin(grid.is_periodic(g))
+_GAPS_OF = """, q as (select k, coalesce(lead(l) over w, min(l) over (partition by k) + 360) - l as gap from l window w as (partition by k order by l))
+    select k, count(*) >= 3 and min(gap) > 0 and max(gap) < 1.5 * median(gap) as periodic from q group by k"""
 
 
-@query("select true as periodic")
+@query(f"with {GRID}, l as (select distinct s as k, ix * s::double as l from g, (select distinct n_regionkey * 15 as s from nation where n_regionkey > 0) n) {_GAPS_OF}")
 def periodic_grid(spark, sf_dir):
-    return grid.is_periodic(used_grid(spark, sf_dir).withColumn("lon", F.col("ix") * 45.0))
+    """Eight columns at four distances, of which one goes around."""
+    steps_ = sorted(r.n_regionkey * 15 for r in table(spark, sf_dir, "nation").select("n_regionkey").distinct().where("n_regionkey > 0").collect())  # four
+    grids = [grid.is_periodic(used_grid(spark, sf_dir).withColumn("lon", F.col("ix") * float(s))).select(F.lit(s).cast("long").alias("k"), "periodic") for s in steps_]
+    return reduce(lambda a, b: a.union(b), grids)
 
 
 @query(f"""with {GRID}, s as (select iy, ix, lat, case when ix < 4 then 356 + ix else ix - 4 end::double as lon from g),
@@ -106,10 +109,21 @@ def normalise_grid(spark, sf_dir):
     return grid.normalise(s, "pm180", "south_first")
 
 
-@query(f"with {GRID} select 0::bigint as unmatched, 0.5::double as largest, false as same")
+_PAIRS = """a as (select c_custkey::int as iy, n_nationkey::int as ix, 60 - 0.001::double * c_custkey as lat, -30 + 0.5::double * n_nationkey as lon from customer, nation), s as (select s_suppkey from supplier),
+    b as (select a.iy, a.ix, a.lat + 0.0001 * (a.iy % 7) as lat, a.lon from a where iy in (select s_suppkey from s)),
+    d as (select greatest(abs(a.lat - b.lat), abs(a.lon - b.lon)) as d, a.iy is null or b.iy is null as lone from a full join b using (iy, ix)),
+    e as (select greatest(abs(a.lat - c.lat), abs(a.lon - c.lon)) as d, a.iy is null or c.iy is null as lone from a full join a c using (iy, ix))"""
+
+
+@query(f"""with {_PAIRS} select 'other' as pair, count(*) filter (where lone) as unmatched, round(max(d), 6) as largest, not bool_or(lone) and max(d) <= 1e-4 as same from d
+    union all select 'itself', count(*) filter (where lone), round(max(d), 6), not bool_or(lone) and max(d) <= 1e-4 from e""")
 def same_grid(spark, sf_dir):
-    g = used_grid(spark, sf_dir)
-    return rounded(grid.grid_differences(g, g.withColumn("lat", F.col("lat") + 0.5)), "largest")
+    """A grid with a row for each customer against itself and against the rows that are suppliers too, shifted here and there."""
+    lon = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("ix"), (-30 + 0.5 * F.col("n_nationkey")).alias("lon"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("iy"), (60 - 0.001 * F.col("c_custkey")).alias("lat")).crossJoin(F.broadcast(lon))  # 25 columns
+    b = a.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("iy")), "iy", "left_semi").withColumn("lat", F.col("lat") + 0.0001 * (F.col("iy") % 7))
+    rows = [grid.grid_differences(a, other).withColumn("pair", F.lit(name)) for name, other in (("other", b), ("itself", a))]
+    return rounded(rows[0].union(rows[1]).select("pair", "unmatched", "largest", "same"), "largest")
 
 
 @query(f"""with {GRID}, {METRICS} select 'regular' as kind, 8 as ny, 8 as nx, min(lat) as lat_min, max(lat) as lat_max, min(lon) as lon_min, max(lon) as lon_max, 'pm180' as convention, 'descending' as lat_order,

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtrack.operators import forest, grid, label, split, stencil
-from gridtrack.sources import buckets, index, sinks, streams
+from gridtrack.plans import checks, config, jobs, trackers
+from gridtrack.sources import buckets, fields, index, sinks, streams
 from gridtrack.storage import file_system
 from gridtrack.streaming import linking
 
@@ -227,3 +228,76 @@ def test_land_mask_is_the_point_test(spark):
     rows = lambda df: sorted((r.iy, r.ix, r.land) for r in df.collect())
     got = rows(grid.land_mask(g, edges))
     assert got == rows(grid.on_land(g, edges, ["iy", "ix"])) and 100 < sum(x[2] for x in got) < 4700
+
+
+def test_year_jobs_check_their_streams(spark, tmp_path):
+    rng = random.Random(9)
+    g = grid.metrics(fields.regular_grid(spark, (50.0, -0.5, 6), (0.0, 0.5, 6)))
+    d = jobs.Domain(6, 6, 50_000.0)
+
+    def stream(column, steps=8, segments=(2000, 2001)):
+        return spark.createDataFrame([(s, t, y, x, rng.uniform(0, 900)) for s in segments for t in range(steps) for y in range(6) for x in range(6)], f"segment int, t int, iy int, ix int, {column} double")
+
+    at = str(tmp_path / "out")
+    ivt = stream("ivte").withColumn("ivtn", F.lit(0.0))
+    first = ivt.where("segment = 2000")
+    assert jobs.run("ar_ivt", {"ivt": first}, g, d, at) == [2000]
+    assert jobs.run("ar_ivt", {"ivt": ivt}, g, d, at) == [2001] and jobs.run("ar_ivt", {"ivt": ivt}, g, d, at) == []
+    assert jobs.run("ar_ivt", {"ivt": ivt}, g, d, at, force=True) == [2000, 2001]
+    rows = spark.read.parquet(f"{at}/tracker=ar_ivt")
+    assert rows.count() == ivt.count() and dict(rows.dtypes)["ivt"] == "float" and dict(rows.dtypes)["rivers"] == "int"
+    # Both segments in one run are the segments one by one.
+    both = {tuple(r) for r in jobs.objects_of(at, "ar_ivt", "rivers", spark).collect()}
+    alone = str(tmp_path / "alone")
+    for s in (2000, 2001):
+        jobs.run("ar_ivt", {"ivt": ivt.where(F.col("segment") == s)}, g, d, alone)
+    assert both == {tuple(r) for r in jobs.objects_of(alone, "ar_ivt", "rivers", spark).collect()} and both
+    z, u, pr = stream("z"), stream("u"), stream("total", 5).withColumn("peak", F.lit(0.0))
+    with pytest.raises(ValueError, match="z200 has other steps than z500: segment 200[01], step 7"):
+        jobs.run("cutoff", {"z500": z, "z200": u.where("t < 7"), "pr": pr}, g, d, at)
+    other = g.withColumn("lat", F.col("lat") + 0.1)
+    with pytest.raises(ValueError, match="z200 has another grid"):
+        jobs.run("cutoff", {"z500": z, "z200": u, "pr": pr}, g, d, at, grids={"z500": g, "z200": other, "pr": g})
+    jobs.run("slp", {"slp": stream("msl", 8)}, g, d, at, config.Slp(watershed=False))
+    with pytest.raises(ValueError, match="track them again"):
+        jobs.run_tropical({"slp": stream("msl", 9), "z850": stream("temp", 9)}, g, d, at)
+
+
+@pytest.mark.parametrize("turn", ["flipped", "full circle", "curvilinear"])
+def test_trackers_on_turned_grids(spark, turn):
+    """Rows turned round, longitudes from 0 to 360 and bent coordinates: the same objects, cell by cell."""
+    rng = random.Random(10)
+    ny = nx = 10
+    msl = spark.createDataFrame([(0, t, y, x, 101000 + rng.gauss(0, 1500)) for t in range(6) for y in range(ny) for x in range(nx)], "segment int, t int, iy int, ix int, v double").cache()
+    g = fields.regular_grid(spark, (70.0, -0.5, ny), (-2.0, 0.5, nx))
+    d = jobs.Domain(ny, nx, 50_000.0)
+    p = config.Slp(watershed=False)
+    shape = lambda df: {frozenset((r.t, r.iy, r.ix) for r in part) for part in _by_object(df)}
+    want = shape(trackers.cyclones_slp(msl, grid.metrics(g), d, p))
+    back = lambda df: df
+    if turn == "flipped":
+        flip = lambda df: df.withColumn("iy", ny - 1 - F.col("iy"))
+        msl, g, d, back = flip(msl), flip(g), jobs.Domain(ny, nx, 50_000.0, north=1), flip
+    elif turn == "full circle":
+        g = g.withColumn("lon", F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon")))
+    else:
+        g = g.withColumn("lat", F.col("lat") + 0.01 * F.col("ix")).withColumn("lon", F.col("lon") + 0.02 * F.col("iy"))
+    assert shape(back(trackers.cyclones_slp(msl, grid.metrics(g), d, p))) == want and want
+
+
+def _by_object(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.obj_id, []).append(r)
+    return out.values()
+
+
+def test_grid_report_names_what_is_wrong(spark):
+    g = fields.regular_grid(spark, (10.0, 1.0, 3), (350.0, 5.0, 4))
+    found = {r.subject: (r.found, r.status) for r in checks.grid_report(g, ("t", "ix", "iy"), "pm180", "descending", ("u",)).collect()}
+    assert found["convention"] == ("0..360", "prepare") or found["convention"] == ("mixed", "unsupported")
+    assert found["lat_order"] == ("ascending", "prepare") and found["dimensions"][1] == "prepare" and found["staggered u"][1] == "unsupported"
+    bent = g.withColumn("lat", F.col("lat") + 0.1 * F.col("ix")).withColumn("lon", F.col("ix") * 2.0)
+    found = {r.subject: (r.found, r.status) for r in checks.grid_report(bent, ("t", "iy", "ix"), "pm180", "descending").collect()}
+    assert found["kind"][0] == "curvilinear" and found["lat_order"][1] == "ready" and found["dimensions"][1] == "ready"
+    assert checks.grid_report(g.drop("lat"), ("t", "iy", "ix")).where("status = 'unsupported'").first().subject == "coordinates"
