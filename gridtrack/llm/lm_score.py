@@ -16,8 +16,8 @@ segment of its first word; where that is a frequent one (a list bounded by the n
 segments), in one by its own hash, so that no word makes a segment large. Words are told apart
 by 64-bit hashes, pairs after one word by 32-bit ones.
 
-Texts go in blocks, written once as token numbers: one row a block, so that neither other file
-splits nor a lost executor gives a block other texts. A model of up to `broadcast_bytes` goes
+Texts go in blocks, written once as token numbers under a number each, so that neither other
+file splits nor a lost executor gives a block other texts. A model of up to `broadcast_bytes` goes
 to all workers. For a larger one a block asks each segment once for its distinct n-grams, and
 the answers are joined to the blocks; a row of questions has at least one n-gram, so there
 are never more rows than tokens. Texts that are at hand when the model is made (fit_score) are
@@ -29,6 +29,7 @@ empty training side every count is 0. Extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,7 @@ class LmParams:
     block_chars: int = 4_000_000
     #: Characters of a block that are hashed at a time, at some sixty bytes each.
     hash_chars: int = 500_000
+    piece_bytes: int = 250_000
     broadcast_bytes: int = 8_000_000
 
 
@@ -146,13 +149,14 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-_BLOCK = "block long, doc_ids array<long>, train array<boolean>, sizes array<long>, words binary, places binary"
+_BLOCK = "block long, piece int, pieces int, data binary"
 
 
 def encoded(docs: DataFrame, params: LmParams) -> DataFrame:
-    """A row for each block of texts: its documents, the distinct hashes of its tokens in order, and each token's place among them."""
+    """Blocks of texts: the documents, the distinct hashes of the tokens in order, and each token's place among them; in rows of `piece_bytes`, which Spark handles better than a large one. A task's file is one row group, so that no other task gets half of a block."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, texts in in_blocks(batch.column("text").to_pylist(), params.block_chars):
                 hashed = [span_hashes([ascii_words(t) for t in some]) for _, some in in_blocks(texts, params.hash_chars)]
@@ -163,13 +167,29 @@ def encoded(docs: DataFrame, params: LmParams) -> DataFrame:
                 tokens[own] = h
                 words, places = np.unique(tokens, return_inverse=True)
                 some = batch.slice(at, len(texts))
-                row = [some.column("doc_id").to_pylist(), some.column("train").to_pylist(), (n + 1).tolist(), words.astype("<u8").tobytes(), _planes(places)]
-                kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["doc_ids", "train", "sizes", "words", "places"])
+                data = pickle.dumps({"doc_ids": some.column("doc_id").to_pylist(), "train": np.array(some.column("train").to_pylist(), bool), "sizes": n + 1, "words": words.astype("<u8").tobytes(), "places": _planes(places)})
+                cut = [data[k : k + params.piece_bytes] for k in range(0, len(data), params.piece_bytes)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(cut)), pa.array(range(len(cut)), pa.int32()), pa.array([len(cut)] * len(cut), pa.int32()), pa.array(cut, pa.binary())], ["block", "piece", "pieces", "data"])
+                block += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), params.folds) != params.held_out).alias("train"), "text")
-    rows = rows.mapInArrow(blocks, _BLOCK.split(", ", 1)[1])
-    return staged(rows.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    return staged(rows.mapInArrow(blocks, _BLOCK), "blocks", **{"parquet.block.size": str(1 << 30)})
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks from rows of pieces in order."""
+    data: list[bytes] = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block, piece, pieces, part = (batch.column(c)[k].as_py() for c in range(4))
+            if piece != len(data):
+                raise ValueError(f"block {block} is in pieces")
+            data.append(part)
+            if len(data) == pieces:
+                yield pickle.loads(b"".join(data)) | {"block": block}
+                data = []
+    if data:
+        raise ValueError(f"block {block} is in pieces")
 
 
 class _Block:
@@ -239,12 +259,13 @@ def _questions(blocks: DataFrame, frequent: np.ndarray, segments: int, counted:
     """What each block asks each segment, with its training counts if `counted`."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row["words"], row["places"], row["sizes"], frequent, segments)
-                learn = np.repeat(np.array(row["train"], bool), b.sizes) if counted else np.zeros(len(b.places), bool)
-                wc, pc = np.bincount(b.places[learn], minlength=len(b.words)), np.bincount(b.pair_of[learn], minlength=len(b.key))[b.order]
-                some, out = b.asks(segments), {n: [] for n in [*_ASKED, "word_counts", "pair_counts"]}
+        for row in _whole(batches):
+            b = _Block(row["words"], row["places"], row["sizes"], frequent, segments)
+            learn = np.repeat(row["train"], b.sizes) if counted else np.zeros(len(b.places), bool)
+            wc, pc = np.bincount(b.places[learn], minlength=len(b.words)), np.bincount(b.pair_of[learn], minlength=len(b.key))[b.order]
+            asks = b.asks(segments)
+            for at in range(0, len(asks), 64):
+                some, out = asks[at : at + 64], {n: [] for n in [*_ASKED, "word_counts", "pair_counts"]}
                 for s in some:
                     words, keys, followers, far, far_words = b.asked(s)
                     for name, x in zip(_ASKED, (words.astype("<u8").tobytes(), keys.astype("<u4").tobytes(), _small(followers), far.astype("<u4").tobytes(), _planes(far_words))):
@@ -340,19 +361,17 @@ def _frequent(blocks: DataFrame, segments: int) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = {}, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, places = np.frombuffer(row["words"], "<u8"), _unplaned(row["places"])
-                learn = np.repeat(np.array(row["train"], bool), np.asarray(row["sizes"], np.int64))
-                c = np.bincount(places[learn], minlength=len(words))
-                n += int(c.sum())
-                for k in np.flatnonzero(8 * segments * c >= max(1, c.sum())):
-                    total[int(words[k])] = total.get(int(words[k]), 0) + int(c[k])
+        for row in _whole(batches):
+            words, places = np.frombuffer(row["words"], "<u8"), _unplaned(row["places"])
+            c = np.bincount(places[np.repeat(row["train"], row["sizes"])], minlength=len(words))
+            n += int(c.sum())
+            for k in np.flatnonzero(8 * segments * c >= max(1, c.sum())):
+                total[int(words[k])] = total.get(int(words[k]), 0) + int(c[k])
         out = [(w, c) for w, c in total.items() if 8 * segments * c >= n]
         w, c = [x for x, _ in out] + [0], [x for _, x in out] + [n]
         yield pa.RecordBatch.from_arrays([pa.array(np.array(w, _U).astype(np.int64)), pa.array(np.array(c, np.int64)), pa.array([False] * len(out) + [True])], ["word", "n", "whole"])
 
-    found = staged(blocks.select("train", "sizes", "words", "places").mapInArrow(counted, "word long, n long, whole boolean").groupBy("whole", "word").agg(F.sum("n").alias("n")), "frequent")
+    found = staged(blocks.mapInArrow(counted, "word long, n long, whole boolean").groupBy("whole", "word").agg(F.sum("n").alias("n")), "frequent")
     n = found.where("whole").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = found.where(~F.col("whole") & (F.col("n") * 8 * segments >= max(n, 1))).select("word").collect()
     return np.sort(np.array([r.word for r in rows], np.int64).view(_U))
@@ -424,7 +443,7 @@ def _joined(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
     bare, frequent = _bare(model), np.sort(np.array(list(model.frequent), _U))
 
     def scored(key: tuple, block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        (row,) = block.to_dict("records")
+        (row,) = _whole([pa.RecordBatch.from_pandas(block.sort_values("piece")[["block", "piece", "pieces", "data"]], preserve_index=False)])
         b = _Block(row["words"], row["places"], row["sizes"], frequent, bare.segments)
         found = found.sort_values("segment").to_dict("records")
         asked = [b.asked(x["segment"]) for x in found]
@@ -461,10 +480,9 @@ def _probed(blocks: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {s: _loaded(r, bare.params) for s, r in sent.value.items()}
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row["words"], row["places"], row["sizes"], frequent, bare.segments)
-                yield pa.RecordBatch.from_pandas(_scored(bare, b, row["doc_ids"], looked_up(bare, b, table, frequent)), preserve_index=False)
+        for row in _whole(batches):
+            b = _Block(row["words"], row["places"], row["sizes"], frequent, bare.segments)
+            yield pa.RecordBatch.from_pandas(_scored(bare, b, row["doc_ids"], looked_up(bare, b, table, frequent)), preserve_index=False)
 
     return blocks.mapInArrow(scored, _SCORES)
 
