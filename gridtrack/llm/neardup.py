@@ -12,10 +12,10 @@ candidate component. There the full sets meet: pairs whose sketches are near are
 exactly, unless they are already joined, and a task's forest goes on.
 
 Groups of more members than a block, buckets and components alike, are first held against a few
-of their own members, each time one that no earlier one joined: one row a member. The members
-that these join are one tree, mostly the whole group. Only the others meet in pairs of blocks, with each
-other and with the tree, one pair to a task; inside the tree nothing is left to compare. So a
-group of n near copies costs n rows, and k that stay apart cost n rows for each block of them.
+of their own members, a row each. What the one of these with most edges is joined to is a tree,
+mostly the whole group. Only the others meet in pairs of blocks, with each other and with the
+tree, one pair to a task; inside the tree nothing is left to compare. So a group of n near
+copies costs a few rows a member, and k that stay apart cost n rows for each block of them.
 
 Null and empty texts have the empty set and are linked with nothing. Repeated rows,
 and rows of one doc_id, are linked by their texts like others. A null doc_id never is
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -165,36 +164,21 @@ def _in_blocks(rows: DataFrame, params: NearParams) -> DataFrame:
 
 
 def _led(rows: DataFrame, group: str, payload: str, near: Callable[[pd.Series, pd.Series], pd.Series], params: NearParams) -> tuple[DataFrame | None, DataFrame]:
-    """Of groups of members (group, key, n, payload): edges (a, b) of those held against leaders, and rows with tree, in_tree, apart. Groups up to a block have no leaders, and all of them are apart."""
-    small = rows.where(F.col("n") <= params.block).withColumn("tree", F.lit(False)).withColumn("in_tree", F.lit(0).cast("long")).withColumn("apart", F.col("n")).drop("n")
+    """Of groups of members (group, key, n, payload): edges (a, b) of those near a leader, and rows with tree, in_tree, apart. A group's main tree is what its leader of most edges is joined to. Groups up to a block have no leaders, and all of them are apart."""
+    small = rows.where(F.col("n") <= params.block).withColumns({"tree": F.lit(False), "in_tree": F.lit(0).cast("long"), "apart": F.col("n")}).drop("n")
     large = rows.where(F.col("n") > params.block)
-    if large.isEmpty():
+    seat = F.pmod(F.xxhash64("key"), F.lit(params.leaders))
+    lead = staged(large.groupBy(group, seat.alias("seat")).agg(F.min(F.struct("key", payload)).alias("lead")), "leaders")
+    if lead.isEmpty():
         return None, small
-    is_near, open_, linked = F.pandas_udf(near, "boolean"), large.select(group, "key", payload), []
-    for k in range(params.leaders):
-        lead = open_.groupBy(group).agg(F.min(F.struct("key", payload)).alias("lead"))
-        lead = staged(lead.select(group, F.col("lead.key").alias("lead"), F.col(f"lead.{payload}").alias("lead_is")), "leaders")
-        # All members, so that those near two leaders make their trees one.
-        met = large.select(group, "key", payload).join(lead, group).where(F.col("key") != F.col("lead")).where(is_near(payload, "lead_is"))
-        linked.append(staged(met.select(group, "lead", "key"), "led"))
-        open_ = open_.join(linked[-1].select(group, "key"), [group, "key"], "left_anti").join(lead.select(group, F.col("lead").alias("key")), [group, "key"], "left_anti")
-        if k + 1 < params.leaders and open_.isEmpty():
-            break
-    edges = reduce(DataFrame.union, linked)
-    # The tree of a group is what its first leader is joined to, over members near several leaders.
-    first = edges.groupBy(group, "key").agg(F.min("lead").alias("least"), F.collect_set("lead").alias("leads"))
-    bridges = first.where("size(leads) > 1").select(group, "least", F.explode("leads").alias("lead")).union(edges.join(edges.select(group, F.col("lead").alias("key")).distinct(), [group, "key"], "left_semi").select(group, F.col("key").alias("least"), "lead"))
-    name = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("k"))
-    trees = connected_components(bridges.where("least <> lead").distinct().select(name("least").alias("a"), name("lead").alias("b")))
-    of_lead = edges.select(group, "lead").distinct().join(trees.select(F.col("node.g").alias(group), F.col("node.k").alias("lead"), F.col("label.k").alias("root")), [group, "lead"], "left").withColumn("root", F.coalesce("root", "lead"))
-    member = first.select(group, "key", F.col("least").alias("lead")).union(edges.select(group, F.col("lead").alias("key"), "lead").distinct()).join(of_lead, [group, "lead"]).groupBy(group, "key").agg(F.min("root").alias("root"))
-    size = member.groupBy(group, "root").count()
-    main = size.groupBy(group).agg(F.max(F.struct("count", "root")).alias("m")).select(group, F.col("m.root").alias("root"), F.col("m.count").alias("in_tree"))
-    member = staged(member.join(main, [group, "root"]).select(group, "key", "in_tree"), "trees")
-    sizes = member.select(group, "in_tree").distinct()
-    told = large.join(member.select(group, "key", F.lit(True).alias("tree")), [group, "key"], "left").join(sizes, group, "left")
-    told = told.withColumn("tree", F.coalesce("tree", F.lit(False))).withColumn("in_tree", F.coalesce("in_tree", F.lit(0).cast("long"))).withColumn("apart", F.col("n") - F.col("in_tree"))
-    return edges.select(F.col("lead").alias("a"), F.col("key").alias("b")), small.unionByName(told.drop("n").select(*small.columns))
+    lead = lead.select(group, F.col("lead.key").alias("lead"), F.col(f"lead.{payload}").alias("lead_is"))
+    met = large.select(group, "key", payload).join(lead, group).where(F.col("key") != F.col("lead")).where(F.pandas_udf(near, "boolean")(payload, "lead_is"))
+    linked = staged(met.select(group, "lead", "key").distinct(), "led")  # rows of one id and text are there twice
+    best = linked.groupBy(group, "lead").count().groupBy(group).agg(F.max(F.struct("count", "lead")).alias("m")).select(group, F.col("m.lead").alias("lead"), (F.col("m.count") + 1).alias("in_tree"))
+    tree = linked.join(best, [group, "lead"]).select(group, "key", F.lit(True).alias("tree")).union(best.select(group, F.col("lead").alias("key"), F.lit(True)))
+    told = large.join(tree, [group, "key"], "left").join(best.select(group, "in_tree"), group, "left").fillna({"tree": False, "in_tree": 0})
+    told = told.withColumn("apart", F.col("n") - F.col("in_tree")).where("apart > 0")
+    return linked.select(F.col("lead").alias("a"), F.col("key").alias("b")), small.unionByName(told.select(*small.columns))
 
 
 def _candidates(buckets: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
@@ -268,17 +252,10 @@ def _confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, params: N
 
     # Both sides are dealt by the row's id whatever the size of one, so that cost stays in proportion.
     texts = docs.select(F.xxhash64("doc_id").alias("row"), "text").join(members.hint("merge"), "row").select("label", "key", "n", "sketch", "text")
-    found = texts.mapInArrow(sets, "label binary, key binary, n long, sketch binary, shingles binary")
-    large = found.where(F.col("n") > params.block)
-    edges = None
-    if not size.where(F.col("n") > params.block).isEmpty():
-        # The sets of large groups are written once; rows of one id and text are there twice.
-        large = staged(large.dropDuplicates(["label", "key"]), "sets")
-        edges, told = _led(large.select("label", "key", "n", "shingles"), "label", "shingles", linked, params)
-        told = told.join(large.select("label", "key", "sketch"), ["label", "key"])
-    few = found.where(F.col("n") <= params.block).withColumn("tree", F.lit(False)).withColumn("in_tree", F.lit(0).cast("long")).withColumn("apart", F.col("n")).drop("n")
-    blocks = _in_blocks(few if edges is None else few.unionByName(told), params)
-    out = blocks.select("label", "i", "j", "own", "key", "sketch", "shingles").groupBy("label", "i", "j").applyInPandas(check, "a binary, b binary")
+    found = staged(texts.mapInArrow(sets, "label binary, key binary, n long, sketch binary, shingles binary"), "sets")
+    edges, told = _led(found, "label", "shingles", linked, params)
+    blocks = _in_blocks(told, params).select("label", "i", "j", "own", "key", "sketch", "shingles")
+    out = blocks.groupBy("label", "i", "j").applyInPandas(check, "a binary, b binary")
     return out if edges is None else out.union(edges)
 
 
