@@ -13,7 +13,7 @@ from .operators.objects import OBJ
 from .operators.stencil import CELL
 from .plans import trackers
 from .plans.config import Front, Jet, River, Slp, Z500
-from .registry import FIELD, GRID, METRICS, box, break_up, components, haversine, lifetime, query
+from .registry import FIELD, GRID, METRICS, TABLE_GRID, box, break_up, components, haversine, lifetime, query
 from .sources import fields
 from .storage import staged
 
@@ -52,9 +52,16 @@ WITH = f"with recursive {FIELD}, {CELLS}, {components('c', 'l')}"
 # ---- C: grid and geography
 
 
-@query(f"with {GRID} select iy, ix, round({haversine('lat', 'lon', '50.0::double', '0.0::double')}, 3) as metres from g")
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid with a row for each customer and a column for each nation."""
+    lat = table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).cast("int").alias("iy"), (75.3 - 0.0001 * F.col("c_custkey")).alias("lat"))
+    lon = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("ix"), (-30 + 0.5 * F.col("n_nationkey")).alias("lon"))
+    return lat.crossJoin(F.broadcast(lon)).select("iy", "ix", "lat", "lon")  # 25 columns
+
+
+@query(f"with {TABLE_GRID} select iy, ix, round({haversine('lat', 'lon', '50.0::double', '0.0::double')}, 3) as metres from g")
 def haversine_distance(spark, sf_dir):
-    return plain_grid(spark).join(used(spark, sf_dir), ["iy", "ix"]).select("iy", "ix", F.round(geo.haversine("lat", "lon", 50.0, 0.0), 3).alias("metres"))
+    return table_grid(spark, sf_dir).select("iy", "ix", F.round(geo.haversine("lat", "lon", 50.0, 0.0), 3).alias("metres"))
 
 
 def used(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +73,14 @@ def used_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_grid(spark).join(used(spark, sf_dir), ["iy", "ix"])
 
 
-@query(f"with {GRID}, {METRICS} select iy, ix, round(dx, 3) as dx, round(dy, 3) as dy, round(area, 0) as area from ga")
+@query(f"with {TABLE_GRID}, {METRICS} select iy, ix, round(dx, 3) as dx, round(dy, 3) as dy, round(area, 0) as area from ga")
 def grid_metrics(spark, sf_dir):
-    return rounded(grid.metrics(used_grid(spark, sf_dir)).select("iy", "ix", "dx", "dy", F.round("area", 0).alias("area")), "dx", "dy", places=3)
+    return rounded(grid.metrics(table_grid(spark, sf_dir)).select("iy", "ix", "dx", "dy", F.round("area", 0).alias("area")), "dx", "dy", places=3)
 
 
-@query(f"with {GRID}, {METRICS} select round((sum(dx) + sum(dy)) / (2 * count(*)), 3) as spacing from ga")
+@query(f"with {TABLE_GRID}, {METRICS} select round((sum(dx) + sum(dy)) / (2 * count(*)), 3) as spacing from ga")
 def grid_spacing(spark, sf_dir):
-    return rounded(grid.spacing(grid.metrics(used_grid(spark, sf_dir))), "spacing", places=3)
+    return rounded(grid.spacing(grid.metrics(table_grid(spark, sf_dir))), "spacing", places=3)
 
 
 @query("""select c_custkey, round((((c_custkey % 720 - 360)::double + 180) % 360 + 360) % 360 - 180, 6) as pm180, round(((c_custkey % 720 - 360)::double % 360 + 360) % 360, 6) as full_circle from customer""")
@@ -82,10 +89,10 @@ def lon_wrap(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(geo.to_pm180(lon), 6).alias("pm180"), F.round(geo.to_360(lon), 6).alias("full_circle"))
 
 
-@query(f"""with {GRID} select case when min(lon) >= -180 and max(lon) <= 180 then 'pm180' when min(lon) >= 0 and max(lon) <= 360 then '0..360' else 'mixed' end as convention from g
+@query(f"""with {TABLE_GRID} select case when min(lon) >= -180 and max(lon) <= 180 then 'pm180' when min(lon) >= 0 and max(lon) <= 360 then '0..360' else 'mixed' end as convention from g
     union all select case when min(lon + 360) >= -180 and max(lon + 360) <= 180 then 'pm180' when min(lon + 360) >= 0 and max(lon + 360) <= 360 then '0..360' else 'mixed' end from g""")
 def lon_convention(spark, sf_dir):
-    g = used_grid(spark, sf_dir)
+    g = table_grid(spark, sf_dir)
     return grid.lon_convention(g).union(grid.lon_convention(g.withColumn("lon", F.col("lon") + 360)))
 
 
@@ -126,45 +133,50 @@ def same_grid(spark, sf_dir):
     return rounded(rows[0].union(rows[1]).select("pair", "unmatched", "largest", "same"), "largest")
 
 
-@query(f"""with {GRID}, {METRICS} select 'regular' as kind, 8 as ny, 8 as nx, min(lat) as lat_min, max(lat) as lat_max, min(lon) as lon_min, max(lon) as lon_max, 'pm180' as convention, 'descending' as lat_order,
-    round((sum(dx) + sum(dy)) / (2 * count(*)) / 1000, 6) as spacing_km, false as periodic from ga""")
+@query(f"""with {TABLE_GRID}, {METRICS} select case when (select max(d) from (select max(lat) - min(lat) as d from g group by iy union all select max(lon) - min(lon) from g group by ix)) <= 1e-4 then 'regular' else 'curvilinear' end as kind, max(iy) + 1 as ny, max(ix) + 1 as nx, min(lat) as lat_min, max(lat) as lat_max, min(lon) as lon_min, max(lon) as lon_max,
+    case when min(lon) >= -180 and max(lon) <= 180 then 'pm180' when min(lon) >= 0 and max(lon) <= 360 then '0..360' else 'mixed' end as convention, case when arg_max(lat, iy) > arg_min(lat, iy) then 'ascending' else 'descending' end as lat_order,
+    round((sum(dx) + sum(dy)) / (2 * count(*)) / 1000, 6) as spacing_km, (select count(*) >= 3 and max(gap) < 1.5 * median(gap) from (select coalesce(lead(l) over (order by l), min(l) over () + 360) - l as gap from (select distinct (lon + 360) % 360 as l from g))) as periodic from ga""")
 def grid_summary(spark, sf_dir):
-    return rounded(grid.summary(used_grid(spark, sf_dir)), "spacing_km")
+    return rounded(grid.summary(table_grid(spark, sf_dir)), "spacing_km")
 
 
-@query(f"with {GRID} select iy, ix, round(2 * 7.292115e-5 * sin(radians(lat)) * 1e6, 6) as f_micro from g")
+@query(f"with {TABLE_GRID} select iy, ix, round(2 * 7.292115e-5 * sin(radians(lat)) * 1e6, 6) as f_micro from g")
 def coriolis_parameter(spark, sf_dir):
-    return used_grid(spark, sf_dir).select("iy", "ix", F.round(geo.coriolis("lat") * 1e6, 6).alias("f_micro"))
+    return table_grid(spark, sf_dir).select("iy", "ix", F.round(geo.coriolis("lat") * 1e6, 6).alias("f_micro"))
 
 
-@query(f"with {GRID} select distinct 'lat' as axis, iy as i, lat as value from g union all select distinct 'lon', ix, lon from g")
+@query(f"with {TABLE_GRID} select distinct 'lat' as axis, iy as i, lat as value from g union all select distinct 'lon', ix, lon from g")
 def grid_axes(spark, sf_dir):
-    return grid.axes(used_grid(spark, sf_dir))
+    return grid.axes(table_grid(spark, sf_dir))
 
 
 LAND = [(1, -30.1, 74.9, -28.4, 75.2), (1, -28.4, 75.2, -28.1, 72.3), (1, -28.1, 72.3, -30.2, 72.4), (1, -30.2, 72.4, -30.1, 74.9), (2, -27.2, 73.2, -26.3, 73.3), (2, -26.3, 73.3, -26.4, 71.2), (2, -26.4, 71.2, -27.2, 73.2)]
 
 
-@query(f"""with {GRID}, e(poly, x1, y1, x2, y2) as (values {', '.join(map(str, LAND))}),
-    x as (select iy, ix, poly, count(*) as n from g join e on ((y1 <= lat and lat < y2) or (y2 <= lat and lat < y1)) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon group by all)
-    select g.iy, g.ix, exists (select 1 from x where x.iy = g.iy and x.ix = g.ix and n % 2 = 1) as land from g""")
-def point_on_land(spark, sf_dir):
-    edges = spark.createDataFrame(LAND, "poly_id long, x1 double, y1 double, x2 double, y2 double")
-    return grid.on_land(used_grid(spark, sf_dir), edges, ["iy", "ix"]).select("iy", "ix", "land")
+_ROWS = "gr as (select c_custkey::int as iy, n_nationkey::int as ix, 75.3::double - 0.0001::double * ((c_custkey * 7919) % 40000) as lat, -30.4::double + 0.18::double * n_nationkey as lon from customer, nation)"
 
 
-_ROWS = "gr as (select c_custkey::int as iy, n_nationkey::int as ix, 75.3::double - 0.0001::double * ((c_custkey * 7919) % 40000) as lat, -30.4::double + 0.18::double * n_nationkey as lon from customer, nation)"
+def _scattered_rows(spark, sf_dir):
+    """A grid of a row for each customer and a column for each nation, the rows in no order."""
+    lat = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("iy"), (75.3 - 0.0001 * ((F.col("c_custkey") * 7919) % 40000)).alias("lat"))
+    lon = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("ix"), (-30.4 + 0.18 * F.col("n_nationkey")).alias("lon"))
+    return lat.crossJoin(F.broadcast(lon))  # 25 columns
+
+
+@query(f"""with {_ROWS}, e(poly, x1, y1, x2, y2) as (values {', '.join(map(str, LAND))}),
+    x as (select iy, ix, poly, count(*) as n from gr join e on ((y1 <= lat and lat < y2) or (y2 <= lat and lat < y1)) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon group by all)
+    select gr.iy, gr.ix, exists (select 1 from x where x.iy = gr.iy and x.ix = gr.ix and n % 2 = 1) as land from gr""")
+def point_on_land(spark, sf_dir):
+    edges = spark.createDataFrame(LAND, "poly_id long, x1 double, y1 double, x2 double, y2 double")
+    return grid.on_land(_scattered_rows(spark, sf_dir), edges, ["iy", "ix"]).select("iy", "ix", "land")
 
 
 @query(f"""with {_ROWS}, e(poly, x1, y1, x2, y2) as (values {', '.join(map(str, LAND))}),
     x as (select iy, ix, poly, count(*) as n from gr join e on ((y1 <= lat and lat < y2) or (y2 <= lat and lat < y1)) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon group by all)
     select gr.iy, gr.ix, exists (select 1 from x where x.iy = gr.iy and x.ix = gr.ix and n % 2 = 1) as land from gr""")
 def land_mask(spark, sf_dir):
-    """A grid of a row for each customer and a column for each nation."""
     edges = spark.createDataFrame(LAND, "poly_id long, x1 double, y1 double, x2 double, y2 double")
-    lat = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("iy"), (75.3 - 0.0001 * ((F.col("c_custkey") * 7919) % 40000)).alias("lat"))
-    lon = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("ix"), (-30.4 + 0.18 * F.col("n_nationkey")).alias("lon"))
-    return grid.land_mask(lat.crossJoin(F.broadcast(lon)), edges)  # 25 columns
+    return grid.land_mask(_scattered_rows(spark, sf_dir), edges)
 
 
 # ---- D: units, derived fields

@@ -23,6 +23,8 @@ def query(sql: str | None = None):
 #: The dense field of the vectors, and the grid that goes with it.
 FIELD = "f as (select 0 as segment, vec_id::int as t, (k // 8)::int as iy, (k % 8)::int as ix, embedding[k + 1]::double as v from embeddings, range(64) r(k))"
 GRID = "g as (select y::int as iy, x::int as ix, 75::double - 0.5::double * y as lat, -30::double + 0.5::double * x as lon from range(8) a(y), range(8) b(x))"
+#: A grid with a row for each customer and a column for each nation.
+TABLE_GRID = "g as (select (c_custkey - 1)::int as iy, n_nationkey::int as ix, 75.3::double - 0.0001::double * c_custkey as lat, -30::double + 0.5::double * n_nationkey as lon from customer, nation)"
 HOURLY = "h as (select 0 as segment, (floor((epoch_us(ts) - 1704067200000000) / 3.6e9))::bigint as hour_idx, (user_id % 10)::int as iy, ((user_id // 10) % 15)::int as ix, sum(value) as v from events group by all)"
 
 
