@@ -12,8 +12,9 @@ after a word that was never seen. So probabilities sum to one, but for chance in
 The model is a table of segments: the filter's bits, the exact counts of the segment's words
 (on which the base score rests), and the sums of what follows each. `bits_per_event` bits for
 each level entered make it grow with the input, and its error rate not. A pair is in the
-segment of its first word; where that is a frequent one (a list bounded by the number of
-segments), in one by its own hash, so that no word makes a segment large. Words are told apart
+segment of its first word; those of a frequent one (a list bounded by the number of
+segments) are dealt by their own hash to as many segments as its share asks for, so that no
+word makes a segment large. Words are told apart
 by 64-bit hashes, pairs after one word by 32-bit ones.
 
 Texts go in blocks, written once as token numbers under a number each, so that neither other
@@ -87,19 +88,19 @@ class Model:
     tokens: int  # in training
     types: int
     mass: float  # what the levels of all words stand for
-    frequent: dict[int, float]  # words whose pairs are in all segments, with what follows them
+    frequent: dict[int, tuple[float, int]]  # words whose pairs are in several segments: what follows them, and in how many
     false_rate: float  # mean over segments
     segments: int
 
     def save(self, path: str) -> None:
         self.table.write.parquet(f"{path}/segments")
-        row = (self.tokens, self.types, self.mass, [int(np.uint64(x).view(np.int64)) for x in self.frequent], list(self.frequent.values()), self.false_rate, self.segments)
-        self.table.sparkSession.createDataFrame([row], "tokens long, types long, mass double, words array<long>, follows array<double>, false_rate double, segments int").coalesce(1).write.parquet(f"{path}/totals")
+        row = (self.tokens, self.types, self.mass, [int(np.uint64(x).view(np.int64)) for x in self.frequent], [x for x, _ in self.frequent.values()], [x for _, x in self.frequent.values()], self.false_rate, self.segments)
+        self.table.sparkSession.createDataFrame([row], "tokens long, types long, mass double, words array<long>, follows array<double>, widths array<int>, false_rate double, segments int").coalesce(1).write.parquet(f"{path}/totals")
 
 
 def load(spark: SparkSession, path: str, params: LmParams = LmParams()) -> Model:
     t = spark.read.parquet(f"{path}/totals").first()
-    frequent = dict(zip((int(np.int64(x).view(_U)) for x in t.words), t.follows))
+    frequent = dict(zip((int(np.int64(x).view(_U)) for x in t.words), zip(t.follows, t.widths)))
     return Model(spark.read.parquet(f"{path}/segments"), params, t.tokens, t.types, t.mass, frequent, t.false_rate, t.segments)
 
 
@@ -206,11 +207,15 @@ class _Block:
         self.first = pairs // max(n, 1)
         h = mixed(self.words[self.first] * _U(0x9E3779B97F4A7C15) + self.words[pairs % max(n, 1)] + _U(0x2545F4914F6CDD1D))
         self.key = h >> _U(32)
-        at = np.minimum(np.searchsorted(frequent, self.words), max(len(frequent) - 1, 0))
-        often = (frequent[at] == self.words) if len(frequent) else np.zeros(n, bool)
+        known, widths = frequent
+        at = np.minimum(np.searchsorted(known, self.words), max(len(known) - 1, 0))
+        often = (known[at] == self.words) if len(known) else np.zeros(n, bool)
         self.frequent_of = at[self.first]
         spread = often[self.first]
-        segment = np.where(spread, mixed(h) >> self.bits, self.words[self.first] >> self.bits).astype(np.int64)
+        segment = self.words[self.first] >> self.bits
+        if spread.any():
+            segment[spread] = (segment[spread] + mixed(h[spread]) % widths[self.frequent_of[spread]]) % _U(segments)
+        segment = segment.astype(np.int64)
         # By segment, those of its own words first, in the order of words.
         self.order = np.lexsort((self.frequent_of * spread, spread, segment))
         self.spread = spread[self.order]
@@ -286,7 +291,7 @@ class _Asked:
         followers = [_large(x) for x in rows["followers"]]
         self.firsts = [np.repeat(w, n) for w, n in zip(self.words, followers)]
         self.far_keys = [np.frombuffer(x, "<u4").astype(_U) for x in rows["far_keys"]]
-        self.far_words = [frequent[_unplaned(x)] if len(frequent) else np.zeros(0, _U) for x in rows["far_words"]]
+        self.far_words = [frequent[0][_unplaned(x)] if len(frequent[0]) else np.zeros(0, _U) for x in rows["far_words"]]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and key of all pairs, as they were asked for block by block."""
@@ -340,7 +345,7 @@ def _fitted(blocks: DataFrame, frequent: np.ndarray, segments: int, params: LmPa
         sums = np.bincount((both >> _U(32)).astype(np.int64), weights=worth, minlength=len(starts))
         place = np.minimum(np.searchsorted(starts, words), max(len(starts) - 1, 0))
         follows = np.where(starts[place] == words, sums[place], 0.0) if len(starts) else np.zeros(len(words))
-        often = np.isin(starts, frequent)
+        often = np.isin(starts, frequent[0])
         out = {
             "segment": key[0], "words": words.astype("<u8").tobytes(), "counts": _small(counts), "follows": follows.astype("<f4").tobytes(), "bits": f.bits.tobytes(), "size": f.size, "false_rate": f.false_rate,
             "tokens": int(counts.sum()), "mass": float(stands_for(levels(f, words)).sum()), "frequent": starts[often].astype(np.int64).tolist(), "frequent_follows": sums[often].tolist(), "answer": None,
@@ -357,7 +362,7 @@ def _fitted(blocks: DataFrame, frequent: np.ndarray, segments: int, params: LmPa
 
 
 def _frequent(blocks: DataFrame, segments: int) -> np.ndarray:
-    """Hashes of words of which one in 4 * segments training tokens or more can be one: 8 * segments at most, those that have their share in some task."""
+    """Hashes of words whose share of the training tokens is a quarter of a segment's or more (4 * segments at most; of those that have half of that share in some task), and over how many segments their pairs are dealt: twice as many as their share, in all 8 * segments at most."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = {}, 0
@@ -372,16 +377,20 @@ def _frequent(blocks: DataFrame, segments: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(w, _U).astype(np.int64)), pa.array(np.array(c, np.int64)), pa.array([False] * len(out) + [True])], ["word", "n", "whole"])
 
     found = staged(blocks.mapInArrow(counted, "word long, n long, whole boolean").groupBy("whole", "word").agg(F.sum("n").alias("n")), "frequent")
-    n = found.where("whole").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = found.where(~F.col("whole") & (F.col("n") * 8 * segments >= max(n, 1))).select("word").collect()
-    return np.sort(np.array([r.word for r in rows], np.int64).view(_U))
+    n = max(1, found.where("whole").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rows = found.where(~F.col("whole") & (F.col("n") * 4 * segments >= n)).select("word", "n").collect()
+    words, shares = np.array([r.word for r in rows], np.int64).view(_U), np.array([r.n * segments / n for r in rows])
+    order = np.argsort(words)
+    widths = np.minimum(segments, np.maximum(1, 2 ** np.ceil(np.log2(np.maximum(2 * shares, 1)))))
+    return np.stack([words[order], widths[order].astype(_U)]) if len(rows) else np.zeros((2, 0), _U)
 
 
 def _model(rows: DataFrame, frequent: np.ndarray, segments: int, params: LmParams) -> Model:
     table = rows.where("answer is null")
     t = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0.0)), F.sum("false_rate"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
-    sums = table.select(F.inline(F.arrays_zip("frequent", "frequent_follows"))).groupBy("frequent").agg(F.sum("frequent_follows").alias("n")).collect()  # 8 * segments rows at most
-    follows = {int(x): 0.0 for x in frequent} | {int(np.int64(r.frequent).view(_U)): r.n for r in sums}
+    sums = table.select(F.inline(F.arrays_zip("frequent", "frequent_follows"))).groupBy("frequent").agg(F.sum("frequent_follows").alias("n")).collect()  # 4 * segments rows at most
+    sums = {int(np.int64(r.frequent).view(_U)): r.n for r in sums}
+    follows = {int(x): (sums.get(int(x), 0.0), int(k)) for x, k in frequent.T}
     return Model(table.select("segment", *(x.split(" ")[0] for x in _TABLE.split(", "))), params, t[0], t[3] // 8, t[1], follows, (t[2] or 0.0) / segments, segments)
 
 
@@ -417,7 +426,7 @@ def token_logs(model: Model, b: _Block, found: list[dict]) -> np.ndarray:
     if model.frequent:
         keys = np.array(list(model.frequent), _U)
         order = np.argsort(keys)
-        keys, sums = keys[order], np.array(list(model.frequent.values()))[order]
+        keys, sums = keys[order], np.array([x for x, _ in model.frequent.values()])[order]
         at = np.minimum(np.searchsorted(keys, b.words), len(keys) - 1)
         often = keys[at] == b.words
         follows, false = np.where(often, sums[at], follows), np.where(often, model.false_rate, false)
@@ -435,12 +444,18 @@ def _scored(model: Model, b: _Block, doc_ids: list, found: list[dict]) -> pd.Dat
     return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "n_tokens": b.sizes, "n_known": summed((c > 0).astype(np.int64)), "base_score": summed(base), "score": summed(logs)})
 
 
+def _known(model: Model) -> np.ndarray:
+    """Frequent words in order, and over how many segments their pairs are dealt."""
+    rows = sorted((w, k) for w, (_, k) in model.frequent.items())
+    return np.array(rows, _U).reshape(-1, 2).T.copy()
+
+
 def _bare(model: Model) -> Model:
     return Model(None, model.params, model.tokens, model.types, model.mass, model.frequent, model.false_rate, model.segments)
 
 
 def _joined(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
-    bare, frequent = _bare(model), np.sort(np.array(list(model.frequent), _U))
+    bare, frequent = _bare(model), _known(model)
 
     def scored(key: tuple, block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         (row,) = _whole([pa.RecordBatch.from_pandas(block.sort_values("piece")[["block", "piece", "pieces", "data"]], preserve_index=False)])
@@ -475,7 +490,7 @@ def looked_up(model: Model, b: _Block, table: dict[int, tuple], frequent: np.nda
 
 def _probed(blocks: DataFrame, model: Model) -> DataFrame:
     """Scores by a model that all workers have."""
-    bare, frequent = _bare(model), np.sort(np.array(list(model.frequent), _U))
+    bare, frequent = _bare(model), _known(model)
     sent = blocks.sparkSession.sparkContext.broadcast({r.segment: r.asDict() for r in model.table.collect()})  # broadcast_bytes at most
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +504,7 @@ def _probed(blocks: DataFrame, model: Model) -> DataFrame:
 
 def _asked(blocks: DataFrame, model: Model) -> DataFrame:
     """Scores by a model of any size: blocks ask its segments."""
-    bare, frequent = _bare(model), np.sort(np.array(list(model.frequent), _U))
+    bare, frequent = _bare(model), _known(model)
 
     def answered(key: tuple, rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         own = _loaded(table.to_dict("records")[0], bare.params) if len(table) else _empty(bare.params)
