@@ -12,7 +12,7 @@ from .operators import grid, label, objects, timeaxis
 from .operators.stencil import CELL
 from .plans import checks, jobs, trackers
 from .plans.config import CutOff, Jet, Mcs, River, Slp, Tropical
-from .queries import DOMAIN, LAND, NX, NY, OBJECTS, WITH, _tracker, _wind, _z, clouds, dense, found, full_grid, rounded, table, used_grid
+from .queries import _WEIGHTS, DOMAIN, LAND, NX, NY, OBJECTS, WITH, _tracker, _wind, _z, clouds, dense, found, full_grid, rounded, table, used_grid
 from .registry import FIELD, GRID, HOURLY, SQL, components, query
 from .sources import buckets, fields, sinks, streams
 from .sources import index as sources_index
@@ -529,12 +529,33 @@ def _tropical(spark, sf_dir):
     return trackers.tropical_cyclones(found(spark, sf_dir), f.withColumn("v", 275 - 40 * F.col("v")), f.withColumn("v", 101325 - 2000 * F.col("v")), full_grid(spark), DOMAIN, edges, _TC)
 
 
-@query()
+def _tc_sql(objects_of_field, pressure):
+    return f"""{objects_of_field}, {GRID}, {_WEIGHTS}, e(poly, x1, y1, x2, y2) as (values {', '.join(map(str, LAND))}),
+    big as (select obj, min(t) as t0, max(t) as t1, min(iy) as y0, max(iy) as y1, min(ix) as x0, max(ix) as x1 from l group by obj having max(t) - min(t) + 1 >= 2),
+    ce as (select obj, t, arg_min(iy * 8 + ix, (({pressure}) / 100, iy * 8 + ix)) as c, min(({pressure}) / 100) as low from l where obj in (select obj from big) group by obj, t),
+    co as (select ce.obj, ce.t, avg(275 - 40 * f.v) as core from ce join big using (obj) join f on f.t = ce.t and abs(f.iy - c // 8) <= 1 and abs(f.ix - c % 8) <= 1 and f.iy between y0 and y1 and f.ix between x0 and x1 group by all),
+    me as (select obj, t, avg(275 - 40 * v) as mean from l group by obj, t),
+    rw as (select b.obj, b.t, b.t - b.t0 as i, b.t1 - b.t0 + 1 as n, low, core, core - mean as delta, 75 - 0.5 * (c // 8) as lat, -30 + 0.5 * (c % 8) as lon
+        from (select obj, t0, t1, unnest(range(t0, t1 + 1)) as t from big) b left join ce using (obj, t) left join co using (obj, t) left join me using (obj, t)),
+    sm as (select a.obj, a.t, sum(k.w * s.delta) as smooth, count(s.delta) as m from rw a, k join rw s on s.obj = a.obj
+        and s.i = case when ((a.i + k.d) % (2 * a.n) + 2 * a.n) % (2 * a.n) < a.n then ((a.i + k.d) % (2 * a.n) + 2 * a.n) % (2 * a.n) else 2 * a.n - 1 - ((a.i + k.d) % (2 * a.n) + 2 * a.n) % (2 * a.n) end group by a.obj, a.t),
+    wa as (select rw.*, coalesce(m = 9 and smooth > 0.2, false) as warm from rw join sm using (obj, t)),
+    ok as (select obj from wa group by obj having min(abs(lat)) <= 80 and count(*) filter (where warm) >= 1 and count(*) filter (where low < 1012) >= 1),
+    go as (select obj, t, lat, lon, t - row_number() over (partition by obj order by t) as run from wa where obj in (select obj from ok) and warm and core > 250 and low < 1012 and abs(lat) <= 80),
+    fi as (select obj, run, arg_min(lat, t) as lat, arg_min(lon, t) as lon from go group by obj, run),
+    bo as (select distinct obj, run from (select obj, run, poly, count(*) as n from fi join e on ((y1 <= lat and lat < y2) or (y2 <= lat and lat < y1)) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon group by all) where n % 2 = 1),
+    gd as (select * from go anti join bo using (obj, run))"""
+
+
+_TC_SQL = _tc_sql(WITH, "101325 - 2000 * v")
+
+
+@query(f"{_TC_SQL} select l.obj as obj_id, l.t, l.iy, l.ix from l semi join gd using (obj, t)")
 def tc_objects(spark, sf_dir):
     return _tropical(spark, sf_dir)[0].select("obj_id", "t", "iy", "ix")
 
 
-@query()
+@query(f"{_TC_SQL} select 0 as segment, s.obj as obj_id, s.t, gd.lat, gd.lon from (select obj, unnest(range(min(t), max(t) + 1)) as t from gd group by obj) s left join gd on gd.obj = s.obj and gd.t = s.t")
 def tc_tracks(spark, sf_dir):
     return _tropical(spark, sf_dir)[1]
 
@@ -598,7 +619,11 @@ def year_job_ar_ivt(spark, sf_dir):
     return _kinds(spark, _job(spark, "ar_ivt", {"ivt": f}, full_grid(spark)), "ar_ivt", "rivers").drop("kind")
 
 
-@query()
+_SLP = _tracker("(101325 + 10000 * v) / 100", "< -5", 3, 2)
+_SLP_OBJECTS = f"with recursive {FIELD}, l as materialized (select q.obj_id as obj, f.* from ({_SLP}) q join f using (t, iy, ix))"
+
+
+@query(f"{_tc_sql(_SLP_OBJECTS, '101325 + 10000 * v')} select l.obj as obj_id, l.t, l.iy, l.ix from l semi join gd using (obj, t)")
 def year_job_tc(spark, sf_dir):
     """Surface cyclones tracked and published, tropical ones among them as they were read back."""
     msl = dense(spark, sf_dir).select(*CELL, (101325 + 10000 * F.col("v")).alias("msl"))
