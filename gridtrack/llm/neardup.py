@@ -178,7 +178,10 @@ def _led(rows: DataFrame, group: str, payload: str, near: Callable[[pd.Series, p
     tree = linked.join(best, [group, "lead"]).select(group, "key", F.lit(True).alias("tree")).union(best.select(group, F.col("lead").alias("key"), F.lit(True)))
     told = large.join(tree, [group, "key"], "left").join(best.select(group, "in_tree"), group, "left").fillna({"tree": False, "in_tree": 0})
     told = told.withColumn("apart", F.col("n") - F.col("in_tree")).where("apart > 0")
-    return linked.select(F.col("lead").alias("a"), F.col("key").alias("b")), small.unionByName(told.select(*small.columns))
+    # An edge a member, to the first leader that it is near, and what joins leaders.
+    first = linked.groupBy(group, "key").agg(F.min("lead").alias("a"), F.collect_set("lead").alias("leads"))
+    edges = first.select("a", F.col("key").alias("b")).union(first.where("size(leads) > 1").select("a", F.explode("leads").alias("b")).where("a <> b")).distinct()
+    return edges, small.unionByName(told.select(*small.columns))
 
 
 def _candidates(buckets: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
