@@ -13,7 +13,7 @@ from .operators.stencil import CELL
 from .plans import checks, jobs, trackers
 from .plans.config import CutOff, Jet, Mcs, River, Slp, Tropical
 from .queries import _WEIGHTS, DOMAIN, LAND, NX, NY, OBJECTS, WITH, _tracker, _wind, _z, clouds, dense, found, full_grid, rounded, table, used_grid
-from .registry import FIELD, GRID, HOURLY, SQL, components, query
+from .registry import FIELD, GRID, HOURLY, METRICS, SQL, components, query
 from .sources import buckets, fields, sinks, streams
 from .sources import index as sources_index
 from .storage import file_system, shared_dir, staged
@@ -485,16 +485,36 @@ def _rain(spark, sf_dir):
     return f.withColumn("v", 60 * F.col("v")), f.withColumn("v", 260 - 100 * F.col("v"))
 
 
-@query()
+def _large(src, out):
+    return f"{out} as materialized (select {src}.* from {src} where obj in (select obj from {src} join ga using (iy, ix) group by obj, t having sum(area) >= 1e9))"
+
+
+_MCS_SQL = f"""with recursive {FIELD}, {GRID}, {METRICS}, w as (select t, iy, ix, 60 * v as v from f), b as (select t, iy, ix, 260 - 100 * v as v from f),
+    c as (select * from w where v >= 12), d as (select * from b where v <= 250), {components('c', 'l0')}, {components('d', 'q0')}, {_large('l0', 'l')}, {_large('q0', 'q')},
+    r as (select obj, t, sum(area) as rain_area, max(v) as peak from l join ga using (iy, ix) group by all), bs as (select obj, max(peak) as best, count(*) as n from r group by obj),
+    bx as (select obj, min(iy) as y0, max(iy) as y1, min(ix) as x0, max(ix) as x1 from l group by obj),
+    lo as (select r.obj, r.t, coalesce(min(q.v), 999) as low from r join bx using (obj) left join q on q.t = r.t and q.iy between y0 and y1 and q.ix between x0 and x1 group by all),
+    pr as (select distinct l.obj, q.obj as cloud from l join q using (t, iy, ix)), ca as (select r.obj, r.t, sum(area) as cloud_area from r join pr using (obj) join q on q.obj = pr.cloud and q.t = r.t join ga on ga.iy = q.iy and ga.ix = q.ix group by all),
+    hi as (select r.obj, r.t, r.t - row_number() over (partition by r.obj order by r.t) as run from r join bs using (obj) join lo using (obj, t) left join ca using (obj, t) where coalesce(cloud_area, 0) >= 8e8 and low <= 242 and rain_area >= 8e8 and peak >= 12 and best >= 15 and n >= 2),
+    ke as (select distinct obj from (select obj from hi group by obj, run having count(*) >= 2)), nu as (select obj, row_number() over (order by obj) as new from (select distinct obj from l)),
+    sy as materialized (select t, iy, ix, v, new from l join nu using (obj) where obj in (select obj from ke))"""
+
+
+@query(f"{_MCS_SQL} select new as obj_id, t, iy, ix from sy")
 def mcs_systems(spark, sf_dir):
     pr, bt = _rain(spark, sf_dir)
     return trackers.mcs(pr, bt, full_grid(spark), DOMAIN, _MCS)[1].select("obj_id", "t", "iy", "ix")
 
 
-@query()
+@query(f"""{_MCS_SQL}, {components('(select t, iy, ix, v from sy)', 'mg')},
+    st as (select obj, t, sum(area) as size, min(v) as min, max(v) as max, avg(v) as mean, sum(v) as tot, avg(iy) as cy, avg(ix) as cx from mg join ga using (iy, ix) group by all),
+    bo as (select obj, min(iy) as y0, max(iy) as y1, min(ix) as x0, max(ix) as x1 from mg group by obj),
+    rd as (select st.*, least(greatest(round_even(cy - y0, 0) + y0, y0), y1)::int as iy, least(greatest(round_even(cx - x0, 0) + x0, x0), x1)::int as ix from st join bo using (obj)),
+    sp as (select rd.*, case when lag(t) over w = t - 1 then sqrt(pow(cy - lag(cy) over w, 2) + pow(cx - lag(cx) over w, 2)) * 50 end as speed from rd window w as (partition by obj order by t))
+    select 0 as segment, obj as obj_id, t, round(size, 0) as size, round(min, 6) as min, round(max, 6) as max, round(mean, 6) as mean, round(tot, 6) as tot, round(cy, 6) as cy, round(cx, 6) as cx, lat, lon, round(speed, 6) as speed, round(speed / 6, 6) as speed_kmh from sp join ga using (iy, ix)""")
 def mcs_statistics(spark, sf_dir):
     pr, bt = _rain(spark, sf_dir)
-    return rounded(trackers.mcs(pr, bt, full_grid(spark), DOMAIN, _MCS)[0], "mean", "tot", "cy", "cx", "speed")
+    return rounded(trackers.mcs(pr, bt, full_grid(spark), DOMAIN, _MCS)[0], "min", "max", "mean", "tot", "cy", "cx", "speed", "speed_kmh").withColumn("size", F.round("size", 0))
 
 
 def _south(spark):
