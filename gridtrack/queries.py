@@ -431,16 +431,22 @@ def nearest_before(spark, sf_dir):
     return split.nearest_before(pieces, 3.0).drop("segment")
 
 
-@query(f"""{_REGION}, oc as (select k.t, k.own, y, x from (select distinct t, own from p) k, range(8) a(y), range(8) b(x) where not exists (select 1 from p where p.t = k.t and p.own = k.own and p.iy = y and p.ix = x)),
+def split_sql(src: str, far: float) -> str:
+    """CTEs for objects split where parts are far apart and followed by nearest centres: so (obj, t, iy, ix). src has obj."""
+    return f"""{components(f'(select t, iy, ix, obj as own from {src})', 'p', '2d4', key='own')},
+    oc as (select k.t, k.own, y, x from (select distinct t, own from p) k, range(8) a(y), range(8) b(x) where not exists (select 1 from p where p.t = k.t and p.own = k.own and p.iy = y and p.ix = x)),
     dd as (select p.t, p.own, p.obj as part, p.iy, p.ix, min(sqrt(pow(p.iy - oc.y, 2) + pow(p.ix - oc.x, 2))) as d from p left join oc on oc.t = p.t and oc.own = p.own group by all),
     mid as (select t, own, part, avg(iy) as cy, avg(ix) as cx, max(coalesce(d, 'inf'::double)) as depth from dd group by all),
-    apart as (select distinct b.t, b.own, b.part from mid a join mid b on a.t = b.t and a.own = b.own and a.part < b.part where sqrt(pow(a.cy - b.cy, 2) + pow(a.cx - b.cx, 2)) > 3 or (a.depth > 3 and b.depth > 3)),
+    apart as (select distinct b.t, b.own, b.part from mid a join mid b on a.t = b.t and a.own = b.own and a.part < b.part where sqrt(pow(a.cy - b.cy, 2) + pow(a.cx - b.cx, 2)) > {far} or (a.depth > {far} and b.depth > {far})),
     named as (select m.t, m.own, m.part, case when a.part is not null then m.part else min(m.part) over (partition by m.t, m.own) end as piece from mid m left join apart a using (t, own, part)),
     pc as materialized (select p.t, p.iy, p.ix, n.piece from p join named n on n.t = p.t and n.own = p.own and n.part = p.obj),
-    m as (select t, piece, avg(iy) as y, avg(ix) as x from pc group by all), n as (select b.t, b.piece, a.piece as parent, sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) as d from m a join m b on b.t = a.t + 1),
-    k as materialized (select m.t, m.piece, w.parent from m left join (select * from n where d < 3 qualify row_number() over (partition by t, piece order by d, parent) = 1) w using (t, piece)),
-    r(t, piece, root) as (select t, piece, piece from k where parent is null union all select k.t, k.piece, r.root from k join r on r.t = k.t - 1 and r.piece = k.parent)
-    select 0 as segment, r.root as obj_id, pc.t, pc.iy, pc.ix from pc join r using (t, piece)""")
+    mp as (select t, piece, avg(iy) as y, avg(ix) as x from pc group by all), np as (select b.t, b.piece, a.piece as parent, sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) as d from mp a join mp b on b.t = a.t + 1),
+    kp as materialized (select mp.t, mp.piece, w.parent from mp left join (select * from np where d < {far} qualify row_number() over (partition by t, piece order by d, parent) = 1) w using (t, piece)),
+    rp(t, piece, root) as (select t, piece, piece from kp where parent is null union all select kp.t, kp.piece, rp.root from kp join rp on rp.t = kp.t - 1 and rp.piece = kp.parent),
+    so as materialized (select rp.root as obj, pc.t, pc.iy, pc.ix from pc join rp using (t, piece))"""
+
+
+@query(f"{LOW}, {split_sql('l', 3)} select 0 as segment, obj as obj_id, t, iy, ix from so")
 def split_objects(spark, sf_dir):
     return split.split_objects(found(spark, sf_dir, 0.15), NY, NX, 3)
 

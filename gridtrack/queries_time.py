@@ -12,8 +12,8 @@ from .operators import grid, label, objects, timeaxis
 from .operators.stencil import CELL
 from .plans import checks, jobs, trackers
 from .plans.config import CutOff, Jet, Mcs, River, Slp, Tropical
-from .queries import _WEIGHTS, DOMAIN, LAND, NX, NY, OBJECTS, WITH, _tracker, _wind, _z, clouds, dense, found, full_grid, rounded, table, used_grid
-from .registry import FIELD, GRID, HOURLY, METRICS, SQL, components, query
+from .queries import _WEIGHTS, DOMAIN, LAND, NX, NY, OBJECTS, WITH, _tracker, _wind, _z, clouds, dense, found, full_grid, rounded, split_sql, table, used_grid
+from .registry import FIELD, GRID, HOURLY, METRICS, SQL, components, haversine, query
 from .sources import buckets, fields, sinks, streams
 from .sources import index as sources_index
 from .storage import file_system, shared_dir, staged
@@ -525,7 +525,25 @@ def _lows(spark, sf_dir):
     return staged(label.label(dense(spark, sf_dir).where("v < -0.2"), NY, NX), "lows")
 
 
-@query()
+def _centres_sql(src, u, region):
+    """CTEs for the centres of cyclones (obj, t, iy, ix) and whether a step passes the rules of a cut-off low: oks."""
+    return f"""sg as (select y::int as iy, x::int as ix, 46::double - y as lat, -12::double + x as lon from range(8) a(y), range(8) b(x)), zz as (select t, iy, ix, 53000 + 12000 * v as z, {u} as u from f),
+    bb as (select obj, greatest(min(iy) - 3, 0) as y0, least(max(iy) + 3, 7) as y1, greatest(min(ix) - 3, 0) as x0, least(max(ix) + 3, 7) as x1 from {src} group by obj),
+    cn as (select s.obj, s.t, (arg_min(s.iy * 8 + s.ix, (z, s.iy * 8 + s.ix)) // 8)::int as cy, (arg_min(s.iy * 8 + s.ix, (z, s.iy * 8 + s.ix)) % 8)::int as cx, min(z) as low from {src} s join zz on zz.t = s.t and zz.iy = s.iy and zz.ix = s.ix group by s.obj, s.t),
+    ce as (select cn.*, y0, y1, x0, x1, lat, lon, greatest(y0, cy - 3) as wy0, least(y1, cy + 3) as wy1, greatest(x0, cx - 3) as wx0, least(x1, cx + 3) as wx1 from cn join bb using (obj) join sg on sg.iy = cy and sg.ix = cx),
+    ri as (select ce.obj, ce.t, count(*) as ring, count(*) filter (where zz.z - ce.low > 20 * 9.81::double) as high from ce join zz on zz.t = ce.t and zz.iy between wy0 and wy1 and zz.ix between wx0 and wx1 join sg g on g.iy = zz.iy and g.ix = zz.ix
+        where abs({haversine('ce.lat', 'ce.lon', 'g.lat', 'g.lon')} - 150000) <= 200000 group by all),
+    po as (select ce.obj, ce.t, count(*) as n, min(zz.u) as least from ce join zz on zz.t = ce.t and zz.ix = cx and zz.iy between wy0 and cy - 1 group by all),
+    sh as (select ce.obj, ce.t, count(*) filter (where abs(s.iy - cy) <= 3 and abs(s.ix - cx) <= 3 and not (g.lat between 25 and 60 and g.lon between -29 and 19)) as stray, count(*) filter (where s.iy in (0, 7) or s.ix in (0, 7)) as border,
+        (round_even(avg(s.iy) - any_value(y0), 0) + any_value(y0))::int as my, (round_even(avg(s.ix) - any_value(x0), 0) + any_value(x0))::int as mx from ce join {src} s on s.obj = ce.obj and s.t = ce.t join sg g on g.iy = s.iy and g.ix = s.ix group by ce.obj, ce.t),
+    oks as (select ce.obj, ce.t, cy, cx, abs(ce.lat) between 20 and 70 and greatest(abs(46 - wy0), abs(46 - wy1)) <= 88 and stray = 0 and coalesce(high, 0) >= 0.5 * coalesce(ring, 0) and coalesce(n, 0) > 0 and coalesce(least <= 0, false) and low / 9.81 <= 9999
+        and g.lon between {region[0]} and {region[1]} and g.lat between {region[2]} and {region[3]} and border = 0 as ok from ce left join ri using (obj, t) left join po using (obj, t) join sh using (obj, t) join sg g on g.iy = my and g.ix = mx)"""
+
+
+_LOWS_SQL = f"with recursive {FIELD}, c as (select * from f where v < -0.2), {components('c', 'l')}"
+
+
+@query(f"{_LOWS_SQL}, {split_sql('l', 2)}, {_centres_sql('so', '10 * v', (-12.0, -5.0, 39.0, 46.0))} select obj as obj_id, so.t, so.iy, so.ix from so semi join (select obj, t from oks where ok) k using (obj, t)")
 def cutoff_lows(spark, sf_dir):
     z = dense(spark, sf_dir).withColumn("v", 53000 + 12000 * F.col("v"))
     u = dense(spark, sf_dir).withColumn("v", 10 * F.col("v"))
@@ -533,7 +551,7 @@ def cutoff_lows(spark, sf_dir):
     return trackers.cut_off_lows(_lows(spark, sf_dir), z, u, _south(spark), trackers.Domain(NY, NX, 100_000.0), p).select("obj_id", "t", "iy", "ix")
 
 
-@query()
+@query(f"{_LOWS_SQL}, {_centres_sql('l', 'v', (-15.0, 10.0, 30.0, 45.0))} select obj as obj_id, t, cy as iy, cx as ix, ok from oks")
 def cutoff_centres(spark, sf_dir):
     z = dense(spark, sf_dir).withColumn("v", 53000 + 12000 * F.col("v"))
     p = CutOff(split_km=200.0, buffer_km=300.0, ring_km=150.0, ring_rise=20.0, ring_share=0.5, life_h=6.0)
