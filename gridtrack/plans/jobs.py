@@ -95,6 +95,8 @@ def run(name: str, streams: Streams, grid: DataFrame, domain: Domain, path: str,
     spark = grid.sparkSession
     segments = own[job.streams[0]].select("segment").distinct()
     todo = segments if force else missing_segments(segments, spark, f"{path}/tracker={name}")
+    if todo.isEmpty():
+        return []
     own = {s: rows.join(F.broadcast(todo), "segment", "left_semi") for s, rows in own.items()}  # a number for each year
     out = job.fields(own)
     out = out.select(*CELL, *(F.col(c).cast("float").alias(c) for c in out.columns if c not in CELL))

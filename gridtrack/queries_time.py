@@ -672,7 +672,13 @@ def year_job_tc(spark, sf_dir):
     return jobs.objects_of(at, "tc", "cyclones", spark).drop("segment")
 
 
-@query()
+_Z100 = _tracker("(53000 + 12000 * v) / 9.81", "< -80", 1, 2, 31)
+
+
+@query(f"""with recursive {FIELD}, {HOURLY}, l as materialized (select obj_id as obj, t, iy, ix from ({_Z100}) q), {split_sql('l', 2)}, {_centres_sql('so', '10 * v', (-12.0, -5.0, 39.0, 46.0))},
+    cu as (select so.* from so semi join (select obj, t from oks where ok) k using (obj, t)), ra as (select (hour_idx // 6)::int as t, iy, ix, sum(v) as pr, max(v) as peak from h where iy < 8 and ix < 8 group by all having count(*) = 6)
+    select f.t, f.iy, f.ix, coalesce(l.obj, 0)::int as cyclones, coalesce(cu.obj, 0)::int as cutoffs, round((53000 + 12000 * f.v)::float::double, 3) as z, round(coalesce(pr, 0)::float::double, 4) as pr, round(coalesce(peak, 0)::float::double, 4) as pr_peak
+    from f left join l using (t, iy, ix) left join cu using (t, iy, ix) left join ra using (t, iy, ix) where l.obj is not null or cu.obj is not null or pr > 0""")
 def cutoff_job(spark, sf_dir):
     """Cyclones, cut-off lows among them, and rain from hourly events on the cells, published; a second run writes nothing."""
     z = dense(spark, sf_dir).select(*CELL, (53000 + 12000 * F.col("v")).alias("z"))
@@ -684,4 +690,4 @@ def cutoff_job(spark, sf_dir):
     at, given = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}", {"z500": z, "z200": u, "pr": rain}
     for _ in range(2):
         jobs.run("cutoff", given, g, d, at, p, {s: g for s in given})
-    return spark.read.parquet(f"{at}/tracker=cutoff").where("cutoffs > 0 or cyclones > 0 or pr > 0").select("t", "iy", "ix", "cyclones", "cutoffs", "z", "pr", "pr_peak")
+    return spark.read.parquet(f"{at}/tracker=cutoff").where("cutoffs > 0 or cyclones > 0 or pr > 0").select("t", "iy", "ix", "cyclones", "cutoffs", F.round(F.col("z").cast("double"), 3).alias("z"), *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("pr", "pr_peak")))
