@@ -18,19 +18,21 @@ def regions(objects: DataFrame, ny: int, nx: int) -> DataFrame:
 
 
 def depths(inside: np.ndarray) -> np.ndarray:
-    """Distance of each cell to the nearest cell that is not inside, 0 there; exact. Infinite where all cells are inside.
+    """Distance of each cell to the nearest cell that is not inside, 0 there; exact. Infinite where all cells are inside. inside: a grid, or many of one shape, each for itself.
 
     First along rows; then, of the parabolas that the rows' distances put over a column, the lower
-    envelope, all columns at once: a row is entered once and leaves once, so time is linear in cells.
+    envelope, all columns of all grids at once: a row is entered once and leaves once, so time is linear in cells.
     """
-    ny, nx = inside.shape
+    *many, ny, nx = inside.shape
     far = float(ny + nx)
     at = np.arange(nx, dtype=float)
-    left = np.maximum.accumulate(np.where(inside, -np.inf, at), axis=1)
-    right = np.minimum.accumulate(np.where(inside, np.inf, at)[:, ::-1], axis=1)[:, ::-1]
+    left = np.maximum.accumulate(np.where(inside, -np.inf, at), axis=-1)
+    right = np.minimum.accumulate(np.where(inside, np.inf, at)[..., ::-1], axis=-1)[..., ::-1]
     along = np.minimum(np.minimum(at - left, right - at), far * 2) ** 2
-    columns = np.arange(nx)
-    rows, begins, last = np.zeros((ny, nx), np.int64), np.full((ny + 1, nx), np.inf), np.zeros(nx, np.int64)
+    along = np.moveaxis(along, -2, 0).reshape(ny, -1)
+    n = along.shape[1]
+    columns = np.arange(n)
+    rows, begins, last = np.zeros((ny, n), np.int64), np.full((ny + 1, n), np.inf), np.zeros(n, np.int64)
     begins[0] = -np.inf
 
     def meets(y: int, cols: np.ndarray) -> np.ndarray:
@@ -49,26 +51,49 @@ def depths(inside: np.ndarray) -> np.ndarray:
             todo = todo[off]
             last[todo] -= 1
         begins[np.minimum(last + 1, ny), columns] = np.inf
-    out, k = np.empty((ny, nx)), np.zeros(nx, np.int64)
+    out, k = np.empty((ny, n)), np.zeros(n, np.int64)
     for y in range(ny):
         while (step := begins[k + 1, columns] < y).any():
             k += step
         p = rows[k, columns]
         out[y] = (y - p) ** 2 + along[p, columns]
-    return np.where(out > far * far, np.inf, np.sqrt(out))
-
-
-def interior(cells: DataFrame, ny: int, nx: int) -> DataFrame:
-    """segment, t, obj_id, part, depth: the largest distance of a region's cell from the nearest cell of the grid outside its object; what lies beyond the grid is not outside."""
+    return np.moveaxis(np.where(out > far * far, np.inf, np.sqrt(out)).reshape(ny, *many, nx), 0, -2)
+
+
+def cell_depths(objects: np.ndarray, iy: np.ndarray, ix: np.ndarray, ny: int, nx: int, most: int = 1 << 20) -> np.ndarray:
+    """Depth of each cell in its object; objects: numbers from 0 on, in rising order. Boxes of like size are worked on together, some `most` cells at a time."""
+    first = np.flatnonzero(np.append(True, np.diff(objects) != 0))
+    y0, x0 = (np.maximum(np.minimum.reduceat(c, first) - 1, 0) for c in (iy, ix))
+    h, w = (np.minimum(np.maximum.reduceat(c, first) + 2, n) - lo for c, n, lo in ((iy, ny, y0), (ix, nx, x0)))
+    # Sides are rounded up to powers of two; what is added counts as inside, and so is nearest to nothing.
+    sides = np.stack([1 << np.ceil(np.log2(s)).astype(np.int64) for s in (h, w)])
+    out, count = np.empty(len(iy)), np.diff(np.append(first, len(iy)))
+    for high, wide in np.unique(sides, axis=1).T.tolist():
+        alike = np.flatnonzero((sides[0] == high) & (sides[1] == wide))
+        each = max(1, most // (high * wide))
+        for at in range(0, len(alike), each):
+            some = alike[at : at + each]
+            inside = (np.arange(high)[:, None] >= h[some, None, None]) | (np.arange(wide) >= w[some, None, None])
+            n = count[some]
+            cells = np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = (np.repeat(np.arange(len(some)), n), iy[cells] - np.repeat(y0[some], n), ix[cells] - np.repeat(x0[some], n))
+            inside[place] = True
+            out[cells] = depths(inside)[place]
+    return out
+
+
+def interior(cells: DataFrame, ny: int, nx: int, block_cells: int = 1 << 16) -> DataFrame:
+    """segment, t, obj_id, part, depth: the largest distance of a region's cell from the nearest cell of the grid outside its object; what lies beyond the grid is not outside. A task works on a block of steps, some block_cells cells (one step at least), many objects at once."""
+    names, steps = ["segment", "t", "obj_id", "part"], max(1, block_cells // (ny * nx))
 
     def deepest(rows: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = max(0, rows["iy"].min() - 1), max(0, rows["ix"].min() - 1)
-        inside = np.zeros((min(ny, rows["iy"].max() + 2) - y0, min(nx, rows["ix"].max() + 2) - x0), bool)
-        inside[rows["iy"] - y0, rows["ix"] - x0] = True
-        rows = rows.assign(depth=depths(inside)[rows["iy"] - y0, rows["ix"] - x0])
-        return rows.groupby(["segment", "t", "obj_id", "part"], as_index=False)["depth"].max()
+        rows = rows.sort_values(["t", "obj_id"])
+        new = np.append(False, (np.diff(rows["t"]) != 0) | (np.diff(rows["obj_id"]) != 0))
+        rows = rows.assign(depth=cell_depths(np.cumsum(new), rows["iy"].to_numpy(), rows["ix"].to_numpy(), ny, nx))
+        return rows.groupby(names, as_index=False)["depth"].max()
 
-    return cells.select("segment", "t", "obj_id", "part", "iy", "ix").groupBy("segment", "t", "obj_id").applyInPandas(deepest, "segment int, t int, obj_id long, part long, depth double")
+    rows = cells.select(*names, "iy", "ix", F.floor(F.col("t") / steps).alias("block"))
+    return rows.groupBy("segment", "block").applyInPandas(deepest, "segment int, t int, obj_id long, part long, depth double")
 
 
 def split_far(objects: DataFrame, ny: int, nx: int, distance: float) -> DataFrame:

@@ -234,3 +234,21 @@ def test_mcs(spark):
     stats, found = trackers.mcs(pr, bt, grid, d)
     assert found.count() == 6 * 9 and stats.count() == 6
     assert trackers.mcs(pr, bt.withColumn("v", F.lit(280.0)), grid, d)[1].count() == 0
+
+
+def test_depths_of_many_objects_at_once(spark):
+    rng, rows, far = random.Random(5), [], {}
+    for t in range(40):
+        owner = {(y, x): rng.choice([0, 1, 1, 2]) if t else 1 for y in range(NY) for x in range(NX)}
+        for o in (1, 2):
+            inside = [c for c, w in owner.items() if w == o]
+            rows += [(0, t, o, y, y, x) for y, x in inside]
+            for y, x in inside:
+                d = min((math.dist((y, x), c) for c, w in owner.items() if w != o), default=math.inf)
+                far[t, o, y] = max(far.get((t, o, y), 0), d)
+    cells = spark.createDataFrame(rows, "segment int, t int, obj_id long, part long, iy int, ix int")
+    for block in (1, 1 << 16):
+        got = {(r.t, r.obj_id, r.part): r.depth for r in split.interior(cells, NY, NX, block).collect()}
+        assert got == pytest.approx(far)
+    calls = split.interior(cells, NY, NX)._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" in calls.split("FlatMapGroupsInPandas")[1].split("\n")[0]  # a task's call is a block of steps, not an object's step
