@@ -22,7 +22,9 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
 
 
 def to_pm180(lon) -> Column:
-    return F.pmod(_col(lon) + 180.0, F.lit(360.0)) - 180.0
+    """lon in [-180, 180); what lies there stays as it is, to the last digit."""
+    x = _col(lon)
+    return F.when((x >= -180.0) & (x < 180.0), x.cast("double")).otherwise(F.pmod(x + 180.0, F.lit(360.0)) - 180.0)
 
 
 def to_360(lon) -> Column:

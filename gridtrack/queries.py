@@ -153,6 +153,8 @@ def grid_axes(spark, sf_dir):
 LAND = [(1, -30.1, 74.9, -28.4, 75.2), (1, -28.4, 75.2, -28.1, 72.3), (1, -28.1, 72.3, -30.2, 72.4), (1, -30.2, 72.4, -30.1, 74.9), (2, -27.2, 73.2, -26.3, 73.3), (2, -26.3, 73.3, -26.4, 71.2), (2, -26.4, 71.2, -27.2, 73.2)]
 
 
+#: Corners as doubles: bare numbers would be decimals, whose differences and quotients are other numbers than the query's.
+_EDGES = f"e(poly, x1, y1, x2, y2) as (values {', '.join(str((p, *(f'{c}::double' for c in xy))).replace(chr(39), '') for p, *xy in LAND)})"
 _ROWS = "gr as (select c_custkey::int as iy, n_nationkey::int as ix, 75.3::double - 0.0001::double * ((c_custkey * 7919) % 40000) as lat, -30.4::double + 0.18::double * n_nationkey as lon from customer, nation)"
 
 
@@ -163,7 +165,7 @@ def _scattered_rows(spark, sf_dir):
     return lat.crossJoin(F.broadcast(lon))  # 25 columns
 
 
-@query(f"""with {_ROWS}, e(poly, x1, y1, x2, y2) as (values {', '.join(map(str, LAND))}),
+@query(f"""with {_ROWS}, {_EDGES},
     x as (select iy, ix, poly, count(*) as n from gr join e on ((y1 <= lat and lat < y2) or (y2 <= lat and lat < y1)) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon group by all)
     select gr.iy, gr.ix, exists (select 1 from x where x.iy = gr.iy and x.ix = gr.ix and n % 2 = 1) as land from gr""")
 def point_on_land(spark, sf_dir):
@@ -171,7 +173,7 @@ def point_on_land(spark, sf_dir):
     return grid.on_land(_scattered_rows(spark, sf_dir), edges, ["iy", "ix"]).select("iy", "ix", "land")
 
 
-@query(f"""with {_ROWS}, e(poly, x1, y1, x2, y2) as (values {', '.join(map(str, LAND))}),
+@query(f"""with {_ROWS}, {_EDGES},
     x as (select iy, ix, poly, count(*) as n from gr join e on ((y1 <= lat and lat < y2) or (y2 <= lat and lat < y1)) and x1 + (lat - y1) / (y2 - y1) * (x2 - x1) > lon group by all)
     select gr.iy, gr.ix, exists (select 1 from x where x.iy = gr.iy and x.ix = gr.ix and n % 2 = 1) as land from gr""")
 def land_mask(spark, sf_dir):

@@ -111,3 +111,19 @@ def test_canonicalise_refuses_what_it_cannot_do(spark):
         checks.canonicalise(h, mapping, "z", "m", "v", 6, 12)
     rows = checks.canonicalise(h, mapping, "z", "m", "v", 6, 12, may_interpolate=True).orderBy("hour_idx").collect()
     assert [round(r.v / 9.81, 6) for r in rows] == [0, 6, 12, 18, 24]
+
+
+def test_longitudes_in_range_keep_their_digits(spark):
+    x = [-30.4 + 0.18 * n for n in range(25)] + [-180.0, 179.9]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", geo.to_pm180("x").alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == x
+
+
+def test_land_sql_states_the_query_rule_in_doubles():
+    import duckdb
+
+    from gridtrack import queries
+
+    c = duckdb.connect()
+    kinds = c.execute(f"with {queries._EDGES} select distinct typeof(x1), typeof(y1), typeof(x2), typeof(y2) from e").fetchall()
+    assert kinds == [("DOUBLE",) * 4]
