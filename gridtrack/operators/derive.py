@@ -9,10 +9,10 @@ from ..functions.geo import coriolis
 from .stencil import CELL, LINE, box_mean
 
 
-def anomaly(field: DataFrame, small: float, time: float, large: float, value: str = "v", wrap_lon: bool = False) -> DataFrame:
-    """A small box mean less a background mean (time steps, large box)."""
-    background = box_mean(field, time, large, (value,), wrap_lon).select(*CELL, F.col(value).alias("__b"))
-    return box_mean(field, 1, small, (value,), wrap_lon).join(background, list(CELL)).select(*CELL, (F.col(value) - F.col("__b")).alias("anom"))
+def anomaly(field: DataFrame, small: float, time: float, large: float, value: str = "v", wrap_lon: bool = False, shape: tuple[int, int] | None = None) -> DataFrame:
+    """A small box mean less a background mean (time steps, large box). shape: as in box_mean."""
+    background = box_mean(field, time, large, (value,), wrap_lon, shape).select(*CELL, F.col(value).alias("__b"))
+    return box_mean(field, 1, small, (value,), wrap_lon, shape).join(background, list(CELL)).select(*CELL, (F.col(value) - F.col("__b")).alias("anom"))
 
 
 def mask_by_label(field: DataFrame, labels: DataFrame, value: str = "v") -> DataFrame:

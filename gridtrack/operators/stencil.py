@@ -21,10 +21,14 @@ def odd_window(size: float) -> int:
     return n if n % 2 else n + 1
 
 
+def _lengths(field: DataFrame, axis: str) -> DataFrame:
+    """field with the length of each cell's line along axis, `__n`."""
+    return field.withColumn("__n", (F.max(axis).over(Window.partitionBy(*LINE[axis])) + 1).cast("long"))
+
+
 def padded(field: DataFrame, axis: str, reach: int, wrap: bool = False) -> DataFrame:
-    """field with each line continued by reach cells on both sides (`__pos` is the place): mirrored with the edge cell repeated, again and again if need be, or going round."""
-    n = F.max(axis).over(Window.partitionBy(*LINE[axis])) + 1
-    rows = field.withColumn("__n", n.cast("long"))
+    """field with each line continued by reach cells on both sides (`__pos` is the place): mirrored with the edge cell repeated, again and again if need be, or going round. The lines' lengths are `__n`, if field has them."""
+    rows = field if "__n" in field.columns else _lengths(field, axis)
     i, n = F.col(axis).cast("long"), F.col("__n")
 
     def places(first: Column, period: Column) -> Column:
@@ -32,37 +36,63 @@ def padded(field: DataFrame, axis: str, reach: int, wrap: bool = False) -> DataF
         return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda k: first + period * k)).otherwise(F.array().cast("array<long>"))
 
     at = places(i, n) if wrap else F.concat(places(i, 2 * n), places(2 * n - 1 - i, 2 * n))
-    return rows.withColumn("__pos", F.explode(at))
+    # Cells that are not near an end stand for themselves alone.
+    return rows.withColumn("__pos", F.explode(F.when((i >= reach) & (i < n - reach), F.array(i)).otherwise(at)))
+
+
+def folded(width: int, n: int) -> tuple[int, int, int]:
+    """(h, sign, periods): the sum over an odd width of a mirrored line of n cells is sign times that over h cells to both sides, and periods times the line's own sum. h is below n, however wide the window."""
+    k, r = divmod(width, 2 * n)
+    h = (r - 1) // 2
+    return (h, 1, 2 * k) if k % 2 == 0 else (n - 1 - h, -1, 2 * (k + 1))
 
 
-def _box_axis(field: DataFrame, axis: str, width: int, values: list[str], wrap: bool) -> DataFrame:
-    """Differences of running sums, taken from the line's first value on, so that large values cost no digits."""
+def _box_axis(field: DataFrame, axis: str, width: int, values: list[str], wrap: bool, size: int | None = None, block: int = 1 << 12) -> DataFrame:
+    """Differences of running sums, taken from the line's first value on, so that large values cost no digits. size: the length of every line, for windows that are wider than lines. Lines along t (whose `__n` field has) are worked on in blocks of steps, each with what its windows reach on both sides."""
     if width <= 1:
         return field
-    h = width // 2
-    line = Window.partitionBy(*LINE[axis])
-    order = line.orderBy("__pos")
+    h, sign, periods = folded(width, size) if size and not wrap else (width // 2, 1, 0)
+    if size:
+        field = _lengths(field, axis)
+        wrong = F.raise_error(F.format_string(f"a line along {axis} has %s cells, not {size}", "__n")).cast("long")
+        field = field.withColumn("__n", F.when(F.col("__n") == size, F.col("__n")).otherwise(wrong))
     rows = padded(field, axis, h, wrap)
+    keys, own = list(LINE[axis]), (F.col("__pos") >= 0) & (F.col("__pos") < F.col("__n"))
+    if axis == "t":
+        block = max(block, 4 * width)
+        rows = rows.withColumn("__block", F.explode(F.sequence(F.floor((F.col("__pos") - h) / block), F.floor((F.col("__pos") + h) / block))))
+        keys, own = [*keys, "__block"], own & (F.col("__block") == F.floor(F.col("__pos") / block))
+    line = Window.partitionBy(*keys)
+    order = line.orderBy("__pos")
     for v in values:
         rows = rows.withColumn(f"__base_{v}", F.first(v).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         rows = rows.withColumn(f"__sum_{v}", F.sum(F.col(v) - F.col(f"__base_{v}")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     for v in values:
-        diff = F.lead(f"__sum_{v}", h).over(order) - F.lag(f"__sum_{v}", h + 1, 0.0).over(order)
+        diff = sign * (F.lead(f"__sum_{v}", h).over(order) - F.lag(f"__sum_{v}", h + 1, 0.0).over(order))
+        if periods:
+            diff = diff + periods * F.sum(F.when(own, F.col(v) - F.col(f"__base_{v}"))).over(line)
         rows = rows.withColumn(f"__mean_{v}", diff / width + F.col(f"__base_{v}"))
-    rows = rows.where((F.col("__pos") >= 0) & (F.col("__pos") < F.col("__n")))
-    keep = [c for c in field.columns if c not in values]
+    rows = rows.where(own)
+    keep = [c for c in field.columns if c not in values and c != "__n"]
     # After padding a row's own place along the axis is __pos.
-    return rows.select(*(F.col("__pos").cast(field.schema[axis].dataType).alias(c) if c == axis else F.col(c) for c in keep), *(F.col(f"__mean_{v}").alias(v) for v in values)).select(*field.columns)
+    return rows.select(*(F.col("__pos").cast(field.schema[axis].dataType).alias(c) if c == axis else F.col(c) for c in keep), *(F.col(f"__mean_{v}").alias(v) for v in values)).select(*keep, *values)
 
 
-def box_mean(field: DataFrame, time: float = 1, space: float = 1, values: tuple[str, ...] = ("v",), wrap_lon: bool = False) -> DataFrame:
-    """Mean over a box of odd sizes, one axis after the other. One exchange serves both axes of a step."""
+def box_mean(field: DataFrame, time: float = 1, space: float = 1, values: tuple[str, ...] = ("v",), wrap_lon: bool = False, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Mean over a box of odd sizes, one axis after the other. One exchange serves both axes of a step.
+
+    shape: rows and columns of the grid; with it, windows wider than the grid are folded and cost no more than narrow ones, and a line of another length is an error. All lines of a segment have its last step.
+    """
     wt, ws = odd_window(time), odd_window(space)
     out, vs = field.select(*CELL, *values), list(values)
+    ny, nx = shape or (None, None)
     if ws > 1:
         out = out.repartition("segment", "t")
-        out = _box_axis(_box_axis(out, "ix", ws, vs, wrap_lon), "iy", ws, vs, False)
-    return _box_axis(out, "t", wt, vs, False)
+        out = _box_axis(_box_axis(out, "ix", ws, vs, wrap_lon, nx), "iy", ws, vs, False, ny)
+    if wt <= 1:
+        return out
+    last = field.groupBy("segment").agg((F.max("t") + 1).cast("long").alias("__n"))
+    return _box_axis(out.join(F.broadcast(last), "segment"), "t", wt, vs, False).select(*CELL, *values)  # a number for each segment
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:

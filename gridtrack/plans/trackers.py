@@ -37,9 +37,9 @@ class Domain:
 
 def _anomaly(field: DataFrame, d: Domain, small_km: float, hours: float, large_km: float, sigma: float | None = None) -> DataFrame:
     if sigma is not None:
-        background = derive.box_mean(field, hours / d.dt, d.cells(large_km)).select(*CELL, F.col("v").alias("__b"))
+        background = derive.box_mean(field, hours / d.dt, d.cells(large_km), shape=(d.ny, d.nx)).select(*CELL, F.col("v").alias("__b"))
         return gaussian(field, sigma).join(background, list(CELL)).select(*CELL, (F.col("v") - F.col("__b")).alias("anom"))
-    return derive.anomaly(field, d.cells(small_km), hours / d.dt, d.cells(large_km))
+    return derive.anomaly(field, d.cells(small_km), hours / d.dt, d.cells(large_km), shape=(d.ny, d.nx))
 
 
 def _objects(cells: DataFrame, d: Domain) -> DataFrame:

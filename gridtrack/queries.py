@@ -213,7 +213,7 @@ ANOM = f"{box('f', 's', 1, 3)}, {box('f', 'b', 13, 61)}, a as (select s.segment,
 
 @query(f"with {FIELD}, {ANOM} select segment, t, iy, ix, round(anom, 6) as anom from a")
 def anomaly(spark, sf_dir):
-    return rounded(derive.anomaly(dense(spark, sf_dir), 2, 13, 60), "anom")
+    return rounded(derive.anomaly(dense(spark, sf_dir), 2, 13, 60, shape=(NY, NX)), "anom")
 
 
 @query(f"{WITH} select f.segment, f.t, f.iy, f.ix, case when l.obj is null then 0.0::double else f.v end as v from f left join l using (t, iy, ix)")
@@ -259,12 +259,12 @@ def front_masked(spark, sf_dir):
 
 @query(f"with {FIELD}, {box('f', 's', 3, 5)} select t, iy, ix, round(v, 6) as v from s")
 def box_mean(spark, sf_dir):
-    return rounded(stencil.box_mean(dense(spark, sf_dir), 3, 5).drop("segment"), "v")
+    return rounded(stencil.box_mean(dense(spark, sf_dir), 3, 5, shape=(NY, NX)).drop("segment"), "v")
 
 
 @query(f"with {FIELD}, {box('f', 's', 13, 61)} select t, iy, ix, round(v, 6) as v from s")
 def box_mean_background(spark, sf_dir):
-    return rounded(stencil.box_mean(dense(spark, sf_dir), 13, 60).drop("segment"), "v")
+    return rounded(stencil.box_mean(dense(spark, sf_dir), 13, 60, shape=(NY, NX)).drop("segment"), "v")
 
 
 @query(f"""with {FIELD}, s as (select c.t, c.iy, c.ix, avg(s.v) as v from f c, range(-1, 2) o(d) join f s on s.t = c.t and s.iy = c.iy and s.ix = (c.ix + o.d + 8) % 8 group by all),

@@ -1,5 +1,6 @@
 """Time axis, grid, units and streams: exact cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,25 @@ def test_land_sql_states_the_query_rule_in_doubles():
     c = duckdb.connect()
     kinds = c.execute(f"with {queries._EDGES} select distinct typeof(x1), typeof(y1), typeof(x2), typeof(y2) from e").fetchall()
     assert kinds == [("DOUBLE",) * 4]
+
+
+def test_box_mean_folds_wide_windows_and_cuts_time_into_blocks(spark):
+    rng, (nt, ny, nx) = np.random.default_rng(3), (40, 5, 7)
+    v = 53_000 + rng.normal(size=(nt, ny, nx))
+    f = spark.createDataFrame([(0, t, y, x, float(v[t, y, x])) for t in range(nt) for y in range(ny) for x in range(nx)], "segment int, t int, iy int, ix int, v double")
+
+    def mean(a, axis, w):
+        at = np.pad(np.arange(a.shape[axis]), w // 2, "symmetric")
+        return sum(np.take(a, at[k : k + a.shape[axis]], axis) for k in range(w)) / w
+
+    for space in (1, 3, 5, 9, 11, 13, 15, 21, 61, 101):
+        got = stencil.box_mean(f, 3, space, shape=(ny, nx))
+        want = mean(mean(mean(v, 2, space), 1, space), 0, 3)
+        assert all(abs(r.v - want[r.t, r.iy, r.ix]) < 1e-7 for r in got.collect())
+        assert stencil.folded(space, nx)[0] < nx  # padding does not grow with the window
+    last = f.withColumn("__n", F.lit(nt).cast("long"))
+    got = {(r.t, r.iy, r.ix): r.v for r in stencil._box_axis(last, "t", 13, ["v"], False, block=1).collect()}
+    want = mean(v, 0, 13)
+    assert len(got) == v.size and all(abs(x - want[c]) < 1e-7 for c, x in got.items())
+    keys = stencil.box_mean(f, 13, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__block" in keys.split("Window ")[1].split("\n")[0]  # a task has a block of steps, not a cell's whole series
