@@ -464,9 +464,14 @@ def link_streaming(spark, sf_dir):
     basins = staged(label.label(dense(spark, sf_dir).where("v > 0.1"), NY, NX, through_time=False), "basins")
     at = f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
     last = (basins.agg(F.max("t")).first()[0] or 0) + 1
-    for k in range(4):
-        basins.where(F.col("t").between(k * last // 4, (k + 1) * last // 4 - 1)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    # Batches are ranges of steps: four, or as many as leave a million cells to each. All are cut in one job and put in place in their order.
     schema = "segment int, obj_id long, t int, iy int, ix int"
+    n = max(4, -(-basins.count() // 1_000_000))
+    batch = F.floor(F.col("t").cast("long") * n / last).cast("int")
+    basins.withColumn("batch", batch).repartitionByRange(n, "batch").write.partitionBy("batch").parquet(f"{at}/cut")
+    cut = spark.read.schema(f"{schema}, batch int").parquet(f"{at}/cut")
+    for k in range(n):
+        cut.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(f"{at}/in")
     spark.createDataFrame([(0, None, last, None, None)], schema).write.mode("append").parquet(f"{at}/in")
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     out = link_stream(rows)

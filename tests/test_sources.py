@@ -301,3 +301,29 @@ def test_grid_report_names_what_is_wrong(spark):
     found = {r.subject: (r.found, r.status) for r in checks.grid_report(bent, ("t", "iy", "ix"), "pm180", "descending").collect()}
     assert found["kind"][0] == "curvilinear" and found["lat_order"][1] == "ready" and found["dimensions"][1] == "ready"
     assert checks.grid_report(g.drop("lat"), ("t", "iy", "ix")).where("status = 'unsupported'").first().subject == "coordinates"
+
+
+@pytest.mark.parametrize("claim", ["largest", "last"])
+def test_linking_of_many_steps_at_once_is_that_of_single_steps(claim):
+    rng = np.random.default_rng(4)
+    steps = [(t, np.sort(rng.choice(30, rng.integers(0, 20), replace=False)).astype(np.int64)) for t in range(60)]
+    t = np.concatenate([np.full(len(c), t) for t, c in steps])
+    cells = np.concatenate([c for _, c in steps])
+    basins = t * 100 + cells // 4
+    node, first, parent = linking.parents(t, cells, basins, claim)
+    want = {}
+    for b in np.unique(basins):
+        want[int(b)] = None
+    for now in range(1, 60):
+        own = {int(c): int(b) for c, b in zip(cells[t == now], basins[t == now])}
+        old = {int(c): int(b) for c, b in zip(cells[t == now - 1], basins[t == now - 1])}
+        chosen = {}
+        for q in set(old.values()):
+            shared = [own[c] for c, b in old.items() if b == q and c in own]
+            if shared:
+                chosen.setdefault(min(set(shared), key=lambda b: (-shared.count(b), b)), []).append(q)
+        size = lambda q: list(old.values()).count(q)
+        for b, qs in chosen.items():
+            want[b] = min(qs, key=lambda q: (-size(q), q) if claim == "largest" else (size(q), -q))
+    got = {int(basins[f]): None if p < 0 else int(basins[first[p]]) for f, p in zip(first, parent)}
+    assert got == want and (basins[first][node] == basins).all()
