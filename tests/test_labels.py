@@ -252,3 +252,11 @@ def test_depths_of_many_objects_at_once(spark):
         assert got == pytest.approx(far)
     calls = split.interior(cells, NY, NX)._jdf.queryExecution().optimizedPlan().toString()
     assert "block" in calls.split("FlatMapGroupsInPandas")[1].split("\n")[0]  # a task's call is a block of steps, not an object's step
+
+
+def test_depths_take_few_calls_for_many_steps(spark):
+    rows = [(0, t, 1, t, y, x) for t in range(3000) for y, x in ((1, 1), (1, 2), (2, 1), (2, 2))]
+    cells = spark.createDataFrame(rows, "segment int, t int, obj_id long, part long, iy int, ix int")
+    out = split.interior(cells, 8, 8)
+    assert out.count() == 3000 and out.agg(F.max("depth")).first()[0] == 1.0
+    assert cells.select(F.floor(F.col("t") / ((1 << 16) // 64))).distinct().count() == 3  # calls, for 3,000 objects' steps
