@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import coriolis
-from .stencil import CELL, LINE, box_mean
+from .stencil import CELL, LINE, box_mean, box_means
 
 
 def anomaly(field: DataFrame, small: float, time: float, large: float, value: str = "v", wrap_lon: bool = False, shape: tuple[int, int] | None = None) -> DataFrame:
     """A small box mean less a background mean (time steps, large box). shape: as in box_mean."""
+    both = shape and box_means(field, {"__s": (1, small), "__b": (time, large)}, shape, value, wrap_lon)
+    if both:
+        return both.select(*CELL, (F.col("__s") - F.col("__b")).alias("anom"))
     background = box_mean(field, time, large, (value,), wrap_lon, shape).select(*CELL, F.col(value).alias("__b"))
     return box_mean(field, 1, small, (value,), wrap_lon, shape).join(background, list(CELL)).select(*CELL, (F.col(value) - F.col("__b")).alias("anom"))
 

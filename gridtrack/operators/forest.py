@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import staged
 from .label import label, numbered
-from .objects import OBJ, lifetime_filter, overlaps
+from .objects import OBJ, overlaps
 
 
 
@@ -61,11 +61,11 @@ def break_up(objects: DataFrame, ny: int, nx: int, min_steps: int, limit: float
     tree = roots(part_parents(multi).select("segment", F.col("part").alias("node"), "parent"))
     apart = multi.join(tree.withColumnRenamed("node", "part"), ["segment", "part"]).select("segment", F.col("obj_id").alias("from_id"), F.col("root"), "t", "iy", "ix")
     whole = cells.join(many, list(OBJ), "left_anti").select("segment", F.col("obj_id").alias("from_id"), F.lit(None).cast("long").alias("root"), "t", "iy", "ix")
-    both = whole.union(apart)
-    ids = numbered(both.select("segment", "from_id", "root").distinct(), "from_id", "root").select("segment", "from_id", "root", "obj_id_new")
-    ids = ids.toDF("segment", "from_id", "__root", "obj_id")
-    same = both.join(ids, ["segment", "from_id"]).where(F.col("root").eqNullSafe(F.col("__root"))).select("segment", "obj_id", "t", "iy", "ix")
-    return lifetime_filter(same, min_steps)
+    both = staged(whole.union(apart), "taken-apart")
+    # Ids are given once, to those that stay: the order is that of all ids.
+    long = both.groupBy("segment", "from_id", "root").agg((F.max("t") - F.min("t") + 1).alias("n")).where(F.col("n") >= min_steps)
+    ids = numbered(long.select("segment", "from_id", "root"), "from_id", "root").select("segment", "from_id", F.col("root").alias("__root"), F.col("obj_id_new").alias("obj_id"))
+    return both.join(ids, ["segment", "from_id"]).where(F.col("root").eqNullSafe(F.col("__root"))).select("segment", "obj_id", "t", "iy", "ix")
 
 
 def link_basins(basins: DataFrame, sizes: DataFrame, claim: str = "largest") -> DataFrame:

@@ -27,9 +27,9 @@ def linear(ny: int, nx: int, t="t", iy="iy", ix="ix") -> Column:
 
 
 def runs(cells: DataFrame, ny: int, nx: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Runs of neighbouring cells in a row: keys, segment, t, iy, x0, x1, node."""
+    """Runs of neighbouring cells in a row: keys, segment, t, iy, x0, x1, node. Cells that come twice count once."""
     w = Window.partitionBy(*keys, "segment", "t", "iy").orderBy("ix")
-    tagged = cells.withColumn("__g", F.col("ix") - F.row_number().over(w))
+    tagged = cells.withColumn("__g", F.col("ix") - F.dense_rank().over(w))
     out = tagged.groupBy(*keys, "segment", "t", "iy", "__g").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1")).drop("__g")
     return out.withColumn("node", F.col("segment") * F.lit(SEGMENT_SPAN) + linear(ny, nx, ix="x0"))
 
@@ -96,8 +96,7 @@ def label(cells: DataFrame, ny: int, nx: int, diagonal: bool = True, through_tim
 
     Rows of cells become runs, runs that touch become edges, and only those go through the components.
     """
-    cells = staged(cells.select(*keys, "segment", "t", "iy", "ix").distinct(), "cells")
-    parts = staged(runs(cells, ny, nx, keys), "runs")
+    parts = staged(runs(cells.select(*keys, "segment", "t", "iy", "ix"), ny, nx, keys), "runs")
     reach, at = 1 if diagonal else 0, [*keys, "segment", "t", "iy", "way"]
     ways = NEIGHBOURS_3D if through_time else NEIGHBOURS_2D
     # Each run at its own place once for every way, and once where its neighbours on that way are.
@@ -143,7 +142,7 @@ def numbered(ids: DataFrame, by: str, *then: str) -> DataFrame:
     return ids.withColumn("__rank", rank).join(first, ["segment", "__run"]).withColumn("obj_id_new", (F.col("__first") + F.col("__rank")).cast("long")).drop("__run", "__first", "__rank")
 
 
-def relabel(objects: DataFrame) -> DataFrame:
-    """Ids 1..n per segment in the order of the old ids."""
-    ids = numbered(objects.select("segment", "obj_id").distinct(), "obj_id")
+def relabel(objects: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Ids 1..n per segment in the order of the old ids. ids (segment, obj_id, each once): the objects that stay, else all."""
+    ids = numbered(objects.select("segment", "obj_id").distinct() if ids is None else ids.select("segment", "obj_id"), "obj_id")
     return objects.join(ids, ["segment", "obj_id"]).withColumn("obj_id", F.col("obj_id_new")).drop("obj_id_new").select(*objects.columns)

@@ -16,8 +16,7 @@ OBJ = ("segment", "obj_id")
 def lifetime_filter(objects: DataFrame, min_steps: int, renumber: bool = True) -> DataFrame:
     """Objects whose bounding box reaches over min_steps steps or more, renumbered in the order of their ids."""
     long = objects.groupBy(*OBJ).agg((F.max("t") - F.min("t") + 1).alias("n")).where(F.col("n") >= min_steps).select(*OBJ)
-    out = objects.join(long, list(OBJ), "left_semi")
-    return relabel(out) if renumber else out
+    return relabel(objects, long) if renumber else objects.join(long, list(OBJ), "left_semi")
 
 
 def translate_links(links: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def sustained(steps: DataFrame, holds: str, n: int, keys: tuple[str, ...] = OBJ)
 def large_and_long(objects: DataFrame, grid: DataFrame, min_area: float, min_steps: int) -> DataFrame:
     """Objects of at least min_area in min_steps consecutive steps, renumbered."""
     keep = sustained(areas(objects, grid), f"area >= {min_area!r}", min_steps)
-    return relabel(objects.join(keep, list(OBJ), "left_semi"))
+    return relabel(objects, keep)
 
 
 def area_sums(objects: DataFrame, grid: DataFrame) -> DataFrame:

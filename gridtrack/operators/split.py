@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .forest import roots
 from .label import label
 
@@ -98,7 +99,7 @@ def interior(cells: DataFrame, ny: int, nx: int, block_cells: int = 1 << 16) ->
 
 def split_far(objects: DataFrame, ny: int, nx: int, distance: float) -> DataFrame:
     """Cells with `piece`: a region that lies more than distance from an earlier region of its label and step, or is deep as that one is, is a piece of its own; others keep the first region's."""
-    cells = regions(objects, ny, nx)
+    cells = staged(regions(objects, ny, nx), "regions")
     mid = cells.groupBy("segment", "t", "obj_id", "part").agg(F.avg("iy").alias("cy"), F.avg("ix").alias("cx")).join(interior(cells, ny, nx), ["segment", "t", "obj_id", "part"])
     first = mid.select("segment", "t", "obj_id", F.col("part").alias("p"), F.col("cy").alias("py"), F.col("cx").alias("px"), F.col("depth").alias("pd"))
     far = F.sqrt(F.pow(F.col("cy") - F.col("py"), 2) + F.pow(F.col("cx") - F.col("px"), 2)) > distance
@@ -125,6 +126,6 @@ def nearest_before(pieces: DataFrame, distance: float) -> DataFrame:
 
 def split_objects(objects: DataFrame, ny: int, nx: int, distance: float) -> DataFrame:
     """Objects whose far parts have ids of their own, followed from step to step by the nearest centre; many may follow one."""
-    pieces = split_far(objects, ny, nx, distance)
+    pieces = staged(split_far(objects, ny, nx, distance), "pieces")
     tree = roots(nearest_before(pieces, distance).select("segment", F.col("piece").alias("node"), "parent"))
     return pieces.join(tree.withColumnRenamed("node", "piece"), ["segment", "piece"]).select("segment", F.col("root").alias("obj_id"), "t", "iy", "ix")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +80,90 @@ def _box_axis(field: DataFrame, axis: str, width: int, values: list[str], wrap:
     return rows.select(*(F.col("__pos").cast(field.schema[axis].dataType).alias(c) if c == axis else F.col(c) for c in keep), *(F.col(f"__mean_{v}").alias(v) for v in values)).select(*keep, *values)
 
 
+def _line_means(v: np.ndarray, there: np.ndarray, width: int, at: np.ndarray | None = None, wrap: bool = False) -> np.ndarray:
+    """Means over an odd width along the last axis, of what is there; from each line's first value on. at: the places that the windows of all means hold, one after the other, else the line's own and what it is continued by."""
+    n, h, sign, periods = v.shape[-1], width // 2, 1, 0
+    if at is None:
+        if not wrap:
+            h, sign, periods = folded(width, n)
+        at = np.arange(-h, n + h)
+        at = at % n if wrap else np.where(at < 0, -1 - at, np.where(at >= n, 2 * n - 1 - at, at))
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        run = np.cumsum(np.concatenate([np.zeros((*x.shape[:-1], 1)), x[..., at]], -1), -1)
+        out = sign * (run[..., 2 * h + 1 :] - run[..., : -2 * h - 1])
+        return out + periods * x.sum(-1, keepdims=True) if periods else out
+
+    base = np.take_along_axis(v, there.argmax(-1)[..., None], -1)
+    full = bool(there.all())
+    out = sums(v - base if full else np.where(there, v - base, 0.0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / (width if full else np.round(sums(there.astype(float)))) + base
+
+
+def box_means(field: DataFrame, windows: dict[str, tuple[float, float]], shape: tuple[int, int], value: str = "v", wrap_lon: bool = False, block_cells: int = 1 << 17) -> DataFrame | None:
+    """The cells with a column for each window (time, space): box means of value, as box_mean's. A task has a block of steps, whole grids, with what its windows reach on both sides. None where blocks of some block_cells cells are short beside what they reach to.
+
+    A mean is over the values that are there: a cell that is missing or null adds nothing. A step's line of another length than the grid's is an error.
+    """
+    ny, nx = shape
+    sizes = {name: (odd_window(t), odd_window(s)) for name, (t, s) in windows.items()}
+    reach, steps = max(t for t, _ in sizes.values()) // 2, block_cells // (ny * nx)
+    if steps < max(1, 8 * reach):
+        return None
+
+    def means(group: pa.Table) -> pa.Table:
+        t, iy, ix = (group[c].to_numpy().astype(np.int64) for c in ("t", "iy", "ix"))
+        last, lo = group["n"][0].as_py(), group["block"][0].as_py() * steps
+        for axis, i, n in (("iy", iy, ny), ("ix", ix, nx)):
+            if i.max() >= n:
+                raise ValueError(f"a line along {axis} has {i.max() + 1} cells, not {n}")
+        first, hi = max(0, lo - reach), min(last, lo + steps)
+        x = group["v"].to_numpy()
+        v = np.full((min(last, lo + steps + reach) - first, ny, nx), np.nan)
+        cells, there = np.zeros(v.shape, bool), np.zeros(v.shape, bool)
+        cells[t - first, iy, ix], there[t - first, iy, ix], v[t - first, iy, ix] = True, group["v"].is_valid().to_numpy(), x
+        for axis, n, short in (("ix", nx, cells.any(2) & ~cells[:, :, -1]), ("iy", ny, cells.any(1) & ~cells[:, -1])):
+            if short.any():
+                raise ValueError(f"a line along {axis} has fewer cells than {n}")
+        own = (t >= lo) & (t < hi)
+        at, out = (t[own] - first, iy[own], ix[own]), {}
+        for name, (wt, ws) in sizes.items():
+            m, some = v, there
+            if ws > 1:
+                m = _line_means(m, some, ws, wrap=wrap_lon)
+                some = ~np.isnan(m) if not there.all() else some
+                m = np.swapaxes(_line_means(np.swapaxes(m, 1, 2), np.swapaxes(some, 1, 2), ws), 1, 2)
+                some = ~np.isnan(m) if not there.all() else some
+            if wt > 1:
+                place = np.arange(lo - wt // 2, hi + wt // 2) % (2 * last)
+                place = np.where(place < last, place, 2 * last - 1 - place) - first
+                late = lambda a: np.moveaxis(a, 0, -1)
+                m = _line_means(late(m), late(some), wt, place)
+                # Means begin at the block's first own step.
+                got = m[at[1], at[2], at[0] + first - lo]
+            else:
+                got = m[at]
+            out[name] = pa.array(got, mask=np.isnan(got) if not there.all() else None)
+        return pa.table({c: group[c].filter(pa.array(own)) for c in CELL} | out)
+
+    last = field.groupBy("segment").agg((F.max("t") + 1).cast("long").alias("n"))
+    rows = field.select(*CELL, F.col(value).cast("double").alias("v")).join(F.broadcast(last), "segment")  # a number for each segment
+    block = lambda c: F.floor(c / steps)
+    lo, hi = block(F.greatest(F.col("t") - reach, F.lit(0))), block(F.least(F.col("t") + reach, F.col("n") - 1))
+    rows = rows.withColumn("block", F.explode(F.sequence(lo, hi)))
+    kinds = [f"{c} {field.schema[c].dataType.simpleString()}" for c in CELL]
+    return rows.groupBy("segment", "block").applyInArrow(means, ", ".join([*kinds, *(f"`{name}` double" for name in sizes)]))
+
+
 def box_mean(field: DataFrame, time: float = 1, space: float = 1, values: tuple[str, ...] = ("v",), wrap_lon: bool = False, shape: tuple[int, int] | None = None) -> DataFrame:
     """Mean over a box of odd sizes, one axis after the other. One exchange serves both axes of a step.
 
-    shape: rows and columns of the grid; with it, windows wider than the grid are folded and cost no more than narrow ones, and a line of another length is an error. All lines of a segment have its last step.
+    shape: rows and columns of the grid; with it, blocks of steps are worked on as arrays where they fit (box_means), windows wider than the grid are folded and cost no more than narrow ones, and a line of another length is an error. All lines of a segment have its last step.
     """
     wt, ws = odd_window(time), odd_window(space)
+    if shape and len(values) == 1 and max(wt, ws) > 1 and (out := box_means(field, {values[0]: (time, space)}, shape, values[0], wrap_lon)) is not None:
+        return out
     out, vs = field.select(*CELL, *values), list(values)
     ny, nx = shape or (None, None)
     if ws > 1:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridtrack.functions import calendars, geo, units
-from gridtrack.operators import grid, stencil, timeaxis
+from gridtrack.operators import derive, grid, stencil, timeaxis
 from gridtrack.plans import checks
 from gridtrack.sources import fields, streams
 
@@ -150,3 +150,46 @@ def test_box_mean_folds_wide_windows_and_cuts_time_into_blocks(spark):
     assert len(got) == v.size and all(abs(x - want[c]) < 1e-7 for c, x in got.items())
     keys = stencil.box_mean(f, 13, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "__block" in keys.split("Window ")[1].split("\n")[0]  # a task has a block of steps, not a cell's whole series
+
+
+def test_box_means_are_of_the_values_that_are_there_in_one_exchange(spark):
+    rng, (nt, ny, nx) = np.random.default_rng(5), (40, 3, 4)
+    v = 53_000 + rng.normal(size=(nt, ny, nx))
+    gone = {(7, y, x) for y in range(ny) for x in range(nx)} | {(0, 0, 1)}  # a step without cells, and a null
+    rows = [(0, t, y, x, None if t == 0 and (t, y, x) in gone else float(v[t, y, x])) for t in range(nt) if t != 7 for y in range(ny) for x in range(nx)]
+    f = spark.createDataFrame(rows, "segment int, t int, iy int, ix int, v double")
+
+    def mean(a, axis, w):
+        at = np.pad(np.arange(a.shape[axis]), w // 2, "symmetric")
+        return np.nanmean([np.take(a, at[k : k + a.shape[axis]], axis) for k in range(w)], 0)
+
+    holes = v.copy()
+    for c in gone:
+        holes[c] = np.nan
+    with np.testing.suppress_warnings() as quiet:
+        quiet.filter(RuntimeWarning)
+        for space in (1, 3, 9):
+            want = mean(mean(mean(holes, 2, space), 1, space), 0, 5)
+            got = stencil.box_means(f, {"a": (1, 1), "b": (5, space)}, (ny, nx), block_cells=20 * ny * nx)
+            assert all(abs(r.b - want[r.t, r.iy, r.ix]) < 1e-7 and (r.a is None) == ((r.t, r.iy, r.ix) in gone) for r in got.collect())
+            assert got.count() == len(rows)
+            assert all(abs(r.v - want[r.t, r.iy, r.ix]) < 1e-7 for r in stencil.box_mean(f, 5, space, shape=(ny, nx)).collect())
+    plan = derive.anomaly(f, 1, 5, 9, shape=(ny, nx))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1  # the segments' numbers of steps
+    with pytest.raises(Exception, match="a line along iy"):
+        stencil.box_mean(f, 5, 3, shape=(ny + 1, nx)).collect()
+
+
+def test_labels_and_splits_read_their_cells_once(spark, monkeypatch):
+    from gridtrack.operators import forest, label, split
+    from gridtrack.storage import staged
+
+    names = []
+    for module in (label, forest, split):
+        monkeypatch.setattr(module, "staged", lambda df, name, **k: names.append(name) or staged(df, name, **k))
+    cells = spark.createDataFrame([(0, t, 0, x) for t in range(3) for x in (0, 1, 1, 3)], "segment int, t int, iy int, ix int")
+    got = label.label(cells, 2, 5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((0, 3 * (x == 3), t, 0, x) for t in range(3) for x in (0, 1, 3))
+    assert names[0] == "runs"
+    split.split_objects(got, 2, 5, 1.0)
+    assert "regions" in names and "pieces" in names
