@@ -102,11 +102,14 @@ def ring_fraction(centres: DataFrame, field: DataFrame, grid: DataFrame, radius:
 
 
 def whole_cloud_area(rain: DataFrame, cloud: DataFrame, grid: DataFrame) -> DataFrame:
-    """segment, obj_id, t, area: in the steps of each rain object, the area of whole cloud objects that share a cell with it anywhere."""
+    """segment, obj_id, t, area: in the steps of each rain object, the area of whole cloud objects that share a cell with it anywhere. A pair is held against the steps that both spans have: an object of many steps that meets many short ones costs their steps, not its own for each."""
     pairs = rain.join(cloud.select(*CELL, F.col("obj_id").alias("cloud_id")), list(CELL)).select(*OBJ, "cloud_id").distinct()
     steps = rain.select(*OBJ, "t").distinct()
     per = areas(cloud, grid).withColumnRenamed("obj_id", "cloud_id")
-    return pairs.join(steps, list(OBJ)).join(per, ["segment", "cloud_id", "t"]).groupBy(*OBJ, "t").agg(F.sum("area").alias("area"))
+    span = lambda rows, key, x: rows.groupBy("segment", key).agg(F.min("t").alias(f"{x}0"), F.max("t").alias(f"{x}1"))
+    both = pairs.join(span(rain, "obj_id", "r"), list(OBJ)).join(span(per, "cloud_id", "c"), ["segment", "cloud_id"])
+    both = both.withColumn("a", F.greatest("r0", "c0")).withColumn("b", F.least("r1", "c1")).where("a <= b").select(*OBJ, "cloud_id", F.explode(F.sequence("a", "b")).alias("t"))
+    return both.join(per, ["segment", "cloud_id", "t"]).join(steps, [*OBJ, "t"]).groupBy(*OBJ, "t").agg(F.sum("area").alias("area"))
 
 
 def box_minimum(rain: DataFrame, cloud: DataFrame, field: DataFrame, value: str = "v", absent: float = 999.0) -> DataFrame:

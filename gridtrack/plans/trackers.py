@@ -149,7 +149,7 @@ def mcs(pr: DataFrame, bt: DataFrame, grid: DataFrame, d: Domain, p: Mcs = Mcs()
     """Mesoscale convective systems: (statistics of the merged systems, labels that keep the rain objects' ids). pr: mm per step; bt: K."""
 
     def detected(field: DataFrame, cells: DataFrame, km2: float, hours: float) -> DataFrame:
-        found = label.label(cells, d.ny, d.nx)
+        found = _objects(cells, d)
         found = label.seam_merge(found, d.nx) if d.periodic else found
         return staged(objects.large_and_long(found, grid, km2 * 1e6, max(1, steps(hours, d.dt))), "systems")
 

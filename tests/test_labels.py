@@ -260,3 +260,16 @@ def test_depths_take_few_calls_for_many_steps(spark):
     out = split.interior(cells, 8, 8)
     assert out.count() == 3000 and out.agg(F.max("depth")).first()[0] == 1.0
     assert cells.select(F.floor(F.col("t") / ((1 << 16) // 64))).distinct().count() == 3  # calls, for 3,000 objects' steps
+
+
+def test_a_long_rain_object_meets_many_short_clouds_in_their_steps_only(spark):
+    from gridtrack.operators import objects
+
+    n = 60
+    rain = spark.createDataFrame([(0, 1, t, 0, 0) for t in range(n)], "segment int, obj_id long, t int, iy int, ix int")
+    cloud = spark.createDataFrame([(0, 100 + t, t, 0, x) for t in range(0, n, 2) for x in (0, 1)], "segment int, obj_id long, t int, iy int, ix int")
+    grid = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0)], "iy int, ix int, area double")
+    out = objects.whole_cloud_area(rain, cloud, grid)
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 1, t, 5.0) for t in range(0, n, 2)]
+    joins = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "greatest(r0" in joins  # the steps of a pair are cut to both spans before they are written out
