@@ -6,7 +6,7 @@ when a hash keyed by seed, document, the unit's place in the text and the candid
 ends falls below the rate: each occurrence of a word is segmented anew, and the same call
 always gives the same segmentation. A document's draw is a 64-bit hash of its id, or of
 its text where the id is null. Blanks never stand inside a piece after other characters,
-so a text is encoded unit by unit (blanks, then a word): many short units at once, each long
+so a text is encoded unit by unit (blanks, then a word): many short units at once, as linked parts, each long
 one along an agenda of its candidates.
 
 Remembered of a unit are its ids without dropout and the candidates on the way there.
@@ -101,6 +101,23 @@ class Codec:
         self.keys, self.joined = np.array(keys, np.int64)[order], np.array(joined, np.int64)[order]
         self.scores = np.array([sp.get_score(i) for i in range(n)])
         self.raw = [bytes([int(self.pieces[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else self.pieces[i].replace(BLANK, " ").encode() for i in range(n)]
+        # Scores by rank, from 1; the pairs once more by a hash, each at its slot or the next free one.
+        self.levels = (np.unique(self.scores[self.joined], return_inverse=True)[1] + 1).astype(np.int32)
+        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.slots, self.slot_keys = np.full(1 << self.bits, -1, np.int32), np.full(1 << self.bits, -1, np.int64)
+        rest = np.arange(len(keys))
+        slot = self._slot(self.keys)
+        while len(rest):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            at, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.slots[at], self.slot_keys[at] = rest[put], self.keys[rest[put]]
+            more = np.ones(len(rest), bool)
+            more[put] = False
+            rest, slot = rest[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+        self.codes = -2 - np.arange(0x110000, dtype=np.int32)
+        self.codes[[ord(c) for c in self.chars]] = list(self.chars.values())
+        self.codes[ord(" ")], self.codes[ord(BLANK)] = self.chars.get(BLANK, -2 - ord(" ")), -2 - ord(BLANK)
         self.merges: dict[int, int] | None = None
         self.n, self.below = n, _U(min(int(params.dropout * 2.0**64), 2**64 - 1))
         self._forget()
@@ -114,56 +131,76 @@ class Codec:
     def _skipped(self, key: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed(key + ends * _U(0x9E3779B97F4A7C15)) < self.below
 
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(_U) * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).view(np.int64)
+
+    def _found(self, pairs: np.ndarray) -> np.ndarray:
+        """The place of each pair in keys, or -1."""
+        slot = self._slot(pairs)
+        there, out = self.slot_keys[slot], self.slots[slot]
+        rest = np.flatnonzero((there != pairs) & (there >= 0))
+        out[rest] = -1
+        slot, pairs = slot[rest], pairs[rest]
+        while len(rest):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there = self.slot_keys[slot]
+            hit = there == pairs
+            out[rest[hit]] = self.slots[slot[hit]]
+            on = ~hit & (there >= 0)
+            rest, slot, pairs = rest[on], slot[on], pairs[on]
+        return out
+
     def _merge(self, units: np.ndarray, keys: np.ndarray | None) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
-        """Ids of each unit as bytes, and without keys (no dropout) the candidates met, by row; the units are worked on together, column by column."""
+        """Ids of each unit as bytes, and without keys (no dropout) the candidates met, by row; each round joins one pair in every unit that has a candidate left."""
         n, size = len(units), self.symbols.sizes[units]
         if size.min() > LONG:
             each = [self._merge_long(self.symbols.runs(units[r : r + 1])[0].tolist(), None if keys is None else int(keys[r])) for r in range(n)]
             return [x for x, _ in each], [(np.full(len(ends), r), ends) for r, (_, ends) in enumerate(each)]
-        width, met = int(size.max()), []
-        # Codes of characters without a piece are below -1 and join with nothing.
-        sym = np.full((n, width + 1), -1, np.int64)
+        stride, met = int(size.max()) + 1, []
+        # Places of all units in one row; what follows a unit, and codes of characters without a piece (below -1), join with nothing.
+        start = np.arange(n) * stride
         flat, of = self.symbols.runs(units)
-        sym[of, np.arange(len(of)) - (np.cumsum(size) - size)[of]] = flat
-        cuts = np.minimum(np.arange(width + 1)[None], size[:, None])
-
-        def candidates(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Score and joined piece of the pair at each place; no candidate scores minus infinity."""
-            a, b = sym[rows, cols], sym[rows, cols + 1]
-            k = np.where((a >= 0) & (b >= 0), a * self.n + b, -1)
-            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-            ok = self.keys[at] == k
+        at = np.arange(len(of)) + (start - np.cumsum(size) + size)[of]
+        sym = np.full(n * stride, -1, np.int32)
+        sym[at] = flat
+        left, right = np.arange(-1, n * stride - 1), np.arange(1, n * stride + 1)
+        best, piece = np.zeros(n * stride, np.int32), np.zeros(n * stride, np.int32)
+
+        def candidates(rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+            """Level and joined piece of the pairs of parts that begin at p and q; no candidate has level 0."""
+            a, b = sym[p], sym[q]
+            pair = np.flatnonzero((a >= 0) & (b >= 0))
+            found = self._found(a[pair] * np.int64(self.n) + b[pair])
+            ok = np.flatnonzero(found >= 0)
+            pair, found = pair[ok], found[ok]
             if self.below:
-                r, c = rows[ok], cols[ok]
-                third = np.where(c + 2 <= width, cuts[r, np.minimum(c + 2, width)], size[r])
-                ends = cuts[r, c].astype(_U) + (cuts[r, c + 1].astype(_U) << _U(21)) + (third.astype(_U) << _U(42))
+                r, to = rows[pair], q[pair]
+                first = start[r]
+                ends = p[pair] - first + ((to - first) << 21) + ((right[to] - first) << 42)
+                ends = ends.view(_U)
                 if keys is None:
                     met.append((r, ends))
                 else:
-                    ok[ok] = ~self._skipped(keys[r], ends)
-            return np.where(ok, self.scores[self.joined[at]], -np.inf), self.joined[at]
-
-        best, piece = np.full((n, width), -np.inf), np.zeros((n, width), np.int64)
-        rows, cols = np.nonzero(np.arange(width - 1)[None] < size[:, None] - 1) if width > 1 else (np.zeros(0, int),) * 2
-        best[rows, cols], piece[rows, cols] = candidates(rows, cols)
-        live, column = np.arange(n), np.arange(width + 1)
-        while len(live):
-            at = best[live].argmax(1)
-            go = best[live, at] > -np.inf
-            live, at = live[go], at[go]
+                    ok = np.flatnonzero(~self._skipped(keys[r], ends))
+                    pair, found = pair[ok], found[ok]
+            best[p] = 0
+            p = p[pair]
+            best[p], piece[p] = self.levels[found], self.joined[found]
+
+        candidates(of, at, at + 1)
+        live, table = np.arange(n), best.reshape(n, stride)
+        while True:
+            p = start[live] + table[live].argmax(1)
+            go = best[p] > 0
+            live, p = live[go], p[go]
             if not len(live):
                 break
-            sym[live, at] = piece[live, at]
-            # Everything right of the join moves one place to the left.
-            src = np.minimum(column[None] + (column[None] > at[:, None]), width)
-            sym[live], cuts[live] = np.take_along_axis(sym[live], src, 1), np.take_along_axis(cuts[live], src, 1)
-            src = np.minimum(column[None, :width] + (column[None, :width] > at[:, None]), width - 1)
-            best[live], piece[live] = np.take_along_axis(best[live], src, 1), np.take_along_axis(piece[live], src, 1)
-            best[live, width - 1] = -np.inf
-            best[live, at] = -np.inf
-            for c, ok in ((at, at + 1 < width), (at - 1, at > 0)):
-                r, c = live[ok], c[ok]
-                best[r, c], piece[r, c] = candidates(r, c)
+            q = right[p]
+            to = right[q]
+            sym[p], sym[q], best[q] = piece[p], -1, 0
+            right[p], left[to] = to, p
+            candidates(np.concatenate([live, live]), np.concatenate([p, left[p]]), np.concatenate([to, p]))
+        sym = sym.reshape(n, stride)
         mask = sym >= 0
         flat, to = sym[mask].astype("<u4").tobytes(), np.cumsum(mask.sum(1)) * 4
         out = [flat[i:j] for i, j in zip([0, *to[:-1].tolist()], to.tolist())]
@@ -225,8 +262,8 @@ class Codec:
         if not new:
             return
         first = len(self.known)
-        codes = [self.chars.get(BLANK if c == " " else "" if c == BLANK else c, -2 - ord(c)) for u in new for c in u]
-        self.symbols.add(np.array(codes, np.int32), np.array([len(u) for u in new]))
+        codes = self.codes[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4")]
+        self.symbols.add(codes, np.fromiter(map(len, new), np.int64, len(new)))
         self.plain += [b""] * len(new)
         ends, of = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
         number = np.arange(first, first + len(new))

@@ -390,6 +390,30 @@ def test_sentencepiece_dropout_is_the_plain_loop():
         assert sorted(set(ends.tolist())) == sorted(set(met.tolist()))
 
 
+def test_sentencepiece_new_units_are_cheap():
+    """Units of many lengths merged in one call come out as by the plain loop, and 3,000 new ones of 80 to 98 letters cost less than 10 loops to two million (measured: 4.7; 22 when whole lines moved at every join)."""
+    path, r = P.path("piece_bpe_32k.model"), random.Random(21)
+    codec = sp_codec.Codec(sp_codec.CodecParams(path, dropout=0.2))
+    units = ["".join(r.choice("aeinrst 日é😀") for _ in range(r.randint(1, 60))) for _ in range(150)]
+    codec._remember(units)
+    key = np.arange(len(units), dtype=np.uint64) * np.uint64(0x1234567890ABCDEF)
+    got = codec._merge(np.array([codec.known[u] for u in units]), key)[0]
+    for u, k, x in zip(units, key.tolist(), got):
+        want = [i for p in plain_merges(codec, u, k) for i in ([p] if p >= 0 else [codec.bytes[b] for b in chr(-2 - p).encode()])]
+        assert np.frombuffer(x, "<u4").tolist() == want
+    pairs = np.append(codec.keys, np.setdiff1d(np.arange(0, codec.n**2, 9973), codec.keys))
+    assert codec._found(pairs).tolist() == [*range(len(codec.keys)), *[-1] * (len(pairs) - len(codec.keys))]
+
+    def cpu(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    words = " ".join("".join(r.choice("aeinrstlohd") for _ in range(r.randint(80, 98))) for _ in range(3000))
+    fresh = [sp_codec.Codec(sp_codec.CodecParams(path)) for _ in range(3)]
+    assert min(cpu(lambda: c.encode(words, 1)) for c in fresh) < 10 * min(cpu(lambda: sum(range(2_000_000))) for _ in range(9))
+
+
 def test_sentencepiece_long_words():
     import sentencepiece
 
