@@ -19,6 +19,7 @@ packed once each. A null doc_id is carried along. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -29,10 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged
+from .common import Pool, shuffle_partitions, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,90 +52,145 @@ class PackParams:
     cache: int = 1_600_000
 
 
-#: Latin letters and digits of one byte in Latin-1, after lower-casing, and the tokenizer's word pattern for texts of such characters.
+#: Latin letters and digits of one byte in Latin-1, after lower-casing, and the tokenizer's word pattern for texts of such characters, with blanks.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-_PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\xff]+")
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+_PLAIN = re.compile(r"[ -~\xa1-\xac\xae-\xff]+")
+_PARTS = re.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+#: Bytes of text whose words are looked up together.
+BLOCK = 6_000_000
 
 
 class WordIds:
-    """Ids of texts, as little-endian bytes.
+    """Ids of texts, each with the end token's behind.
 
     Words between blanks or line ends are encoded once; no rule of a tokenizer that
-    splits at white space reaches over them. New words are encoded many in a call; the
+    splits at white space reaches over them. Texts are split into words, and words into
+    distinct ones, as Arrow columns; only distinct words become Python strings, and ids are
+    gathered from one pool. New words are encoded many in a call; the
     tokens that end a part of a word, counted against the parts that each word has, tell
     where its ids stop. Where the counts disagree, or a word has characters that the
     pattern of parts does not know, it is encoded alone.
     """
 
-    def __init__(self, path: str, cache: int):
+    def __init__(self, path: str, cache: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.again = Tokenizer.from_file(path), cache, {}, set()
+        self.tokenizer, self.most, self.end_id = Tokenizer.from_file(path), cache, end_id
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # For words of the pattern's characters; where the normalizer does no more than lower() to these, it is left out.
+        self.quick, self.lower = Tokenizer.from_file(path), False
+        every = "".join(c for c in map(chr, range(33, 256)) if _PLAIN.fullmatch(c))
+        if self.quick.normalizer and self.quick.normalizer.normalize_str(f"{every} {every}") == f"{every} {every}".lower():
+            self.quick.normalizer, self.lower = None, True
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: number of each word, in order of the numbers; 0 is the end token's. again: words met in a later block."""
+        self.known: dict[str | None, int] = {None: 0, "": 1}
+        self.ids, self.again = Pool(np.uint32), np.zeros(1 << 12, bool)
+        self.ids.add(np.array([self.end_id], np.uint32), np.array([1, 0]))
+
+    def _add(self, words: list[str], flat: list[np.ndarray], sizes: np.ndarray) -> None:
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.ids.add(np.concatenate(flat), sizes)
+        if len(self.known) > len(self.again):
+            self.again = np.append(self.again, np.zeros(len(self.known), bool))
 
     def _alone(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if words:
+            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            self._add(words, ids, np.array([len(x) for x in ids]))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w) and "<|" not in w]
-        known = set(plain)
-        self._alone([w for w in words if w not in known])
-        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        for at in range(0, len(groups), 40):
-            some = groups[at : at + 40]
-            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
+        alone, plain = [], []
+        for at in range(0, len(words), 256):
+            group = words[at : at + 256]
+            if not _PLAIN.fullmatch(text := " ".join(group)) or "<|" in text:
+                other = {w for w in group if not _PLAIN.fullmatch(w) or "<|" in w}
+                alone += other
+                group = [w for w in group if w not in other]
+            if group:
+                plain.append(group)
+        for at in range(0, len(plain), 40):
+            groups = plain[at : at + 40]
+            texts, done, flat, sizes = [" ".join(g) for g in groups], [], [], []
+            low = [t.lower() for t in texts]
+            for group, text, e in zip(groups, low, self.quick.encode_batch_fast(low if self.lower else texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
                 stops = np.flatnonzero(self.ends[ids]) + 1
-                parts = np.cumsum([len(_PARTS.findall(w.lower())) for w in group])
+                found = _PARTS.findall(text)
+                parts = np.array([k for k, x in enumerate(found) if x == " "] + [len(found)]) - np.arange(len(group))
                 if parts[-1] != len(stops) or stops[-1] != len(ids):
-                    self._alone(group)
+                    alone += group
                     continue
-                data, cuts = ids.tobytes(), [0, *(4 * stops[parts - 1]).tolist()]
-                self.known.update((w, data[cuts[k] : cuts[k + 1]]) for k, w in enumerate(group))
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 1000):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 1000]]
-            words = set().union(*split)
-            new = words - self.known.keys()
-            if len(self.known) + len(new) > self.most:
-                # Words met again are remembered, if they leave room; most others come once.
-                old, self.known = self.known, {}
-                if len(self.again) + len(words) < self.most:
-                    self.known = {w: old[w] for w in self.again}
-                self.again, new = set(), words - self.known.keys()
-            self.again |= words - new
-            if new:
-                self._learn(list(new))
-            for one in split:
-                yield b"".join(map(self.known.__getitem__, one))
-
-
-_ids: dict[str, WordIds] = {}
+                done += group
+                flat.append(ids)
+                sizes.append(np.diff(stops[parts - 1], prepend=0))
+            if done:
+                self._add(done, flat, np.concatenate(sizes))
+        for at in range(0, len(alone), 10_000):
+            self._alone(alone[at : at + 10_000])
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of different words."""
+        find = lambda words: np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        out = find(words)
+        if len(self.known) + int((out < 0).sum()) > self.most:
+            # Words met again are remembered, if they leave room; most others come once.
+            known, ids, keep = list(self.known), self.ids, np.flatnonzero(self.again[: len(self.known)])
+            keep = keep[keep > 1]
+            self._forget()
+            if len(keep) + len(words) < self.most and len(keep):
+                self._add([known[k] for k in keep.tolist()], [ids.runs(keep)[0]], ids.sizes[keep])
+            out = find(words)
+        self.again[out[out >= 0]] = True
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            self._learn(some := [words[k] for k in new.tolist()])
+            out[new] = find(some)
+        return out
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Block by block: place of its first text, ids of all its texts, and how many each has."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+            split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(at, to - at), ""), "\n", " "), " ")
+            words = split.flatten().dictionary_encode()
+            n = pc.list_value_length(split).to_numpy().astype(np.int64)
+            # Numbers of all words, one after the other, each text's followed by the end token's.
+            rows, last = np.zeros(len(words) + len(n), np.int64), np.zeros(len(words) + len(n), bool)
+            last[np.cumsum(n + 1) - 1] = True
+            rows[~last] = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+            sums = np.cumsum(self.ids.sizes[rows])[last]
+            yield at, self.ids.runs(rows)[0], np.diff(sums, prepend=0)
+            at = to
+
+
+_ids: dict[PackParams, WordIds] = {}
 
 
 def tokenized(docs: DataFrame, params: PackParams) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    size, end = 4 * params.capacity, np.array([params.end_id], "<u4").tobytes()
+    cap = params.capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ids.get(params.tokenizer) or _ids.setdefault(params.tokenizer, WordIds(params.tokenizer, params.cache))
+        encode = _ids.get(params) or _ids.setdefault(params, WordIds(params.tokenizer, params.cache, params.end_id))
         for batch in batches:
-            rows, out = [], []
-            for i, ids in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
-                ids += end
-                for k in range(0, len(ids), size):
-                    part = ids[k : k + size]
-                    rows.append(i)
-                    out.append((k // size, k // 4, len(part) // 4, zlib.crc32(part)))
-            if rows:
-                piece, start, length, crc = zip(*out)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at, ids, n in encode(batch.column("text")):
+                many = (n + cap - 1) // cap
+                of = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(of)) - (np.cumsum(many) - many)[of]
+                start = piece * cap
+                length = np.minimum(n[of] - start, cap)
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(data[4 * k : 4 * (k + m)]) for k, m in zip(((np.cumsum(n) - n)[of] + start).tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at + of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, mixed
+from .common import Pool, in_blocks, mixed
 
 BLANK = "▁"
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
@@ -57,27 +57,6 @@ class CodecParams:
     cache: int = 1_000_000
 
 
-class Pool:
-    """Runs of numbers, one after the other."""
-
-    def __init__(self, kind: type):
-        self.data, self.starts, self.sizes, self.used = np.zeros(1 << 12, kind), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        if self.used + len(flat) > len(self.data):
-            self.data = np.append(self.data[: self.used], np.zeros(self.used + 2 * len(flat), self.data.dtype))
-        self.data[self.used : self.used + len(flat)] = flat
-        self.starts = np.append(self.starts, self.used + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.used += len(flat)
-
-    def runs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of rows, and the place in rows that each number is of."""
-        n = self.sizes[rows]
-        of = np.repeat(np.arange(len(rows)), n)
-        return self.data[np.arange(len(of)) + (self.starts[rows] - np.cumsum(n) + n)[of]], of
-
-
 class Codec:
     def __init__(self, params: CodecParams):
         import sentencepiece

@@ -299,6 +299,37 @@ def test_packing(docs, none):
     assert packing.pack(none, pack_params()).count() == 0
 
 
+def test_packing_looks_up_each_word_of_a_block_once(monkeypatch):
+    """Ids are the library's, whatever the store and the blocks hold, and a word that comes again in a block is not looked up again."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, r = Tokenizer.from_file(path := P.path("word_bpe_49k.json")), random.Random(4)
+    odd = [*TEXTS, "<|startoftext|>a <|endoftext|>", "I'd've 's 'S we'LL", "é ́x Å", "\t\r\n the\tthe", "".join(map(chr, range(33, 256))), " ".join(map(chr, range(33, 256)))]
+    odd += ["".join(r.choice("aeinrstLO 日é😀\n'1²ª_µßÀ́\xad\x85\t") for _ in range(r.randint(1, 300))) for _ in range(100)]
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in odd]
+    for most, block in ((1_600_000, 6_000_000), (3000, 20_000), (1, 1)):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        words, got = packing.WordIds(path, most, 1), []
+        for at, ids, n in words(pa.array(odd, pa.string())):
+            assert at == len(got)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want and words.lower
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    monkeypatch.setattr(packing, "BLOCK", 6_000_000)
+    words = packing.WordIds(path, 1_600_000, 1)
+    words.known = Counted(words.known)
+    assert sum(len(ids) for _, ids, _ in words(pa.array([" ".join(WORDS)] * 50))) == 50 * len(tok.encode(" ".join(WORDS)).ids) + 50
+    assert Counted.asked <= 2 * len(set(WORDS))
+
+
 def test_packing_plan_is_near_the_bound():
     r = random.Random(5)
     lengths = collections.Counter(min(4096, int(r.lognormvariate(6, 1)) + 1) for _ in range(5000))
